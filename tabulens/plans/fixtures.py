@@ -34,10 +34,13 @@ LINEITEM_PROFILE_NUMERIC = [("l_quantity", "double"), ("l_extendedprice", "doubl
 
 # --- duplicates: a narrow projection of lineitem repeats whole rows
 def lineitem_dups(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    li = table(spark, d, "lineitem")
+    return li.select("l_returnflag", "l_linestatus",
+                     _null_when(F.col("l_orderkey") % 13 == 0, "l_quantity").alias("l_quantity"))
 
 
-LINEITEM_DUPS_SQL = "(SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem)"
+LINEITEM_DUPS_SQL = ("(SELECT l_returnflag, l_linestatus, "
+                     "CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity END AS l_quantity FROM lineitem)")
 
 
 # --- missing values in several columns, one over 30 %

@@ -52,3 +52,59 @@ SELECT {i} AS position, {lit(c)} AS "column", {lit(t)} AS dtype,
     AS outliers_percentage
 FROM s""")
     return union(parts)
+
+
+def categorical_summary(src: str, cols: list[tuple[str, str]], start: int = 0) -> str:
+    """AGG9 for each (column, spark type)."""
+    parts = []
+    for i, (c, t) in enumerate(cols, start):
+        parts.append(f"""
+WITH s AS (SELECT CAST({q(c)} AS VARCHAR) AS x FROM {src}),
+n AS (SELECT count(*) AS n_rows, count(x) AS cnt, count(DISTINCT x) AS u FROM s),
+o AS (SELECT x, c, row_number() OVER (ORDER BY c DESC, x) AS rn
+      FROM (SELECT x, count(*) AS c FROM s WHERE x IS NOT NULL GROUP BY x))
+SELECT {i} AS position, {lit(c)} AS "column", {lit(t)} AS dtype, cnt AS count, n_rows - cnt AS missing,
+  {r(pct('n_rows - cnt', 'n_rows'), 2)} AS missing_percentage, u AS "unique",
+  {r(pct('u', 'n_rows'), 2)} AS unique_percentage,
+  (SELECT x FROM o WHERE rn = 1) AS most_frequent,
+  COALESCE((SELECT c FROM o WHERE rn = 1), 0) AS most_frequent_count,
+  COALESCE({r(pct('(SELECT c FROM o WHERE rn = 1)', 'n_rows'), 2)}, 0.0) AS most_frequent_percentage,
+  (SELECT x FROM o WHERE rn = 2) AS second_most_frequent,
+  (SELECT c FROM o WHERE rn = 2) AS second_most_frequent_count
+FROM n""")
+    return union(parts)
+
+
+def null_sum(cols: list[str]) -> str:
+    return " + ".join(f"(CASE WHEN {q(c)} IS NULL THEN 1 ELSE 0 END)" for c in cols)
+
+
+def dataset_totals(src: str, cols: list[str]) -> str:
+    """CTE body giving rows, duplicates, null_count."""
+    return f"""(SELECT count(*) AS rows,
+   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS duplicates,
+   CAST(COALESCE(sum({null_sum(cols)}), 0) AS BIGINT) AS null_count
+ FROM {src})"""
+
+
+def health_expr(null_pct: str) -> str:
+    return r(f"greatest(0.0, 100 - {null_pct} * 2 - COALESCE(CAST(duplicates AS DOUBLE) / NULLIF(rows, 0) * 300, 0.0))", 1)
+
+
+def numeric_describe(src: str, cols: list[str], moments: bool) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        x = f"CAST({q(c)} AS DOUBLE)"
+        extra = f", {r(f'skewness({x})', 3)} AS skewness, {r(f'kurtosis({x})', 3)} AS kurtosis" if moments else ""
+        parts.append(f"""SELECT {i} AS position, {lit(c)} AS "column", count({x}) AS count,
+  {r(f'avg({x})', 3)} AS mean, {r(f'stddev_samp({x})', 3)} AS std, {r(f'min({x})', 3)} AS min,
+  {r(f'quantile_cont({x}, 0.25)', 3)} AS q1, {r(f'quantile_cont({x}, 0.5)', 3)} AS median,
+  {r(f'quantile_cont({x}, 0.75)', 3)} AS q3, {r(f'max({x})', 3)} AS max{extra} FROM {src}""")
+    return union(parts)
+
+
+def null_counts(src: str, cols: list[str]) -> str:
+    """(position, column, n_rows, missing) per column."""
+    parts = [f"SELECT {i} AS position, {lit(c)} AS \"column\", count(*) AS n_rows, "
+             f"count(*) - count({q(c)}) AS missing FROM {src}" for i, c in enumerate(cols)]
+    return union(parts)
