@@ -21,8 +21,14 @@ def pct(num, den) -> Column:
 
 
 def round_to(x, digits: int) -> Column:
-    """Round half-up, plus 0.0 so that a negative value rounding to zero is +0.0."""
-    return F.round(_c(x), digits) + F.lit(0.0)
+    """Round to ``digits`` places on the binary value: round(x * 10^d) / 10^d, half away from zero.
+
+    Spark's ``round(x, d)`` rounds the shortest decimal text of x, so 4.185
+    (binary 4.18499...) becomes 4.19; scaling first rounds the binary value
+    (4.18), as DuckDB and C do.  Adding 0.0 turns -0.0 into 0.0.
+    """
+    scale = F.lit(float(10 ** digits))
+    return F.round(_c(x) * scale, 0) / scale + F.lit(0.0)
 
 
 def sample_skewness(g1, n) -> Column:

@@ -108,3 +108,18 @@ def null_counts(src: str, cols: list[str]) -> str:
     parts = [f"SELECT {i} AS position, {lit(c)} AS \"column\", count(*) AS n_rows, "
              f"count(*) - count({q(c)}) AS missing FROM {src}" for i, c in enumerate(cols)]
     return union(parts)
+
+
+def pair_corr(src: str, cols: list[str]) -> str:
+    """(i, j, feature1, feature2, n, r) for unordered pairs, pairwise complete."""
+    parts = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            a, b = q(cols[i]), q(cols[j])
+            both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+            parts.append(
+                f"SELECT {i} AS i, {j} AS j, {lit(cols[i])} AS feature1, {lit(cols[j])} AS feature2, "
+                f"count(*) FILTER (WHERE {both}) AS n, covar_samp({a}, {b}) / NULLIF("
+                f"stddev_samp(CASE WHEN {both} THEN {a} END) * stddev_samp(CASE WHEN {both} THEN {b} END), 0) AS r "
+                f"FROM {src}")
+    return union(parts)

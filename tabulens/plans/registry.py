@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 def _load():
     # importing the modules fills the registry
     from tabulens.plans import queries_profile  # noqa: F401
+    from tabulens.plans import queries_analysis  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:
