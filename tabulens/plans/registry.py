@@ -28,6 +28,7 @@ def _load():
     # importing the modules fills the registry
     from tabulens.plans import queries_profile  # noqa: F401
     from tabulens.plans import queries_analysis  # noqa: F401
+    from tabulens.plans import queries_prep  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:
