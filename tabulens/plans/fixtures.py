@@ -125,3 +125,47 @@ def part(spark, d) -> DataFrame:
 
 
 PART_SQL = "part"
+
+
+# --- insights: outliers, missing, a correlated pair, skew, a high-cardinality text column
+def lineitem_insights(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    k = F.col("l_orderkey")
+    return li.select(
+        F.when(k % 10 == 0, F.col("l_quantity") * 100).otherwise(F.col("l_quantity")).alias("qty"),
+        "l_quantity", (F.col("l_quantity") * 2 + F.col("l_tax")).alias("qty2"), "l_extendedprice",
+        _null_when(k % 7 == 0, "l_tax").alias("l_tax"), "l_returnflag",
+        F.concat(k.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("line_id"))
+
+
+LINEITEM_INSIGHTS_SQL = (
+    "(SELECT CASE WHEN l_orderkey % 10 = 0 THEN l_quantity * 100 ELSE l_quantity END AS qty, l_quantity, "
+    "l_quantity * 2 + l_tax AS qty2, l_extendedprice, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_tax END AS l_tax, "
+    "l_returnflag, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS line_id FROM lineitem)")
+LINEITEM_INSIGHTS_NUM = ["qty", "l_quantity", "qty2", "l_extendedprice", "l_tax"]
+LINEITEM_INSIGHTS_TEXT = ["l_returnflag", "line_id"]
+
+
+# --- recommendations: price-like, type-like, datetime columns and a correlated pair
+def lineitem_business(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select("l_quantity", (F.col("l_quantity") * 2 + F.col("l_tax")).alias("qty2"), "l_extendedprice",
+                     F.col("l_returnflag").alias("return_type"), "l_shipdate")
+
+
+LINEITEM_BUSINESS_SQL = ("(SELECT l_quantity, l_quantity * 2 + l_tax AS qty2, l_extendedprice, "
+                         "l_returnflag AS return_type, l_shipdate FROM lineitem)")
+
+
+# --- risks: a column over 30 % missing, extreme values, an imbalanced status
+def orders_risk(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(F.when(k % 10 == 0, F.col("o_totalprice") * 100).otherwise(F.col("o_totalprice")).alias("amount"),
+                    _null_when(k % 3 != 0, "o_custkey").alias("o_custkey"), "o_orderstatus", "o_orderpriority",
+                    "o_orderdate")
+
+
+ORDERS_RISK_SQL = ("(SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 100 ELSE o_totalprice END AS amount, "
+                   "CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus, "
+                   "o_orderpriority, o_orderdate FROM orders)")

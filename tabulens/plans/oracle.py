@@ -123,3 +123,53 @@ def pair_corr(src: str, cols: list[str]) -> str:
                 f"stddev_samp(CASE WHEN {both} THEN {a} END) * stddev_samp(CASE WHEN {both} THEN {b} END), 0) AS r "
                 f"FROM {src}")
     return union(parts)
+
+
+def fmt1(expr: str) -> str:
+    return f"printf('%.1f', {r(expr, 1)})"
+
+
+def grouped_int(expr: str) -> str:
+    return f"format('{{:,}}', {expr})"
+
+
+def iqr_counts(src: str, cols: list[str], k: float) -> str:
+    """(position, column, outlier_count, n_rows) per column at fence factor k."""
+    parts = []
+    for i, c in enumerate(cols):
+        parts.append(f"""
+WITH f AS (SELECT quantile_cont({q(c)}, 0.25) AS q1, quantile_cont({q(c)}, 0.75) AS q3 FROM {src})
+SELECT {i} AS position, {lit(c)} AS "column", count(*) AS n_rows,
+  count(*) FILTER (WHERE {q(c)} < (SELECT q1 - {k} * (q3 - q1) FROM f)
+                      OR {q(c)} > (SELECT q3 + {k} * (q3 - q1) FROM f)) AS outlier_count
+FROM {src}""")
+    return union(parts)
+
+
+def const_rows(src: str, cols: list[str]) -> str:
+    return union([f"SELECT {i} AS position, {lit(c)} AS name, stddev_samp({q(c)}) AS s FROM {src}"
+                  for i, c in enumerate(cols)])
+
+
+def skew_rows(src: str, cols: list[str]) -> str:
+    return union([f"SELECT {i} AS position, {lit(c)} AS name, stddev_samp({q(c)}) AS s, skewness({q(c)}) AS g "
+                  f"FROM {src}" for i, c in enumerate(cols)])
+
+
+def card_rows(src: str, cols: list[str]) -> str:
+    return union([f"SELECT {i} AS position, {lit(c)} AS name, count(DISTINCT {q(c)}) AS u, count(*) AS n FROM {src}"
+                  for i, c in enumerate(cols)])
+
+
+def imbalance_rows(src: str, cols: list[str], min_classes: int) -> str:
+    """First text column with min_classes < classes <= 10: (name, classes, ratio4)."""
+    per = union([f"SELECT {i} AS position, {lit(c)} AS name, count(*) AS classes, max(c) AS mx, min(c) AS mn FROM "
+                 f"(SELECT {q(c)} AS v, count(*) AS c FROM {src} WHERE {q(c)} IS NOT NULL GROUP BY 1)"
+                 for i, c in enumerate(cols)])
+    return (f"(SELECT name, classes, {r('mx / mn', 4)} AS ratio FROM ({per}) "
+            f"WHERE classes <= 10 AND classes > {min_classes} ORDER BY position LIMIT 1)")
+
+
+def missing_frac_rows(src: str, cols: list[str]) -> str:
+    return union([f"SELECT {i} AS position, (count(*) - count({q(c)})) / count(*) AS frac FROM {src}"
+                  for i, c in enumerate(cols)])
