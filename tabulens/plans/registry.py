@@ -30,6 +30,7 @@ def _load():
     from tabulens.plans import queries_analysis  # noqa: F401
     from tabulens.plans import queries_prep  # noqa: F401
     from tabulens.plans import queries_reports  # noqa: F401
+    from tabulens.plans import queries_charts  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:
