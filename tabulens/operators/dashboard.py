@@ -132,9 +132,9 @@ def predictive_insights(df: DataFrame, tiebreak: list[str] | None = None, k: int
             F.lit(1).alias("rule_order"), F.lit(PRED_TREND[0]).alias("title"),
             F.format_string(_pf(PRED_TREND[1]), F.lit(num[0]), F.col("direction"),
                             F.format_string("%.2f", round_to("r2", 2))).alias("description"),
-            F.format_string(_pf(PRED_TREND[3]), F.format_string("%.0f", round_to(F.abs(F.col("r")) * 100, 0)))
+            F.format_string(_pf(PRED_TREND[2]), F.format_string("%.0f", round_to(F.abs(F.col("r")) * 100, 0)))
              .alias("confidence"),
-            F.format_string(_pf(PRED_TREND[4]), F.when(F.col("slope") > 0, "increase").otherwise("decrease"))
+            F.format_string(_pf(PRED_TREND[3]), F.when(F.col("slope") > 0, "increase").otherwise("decrease"))
              .alias("recommendation")))
     if len(num) >= 2:
         e = elbow(df)

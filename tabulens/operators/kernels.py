@@ -181,15 +181,14 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[st
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _rank_quantiles(freq: DataFrame, probs, names) -> DataFrame:
-    """Exact quantiles without any task holding a whole column.
+def rank_intervals(freq: DataFrame) -> DataFrame:
+    """(col_idx, v, c, lo, hi, n): each distinct value's 0-based rank interval [lo, hi) in its column.
 
     Distinct (col_idx, v, c) rows are range-partitioned on (col_idx, v) and
     checkpointed with their partition id, so every later use sees the same
     layout.  Per-partition totals give each partition's rank offset (a table of
     columns x partitions rows); a running sum inside a partition gives each
-    value's rank interval; the value whose interval holds floor/ceil of
-    p*(n-1) is picked by a broadcast join against the tiny target table.
+    value's interval.  No task ever holds a whole column.
     """
     spark = freq.sparkSession
     nparts = _default_partitions(spark)
@@ -197,12 +196,21 @@ def _rank_quantiles(freq: DataFrame, probs, names) -> DataFrame:
         freq.repartitionByRange(nparts, "col_idx", "v").withColumn("pid", F.spark_partition_id()))
     part = ranged.groupBy("col_idx", "pid").agg(F.sum("c").alias("pc"))
     w_off = Window.partitionBy("col_idx").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = part.select("col_idx", "pid", F.coalesce(F.sum("pc").over(w_off), F.lit(0)).alias("off"))
-    tot = part.groupBy("col_idx").agg(F.sum("pc").alias("n"))
+    w_tot = Window.partitionBy("col_idx")
+    offs = part.select("col_idx", "pid", F.coalesce(F.sum("pc").over(w_off), F.lit(0)).alias("off"),
+                       F.sum("pc").over(w_tot).alias("n"))
     w_in = Window.partitionBy("pid", "col_idx").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.join(F.broadcast(offs), ["col_idx", "pid"])
-           .withColumn("hi", F.col("off") + F.sum("c").over(w_in))
-           .withColumn("lo", F.col("hi") - F.col("c")))
+    return (ranged.join(F.broadcast(offs), ["col_idx", "pid"])
+            .withColumn("hi", F.col("off") + F.sum("c").over(w_in))
+            .withColumn("lo", F.col("hi") - F.col("c"))
+            .select("col_idx", "v", "c", "lo", "hi", "n"))
+
+
+def _rank_quantiles(freq: DataFrame, probs, names) -> DataFrame:
+    """Exact quantiles from rank intervals: the value whose interval holds floor/ceil of p*(n-1),
+    picked by a broadcast join against the tiny (columns x probabilities) target table."""
+    cum = rank_intervals(freq)
+    tot = cum.groupBy("col_idx").agg(F.first("n").alias("n"))
     targets = (tot.select("col_idx", "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("pi", "p"))
                .withColumn("pos", F.col("p") * (F.col("n") - 1))
                .withColumn("r0", F.floor("pos")).withColumn("r1", F.ceil("pos"))
