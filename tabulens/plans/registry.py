@@ -32,6 +32,7 @@ def _load():
     from tabulens.plans import queries_reports  # noqa: F401
     from tabulens.plans import queries_charts  # noqa: F401
     from tabulens.plans import queries_ml  # noqa: F401
+    from tabulens.plans import queries_sources  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:
