@@ -178,9 +178,9 @@ def trend(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None,
     The position is computed with the partition-offset row index, never in a
     single task.  ``trend_with_p`` adds the two-sided p-value.
     """
-    order = [ts] + list(tiebreak or [])
-    base = df.select(*order, TY.num(df, value).alias(value)).dropna(subset=[ts, value])
-    sums = K.ordered_index_stats(base, order, value)
+    order = list(dict.fromkeys([ts] + list(tiebreak or [])))
+    base = df.select(*order, TY.num(df, value).alias("_trend_y")).dropna(subset=[ts, "_trend_y"])
+    sums = K.ordered_index_stats(base, order, "_trend_y")
     reg = K.regression_from_sums(sums)
     return (reg.where(F.col("n") > min_rows)
             .select(F.col("n").cast("long").alias("n"), "slope", "intercept", "r", "r2", "stderr", "t",

@@ -156,6 +156,11 @@ def _choose_method(df: DataFrame, cols: list[str]) -> str:
     return "hashmap" if biggest <= HASHMAP_DISTINCT_LIMIT else "rank"
 
 
+def resolve_method(df: DataFrame, cols: list[str], method: str) -> str:
+    """Turn ``auto`` into ``hashmap`` or ``rank`` by a checked distinct-count bound."""
+    return _choose_method(df, cols) if method == "auto" else method
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None,
               method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None) -> DataFrame:
     """Exact (linear interpolation, like pandas and DuckDB ``quantile_cont``) quantiles.

@@ -49,10 +49,18 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
     if not cols:
         return mom
     freq = K.numeric_freq(df, cols)
-    q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=quantile_method, freq=freq)
-    out = mom.join(q, "col_idx", "left")
-    if with_unique:
-        out = out.join(freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("unique")), "col_idx", "left")
+    method = K.resolve_method(df, cols, quantile_method)
+    if method == "hashmap":
+        # quartiles and distinct counts in one aggregate over the frequency IR
+        qs = freq.groupBy("col_idx").agg(F.percentile("v", QUARTILES, F.col("c")).alias("qs"),
+                                         F.count(F.lit(1)).alias("unique"))
+        q = qs.select("col_idx", "unique", *[F.col("qs")[j].alias(n) for j, n in enumerate(QUARTILE_NAMES)])
+        out = mom.join(q if with_unique else q.drop("unique"), "col_idx", "left")
+    else:
+        q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=method, freq=freq)
+        out = mom.join(q, "col_idx", "left")
+        if with_unique:
+            out = out.join(freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("unique")), "col_idx", "left")
     out = (out.withColumn("lower_bound", F.col("q1") - fence * (F.col("q3") - F.col("q1")))
               .withColumn("upper_bound", F.col("q3") + fence * (F.col("q3") - F.col("q1"))))
     if with_outliers:

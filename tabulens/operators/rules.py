@@ -14,8 +14,9 @@ from tabulens.functions.stats import round_to
 
 
 def fmt1(x) -> Column:
-    """'%.1f' of x after rounding on the binary value (engine-independent text)."""
-    return F.format_string("%.1f", round_to(x, 1))
+    """'%.1f' of x after rounding on the binary value (engine-independent text); NULL stays NULL."""
+    r = round_to(x, 1)
+    return F.when(r.isNotNull(), F.format_string("%.1f", r))
 
 
 def fmt2_grouped(x) -> Column:

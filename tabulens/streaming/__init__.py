@@ -1,0 +1,3 @@
+"""Incremental profiling of appended data with Structured Streaming."""
+
+from tabulens.streaming.incremental import finalize_moments, streaming_moments  # noqa: F401

@@ -1,0 +1,26 @@
+"""Running moments over a file stream equal the batch moments."""
+
+import math
+
+from tabulens.operators import kernels as K
+from tabulens.streaming import finalize_moments, streaming_moments
+from tests.conftest import SF_SMALL
+
+
+def test_streaming_moments_match_batch(spark, tmp_path):
+    import shutil
+    src = f"{SF_SMALL}/events.parquet"
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    shutil.copy(src, landing / "part-0.parquet")
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(str(landing))
+    q = (streaming_moments(stream, ["value"]).writeStream.outputMode("complete").format("memory")
+         .queryName("tabulens_moments").start())
+    q.processAllAvailable()
+    q.stop()
+    got = finalize_moments(spark.table("tabulens_moments"), ["value"]).first()
+    want = K.moments(spark.read.parquet(src), ["value"]).first()
+    assert got["count"] == want["count"]
+    assert math.isclose(got["mean"], want["mean"], rel_tol=1e-9)
+    assert math.isclose(got["std"], want["std"], rel_tol=1e-6)
