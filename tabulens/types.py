@@ -95,3 +95,15 @@ def resolve(df: DataFrame, columns) -> list[str]:
         columns = columns.split(",")
     have = set(df.columns)
     return [c.strip() for c in columns if c.strip() in have]
+
+
+def column_classes(df: DataFrame) -> dict:
+    """Schema walk: column names by class and their Spark type names (no job runs)."""
+    return {
+        "column_names": list(df.columns),
+        "num_columns": numeric_columns(df),
+        "cat_columns": categorical_columns(df),
+        "date_columns": datetime_columns(df),
+        "nested_columns": nested_columns(df),
+        "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
+    }
