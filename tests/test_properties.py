@@ -96,3 +96,11 @@ def test_train_save_load_same_predictions(spark, tmp_path):
     assert a == b
     hist = CMP.read_history(spark, str(tmp_path / "h")).collect()
     assert len(hist) == 1 and hist[0]["best_model"] == res["best_model"]
+
+
+def test_sample_refines_boundary_bucket(spark):
+    o = FX.orders(spark, SF_SMALL)
+    deep = {r[0] for r in SM.sample_rows(o, 700, key="o_orderkey", max_edge=5).select("o_orderkey").collect()}
+    from tabulens.functions.hashing import md5_key
+    want = {r[0] for r in o.orderBy(md5_key(["o_orderkey"], 42)).limit(700).select("o_orderkey").collect()}
+    assert deep == want
