@@ -32,7 +32,7 @@ from tabulens.session import reliable_checkpoint
 
 # Largest number of distinct values per column for which the hash-map
 # percentile (one merge task per column) is used by the ``auto`` method.
-HASHMAP_DISTINCT_LIMIT = 2_000_000
+HASHMAP_DISTINCT_LIMIT = 100_000
 # Columns per wide aggregate; keeps generated methods under the JIT size limit.
 MOMENT_CHUNK = 40
 
