@@ -17,7 +17,7 @@ from tabulens.functions.stats import round_to
 from tabulens.operators import kernels as K
 from tabulens.operators import profile as P
 from tabulens.operators.relational import complete_cases
-from tabulens.operators.rules import join1
+from tabulens.operators.rules import scalars
 from tabulens.operators.sampling import sample_rows
 
 
@@ -35,12 +35,12 @@ def histogram(df: DataFrame, column: str, bins: int = 40, top_k: int = 15) -> Da
     x = TY.num(df, column)
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
     rng = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    rng = rng.withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-    j = join1(vals, rng)  # one-row range frame
-    return (j.withColumn("bin", _bin_expr(F.col("x"), F.col("lo"), F.col("w"), bins))
-            .groupBy("bin", "lo", "w").agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", round_to(F.col("lo") + F.col("bin") * F.col("w"), 6).alias("lower"),
-                    round_to(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 6).alias("upper"), "count"))
+    s = scalars(rng.withColumn("w", (F.col("hi") - F.col("lo")) / bins))
+    lo, w = s["lo"], s["w"]
+    return (vals.withColumn("bin", _bin_expr(F.col("x"), lo, w, bins))
+            .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+            .select("bin", round_to(lo + F.col("bin") * w, 6).alias("lower"),
+                    round_to(lo + (F.col("bin") + 1) * w, 6).alias("upper"), "count"))
 
 
 def density_histogram(df: DataFrame, bins: int = 30, k: int = 9) -> DataFrame:
@@ -91,9 +91,9 @@ def outlier_points(df: DataFrame, column: str, fence: float = 1.5, limit: int |
     """The values beyond the box-plot fences of one column (optionally the ``limit`` most extreme)."""
     p = P.numeric_profile(df, [column], fence=fence, with_unique=False, with_outliers=False)
     x = TY.num(df, column)
-    j = join1(df.select(x.alias("value")).where(F.col("value").isNotNull()),
-              p.select("lower_bound", "upper_bound"))
-    out = j.where((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))).select("value")
+    s = scalars(p.select("lower_bound", "upper_bound"))  # one column -> one row
+    vals = df.select(x.alias("value")).where(F.col("value").isNotNull())
+    out = vals.where((F.col("value") < s["lower_bound"]) | (F.col("value") > s["upper_bound"]))
     if limit is not None:
         out = out.orderBy(F.desc(F.abs(F.col("value") - F.lit(0.0)))).limit(limit)
     return out
@@ -112,10 +112,10 @@ def pair_bins(df: DataFrame, bins: int = 20, max_cols: int = 5) -> DataFrame:
         return spark.createDataFrame([], schema)
     cols = num[:max_cols]
     base = complete_cases(df.select(*[TY.num(df, c).alias(c) for c in cols]))
-    rng = base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                   *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)])
-    j = join1(base, rng)
-    b = {c: _bin_expr(F.col(c), F.col(f"lo{i}"), (F.col(f"hi{i}") - F.col(f"lo{i}")) / bins, bins)
+    s = scalars(base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]))
+    j = base
+    b = {c: _bin_expr(F.col(c), s[f"lo{i}"], (s[f"hi{i}"] - s[f"lo{i}"]) / bins, bins)
          for i, c in enumerate(cols)}
     pairs = [(a, c) for i, a in enumerate(cols) for c in cols[i + 1:]]
     cells = j.select(F.inline(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(c).alias("y"), b[a].alias("bin_x"),
@@ -139,12 +139,11 @@ def parallel_coordinates(df: DataFrame, n: int = 1000, key=None, seed: int = 42)
         return spark.createDataFrame([], "empty string")
     key = [key] if isinstance(key, str) else list(key or num)
     base = complete_cases(df, num).select(*dict.fromkeys(num + key))
-    rng = base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(num)],
-                   *[F.max(c).alias(f"hi{i}") for i, c in enumerate(num)])
+    s = scalars(base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(num)],
+                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(num)]))
     pts = sample_rows(base, n, seed, key)
-    j = join1(pts, rng)
-    return j.select(*[round_to(F.try_divide(F.col(c) - F.col(f"lo{i}"), F.col(f"hi{i}") - F.col(f"lo{i}")), 6)
-                      .alias(c) for i, c in enumerate(num)])
+    return pts.select(*[round_to(F.try_divide(F.col(c) - s[f"lo{i}"], s[f"hi{i}"] - s[f"lo{i}"]), 6)
+                        .alias(c) for i, c in enumerate(num)])
 
 
 def time_series(df: DataFrame, ts: str, value: str, bucket: str | None = None) -> DataFrame:
@@ -174,17 +173,15 @@ def kde(df: DataFrame, column: str, grid: int = 100, bandwidth: float | str = "s
                   F.max("x").alias("hi"))
     h = (F.lit(float(bandwidth)) if not isinstance(bandwidth, str)
          else F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    st = st.withColumn("h", h).withColumn("w", (F.col("hi") - F.col("lo")) / prebins)
-    centres = (join1(vals, st)
-               .withColumn("b", _bin_expr(F.col("x"), F.col("lo"), F.col("w"), prebins))
+    s = scalars(st.withColumn("h", h).withColumn("w", (F.col("hi") - F.col("lo")) / prebins))
+    centres = (vals.withColumn("b", _bin_expr(F.col("x"), s["lo"], s["w"], prebins))
                .groupBy("b").agg(F.count(F.lit(1)).alias("c")))
-    j = join1(centres, st)
-    start = F.col("lo") - 3 * F.col("h")
-    step = (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (grid - 1)
-    centre = F.col("lo") + (F.col("b") + 0.5) * F.col("w")
-    pts = j.select("c", "n", "h", centre.alias("m"),
-                   F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: start + i * step))
-                   .alias("gi", "g"))
+    start = s["lo"] - 3 * s["h"]
+    step = (s["hi"] - s["lo"] + 6 * s["h"]) / (grid - 1)
+    centre = s["lo"] + (F.col("b") + 0.5) * s["w"]
+    pts = (centres.select("c", s["n"].alias("n"), s["h"].alias("h"), centre.alias("m"),
+                          F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
+           .withColumn("g", start + F.col("gi") * step))
     norm = 1.0 / math.sqrt(2 * math.pi)
     contrib = F.col("c") * F.exp(-0.5 * F.pow((F.col("g") - F.col("m")) / F.col("h"), 2)) * norm
     return (pts.groupBy("gi", "g").agg((F.sum(contrib) / (F.first("n") * F.first("h"))).alias("density"))

@@ -33,8 +33,8 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 def fill_numeric_median(df: DataFrame, quantile_method: str = "auto") -> DataFrame:
     """Fill missing numeric values with the column's exact median.
 
-    The medians (one per column) are computed on the cluster and joined back
-    as a one-row frame keyed by a constant, so the result stays lazy.
+    The medians (one per column) are computed on the cluster and inlined as a
+    scalar subquery, so the result stays lazy and no join is planned.
     Integral columns keep their type (the median is cast back, as a fill of
     an integer column would be).
     """
@@ -42,14 +42,15 @@ def fill_numeric_median(df: DataFrame, quantile_method: str = "auto") -> DataFra
     if not cols:
         return df
     q = K.quantiles(df, cols, [0.5], ["median"], method=quantile_method)
-    wide = q.agg(*[F.max(F.when(F.col("col_idx") == i, F.col("median"))).alias(f"_med{i}")
-                   for i in range(len(cols))]).withColumn("_k", F.lit(1))
-    joined = df.withColumn("_k", F.lit(1)).join(F.broadcast(wide), "_k")
+    from tabulens.operators.rules import scalars
+    med = scalars(q.agg(*[F.max(F.when(F.col("col_idx") == i, F.col("median"))).alias(f"_med{i}")
+                          for i in range(len(cols))]))
+    joined = df
     out = []
     for f in df.schema.fields:
         if f.name in cols:
             i = cols.index(f.name)
-            filled = F.coalesce(TY.num(df, f.name), F.col(f"_med{i}"))
+            filled = F.coalesce(TY.num(df, f.name), med[f"_med{i}"])
             out.append(filled.cast(f.dataType).alias(f.name))
         else:
             out.append(F.col(f.name))

@@ -11,7 +11,7 @@ from tabulens.operators import correlation as C
 from tabulens.operators import outliers as OU
 from tabulens.operators import profile as P
 from tabulens.operators.profile import _dataset_totals
-from tabulens.operators.rules import fmt1, grouped_int, join1, names_in_order
+from tabulens.operators.rules import fmt1, grouped_int, names_in_order, scalars
 
 # Fixed texts of the insight rules: (title, severity, action).
 OVERVIEW = ("Dataset Overview", "info", "Review column types and distributions below")
@@ -75,8 +75,8 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
         found = found.unionByName(r)
     if text:
         imb = P.class_imbalance(df, max_classes=10, min_classes=0, threshold=3.0)
-        gate = found.agg(F.count(F.lit(1)).alias("n_found"))
-        cand = join1(imb, gate)
+        n_found = scalars(found.agg(F.count(F.lit(1)).alias("n_found")))["n_found"]
+        cand = imb.withColumn("n_found", n_found)
         last = _rule(cand, 7, IMBALANCE,
                      F.format_string('Target column "%s" shows significant class imbalance', F.col("column")),
                      F.format_string("Ratio: %s:1", fmt1("ratio")),

@@ -9,7 +9,7 @@ from tabulens import types as TY
 from tabulens.functions.stats import pct, round_to
 from tabulens.operators import kernels as K
 from tabulens.operators.profile import _dataset_totals
-from tabulens.operators.rules import fmt1, join1, names_in_order, spec
+from tabulens.operators.rules import fmt1, names_in_order, scalars, spec
 
 # Fixed texts of the quality report.
 HIGH_MISSING = "High missing values ({}%)"
@@ -35,7 +35,9 @@ def quality_score(df: DataFrame) -> DataFrame:
     m = K.moments(df)
     const = m.where(F.col("std") == 0).select(F.col("col_idx").alias("position"), "column").agg(
         F.count(F.lit(1)).alias("n_const"), names_in_order(k=3).alias("const_names"))
-    j = join1(t, const).withColumn("mp", F.coalesce("mp", F.lit(0.0)))
+    cs = scalars(const)
+    j = (t.withColumn("n_const", cs["n_const"]).withColumn("const_names", cs["const_names"])
+         .withColumn("mp", F.coalesce("mp", F.lit(0.0))))
     score = (F.lit(100.0)
              - F.when(F.col("mp") > 10, 20).when(F.col("mp") > 5, 10).otherwise(0)
              - F.when(F.col("duplicates") > 0,

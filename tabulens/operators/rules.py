@@ -29,14 +29,13 @@ def grouped_int(x) -> Column:
     return F.format_number(F.col(x) if isinstance(x, str) else x, 0)
 
 
-def one(df: DataFrame) -> DataFrame:
-    """Tag a one-row frame with a constant join key."""
-    return df.withColumn("_k", F.lit(1))
+def scalars(one_row: DataFrame) -> Column:
+    """A one-row aggregate as a struct-valued scalar subquery (Spark runs it once and inlines the value).
 
-
-def join1(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row frames (broadcast of a single row on a constant key)."""
-    return one(a).join(F.broadcast(one(b)), "_k").drop("_k")
+    Fields are read with ``s["name"]``.  This keeps totals, ranges and fences
+    lazy without joining them to the data.
+    """
+    return one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar()
 
 
 def names_in_order(pos: str = "position", name: str = "column", k: int | None = None) -> Column:
