@@ -187,7 +187,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[st
 
 
 def rank_intervals(freq: DataFrame) -> DataFrame:
-    """(col_idx, v, c, lo, hi, n): each distinct value's 0-based rank interval [lo, hi) in its column.
+    """(col_idx, v, c, lo, hi, n, ...): each distinct value's 0-based rank interval [lo, hi) in its column.
+
+    Extra columns of ``freq`` (e.g. per-value label counts) are carried along.
 
     Distinct (col_idx, v, c) rows are range-partitioned on (col_idx, v) and
     checkpointed with their partition id, so every later use sees the same
@@ -208,7 +210,7 @@ def rank_intervals(freq: DataFrame) -> DataFrame:
     return (ranged.join(F.broadcast(offs), ["col_idx", "pid"])
             .withColumn("hi", F.col("off") + F.sum("c").over(w_in))
             .withColumn("lo", F.col("hi") - F.col("c"))
-            .select("col_idx", "v", "c", "lo", "hi", "n"))
+            .drop("pid", "off"))
 
 
 def _rank_quantiles(freq: DataFrame, probs, names) -> DataFrame:

@@ -186,3 +186,19 @@ def q_regression_metrics(spark, d):
     return m.select("n", round_to("mae", 6).alias("mae"), round_to("mse", 4).alias("mse"),
                     round_to("rmse", 6).alias("rmse"), round_to("r2", 8).alias("r2"),
                     round_to("rmsle", 8).alias("rmsle"), round_to("mape", 8).alias("mape"))
+
+
+@register("auc", """
+WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice / l_quantity AS score
+           FROM lineitem),
+r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM s),
+t AS (SELECT CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) - sum(y) AS DOUBLE) AS q,
+        sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS rs FROM r)
+SELECT """ + O.r("(rs - p * (p + 1) / 2) / (p * q)", 10) + """ AS auc, CAST(p AS BIGINT) AS positives,
+  CAST(q AS BIGINT) AS negatives FROM t""")
+def q_auc(spark, d):
+    from tabulens.functions.stats import round_to
+    li = FX.table(spark, d, "lineitem")
+    s = li.select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                  (F.col("l_extendedprice") / F.col("l_quantity")).alias("score"))
+    return MT.auc(s, "label", "score", 1).select(round_to("auc", 10).alias("auc"), "positives", "negatives")
