@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tabulens import types as TY
 from tabulens.functions.stats import pct
 from tabulens.operators import correlation as C
+from tabulens.operators import kernels as K
+from tabulens.session import reliable_checkpoint
 from tabulens.operators import outliers as OU
 from tabulens.operators import profile as P
 from tabulens.operators.profile import _dataset_totals
@@ -52,8 +54,12 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
         _rule(t, 2, MISSING, F.format_string("%s%% of data contains missing values", fmt1("mp")),
               F.format_string("%s%% missing", fmt1("mp")), F.col("mp") > 0),
     ]
+    # shared intermediates, materialised once: the per-column numeric profile (one row per
+    # column) and the text frequency IR; every rule below reads them instead of the table
+    prof = reliable_checkpoint(P.numeric_profile(df, num, with_unique=False)) if num else None
+    tfreq = reliable_checkpoint(K.text_freq(df, text)) if text else None
     if num:
-        oc = OU.outlier_columns(df, max_cols=10, threshold=5.0).agg(
+        oc = OU.outlier_columns(df, max_cols=10, threshold=5.0, profile=prof).agg(
             F.count(F.lit(1)).alias("n"), names_in_order(k=3).alias("names"))
         rules.append(_rule(oc, 3, OUTLIERS, F.concat(F.lit("Columns with significant outliers: "), F.col("names")),
                            F.format_string("%d columns", F.col("n")), F.col("n") > 0))
@@ -62,11 +68,11 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
             rules.append(_rule(hc, 4, CORRELATION, F.format_string("Found %d highly correlated feature pairs",
                                                                    F.col("n")),
                                F.format_string("%d pairs > 0.8", F.col("n")), F.col("n") > 0))
-        sk = P.skewed_columns(df).agg(F.count(F.lit(1)).alias("n"))
+        sk = P.skewed_columns(df, moments=prof).agg(F.count(F.lit(1)).alias("n"))
         rules.append(_rule(sk, 5, SKEW, F.format_string("%d features show significant skewness", F.col("n")),
                            F.format_string("%d skewed", F.col("n")), F.col("n") > 0))
     if text:
-        hcard = P.high_cardinality(df).agg(F.count(F.lit(1)).alias("n"), names_in_order(k=3).alias("names"))
+        hcard = P.high_cardinality(df, freq=tfreq).agg(F.count(F.lit(1)).alias("n"), names_in_order(k=3).alias("names"))
         rules.append(_rule(hcard, 6, CARDINALITY,
                            F.concat(F.lit("Columns with many unique values: "), F.col("names")),
                            F.format_string("%d columns", F.col("n")), F.col("n") > 0))
@@ -74,7 +80,7 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
     for r in rules[1:]:
         found = found.unionByName(r)
     if text:
-        imb = P.class_imbalance(df, max_classes=10, min_classes=0, threshold=3.0)
+        imb = P.class_imbalance(df, max_classes=10, min_classes=0, threshold=3.0, freq=tfreq)
         n_found = scalars(found.agg(F.count(F.lit(1)).alias("n_found")))["n_found"]
         cand = imb.withColumn("n_found", n_found)
         last = _rule(cand, 7, IMBALANCE,

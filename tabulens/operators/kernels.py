@@ -32,7 +32,7 @@ from tabulens.session import reliable_checkpoint
 
 # Largest number of distinct values per column for which the hash-map
 # percentile (one merge task per column) is used by the ``auto`` method.
-HASHMAP_DISTINCT_LIMIT = 100_000
+HASHMAP_DISTINCT_LIMIT = 2_000_000
 # Columns per wide aggregate; keeps generated methods under the JIT size limit.
 MOMENT_CHUNK = 40
 
@@ -161,6 +161,24 @@ def resolve_method(df: DataFrame, cols: list[str], method: str) -> str:
     return _choose_method(df, cols) if method == "auto" else method
 
 
+def method_from_freq(freq: DataFrame, method: str) -> str:
+    """``auto`` -> ``hashmap`` or ``rank`` from the exact per-column distinct counts of a
+    (materialised) frequency IR; one small job over the IR, no scan of the data."""
+    if method != "auto":
+        return method
+    biggest = freq.groupBy("col_idx").count().agg(F.max("count")).first()[0] or 0
+    return "hashmap" if biggest <= HASHMAP_DISTINCT_LIMIT else "rank"
+
+
+def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The numeric frequency IR written once to the checkpoint folder.
+
+    Distinct counts, quartiles, fences and outlier counts all read it, so the
+    table is scanned and shuffled once for all of them.
+    """
+    return reliable_checkpoint(numeric_freq(df, cols))
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None,
               method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None) -> DataFrame:
     """Exact (linear interpolation, like pandas and DuckDB ``quantile_cont``) quantiles.

@@ -36,13 +36,18 @@ def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: i
     return out.where(F.col("outlier_count") > 0) if only_with_outliers else out
 
 
-def outlier_columns(df: DataFrame, max_cols: int = 10, threshold: float = 5.0, k: float = 1.5) -> DataFrame:
-    """Columns among the first ``max_cols`` numeric ones with more than ``threshold`` % IQR outliers (of all rows)."""
+def outlier_columns(df: DataFrame, max_cols: int = 10, threshold: float = 5.0, k: float = 1.5,
+                    profile: DataFrame | None = None) -> DataFrame:
+    """Columns among the first ``max_cols`` numeric ones with more than ``threshold`` % IQR outliers (of all rows).
+
+    ``profile`` may be a precomputed ``numeric_profile`` (fence ``k``) over all numeric columns.
+    """
     cols = TY.numeric_columns(df)[:max_cols]
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "position int, column string, outlier_count long, outlier_percentage double")
-    p = numeric_profile(df, cols, fence=k, with_unique=False)
+    p = (numeric_profile(df, cols, fence=k, with_unique=False) if profile is None
+         else profile.where(F.col("col_idx") < max_cols))
     raw = pct(F.coalesce("outliers", F.lit(0)), "n_rows")
     return (p.where(raw > threshold)
             .select(F.col("col_idx").alias("position"), "column",

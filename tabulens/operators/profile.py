@@ -39,17 +39,22 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
 
     Columns: col_idx, column, dtype, n_rows, count, missing, mean, std, variance, min,
     max, skewness, kurtosis, sum, q1, median, q3, unique, lower_bound, upper_bound,
-    outliers.  The frequency IR feeds distinct counts, quartiles and outlier
-    counts, so the data is scanned twice (moments, frequencies) whatever the
-    number of statistics.
+    outliers.  The frequency IR is materialised once in the checkpoint folder
+    and feeds distinct counts, the quantile-method choice, quartiles and
+    outlier counts, so the data is scanned twice (moments, frequencies)
+    whatever the number of statistics.
     """
     cols = TY.numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     mom = K.moments(df, cols)
     if not cols:
         return mom
-    freq = K.numeric_freq(df, cols)
-    method = K.resolve_method(df, cols, quantile_method)
+    if quantile_method == "approx":
+        freq = K.numeric_freq(df, cols)
+        method = "approx"
+    else:
+        freq = K.materialized_numeric_freq(df, cols)
+        method = K.method_from_freq(freq, quantile_method)
     if method == "hashmap":
         # quartiles and distinct counts in one aggregate over the frequency IR
         qs = freq.groupBy("col_idx").agg(F.percentile("v", QUARTILES, F.col("c")).alias("qs"),
@@ -328,19 +333,24 @@ def high_missing_columns(df: DataFrame, threshold: float = 0.3) -> DataFrame:
                     round_to("frac", 4).alias("missing_fraction")))
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
+def constant_columns(df: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """Numeric columns with sample standard deviation exactly 0 (a NULL std is not constant)."""
-    m = K.moments(df)
+    m = K.moments(df) if moments is None else moments
     return m.where(F.col("std") == 0).select(F.col("col_idx").alias("position"), "column", "count")
 
 
-def high_cardinality(df: DataFrame, ratio_threshold: float = 0.5, min_unique: int = 20) -> DataFrame:
-    """Text columns with distinct/rows > ratio_threshold and distinct > min_unique."""
+def high_cardinality(df: DataFrame, ratio_threshold: float = 0.5, min_unique: int = 20,
+                     freq: DataFrame | None = None) -> DataFrame:
+    """Text columns with distinct/rows > ratio_threshold and distinct > min_unique.
+
+    ``freq`` may be a precomputed text frequency IR over ``text_columns(df)``.
+    """
     cols = TY.text_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "position int, column string, unique long, unique_ratio double")
-    uniq = K.distinct_counts(df, cols)
+    uniq = (K.distinct_counts(df, cols) if freq is None
+            else freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("unique")))
     names = _names(spark, cols).select("col_idx", "column")
     return (uniq.join(F.broadcast(names), "col_idx")
             .join(F.broadcast(_rows_per_col(df, cols)), "col_idx")
@@ -350,14 +360,15 @@ def high_cardinality(df: DataFrame, ratio_threshold: float = 0.5, min_unique: in
                     round_to("unique_ratio", 4).alias("unique_ratio")))
 
 
-def skewed_columns(df: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Numeric columns with std > 0 and |skewness (G1)| > threshold."""
-    m = K.moments(df)
+def skewed_columns(df: DataFrame, threshold: float = 1.0, moments: DataFrame | None = None) -> DataFrame:
+    """Numeric columns with std > 0 and |skewness (G1)| > threshold (``moments`` may be precomputed)."""
+    m = K.moments(df) if moments is None else moments
     return (m.where((F.col("std") > 0) & (F.abs("skewness") > threshold))
             .select(F.col("col_idx").alias("position"), "column", round_to("skewness", 3).alias("skewness")))
 
 
-def class_imbalance(df: DataFrame, max_classes: int = 10, min_classes: int = 1, threshold: float = 3.0) -> DataFrame:
+def class_imbalance(df: DataFrame, max_classes: int = 10, min_classes: int = 1, threshold: float = 3.0,
+                    freq: DataFrame | None = None) -> DataFrame:
     """The first text column with at most ``max_classes`` (and more than ``min_classes``) distinct values:
     its class count, largest and smallest class and their ratio, flagged against ``threshold``."""
     cols = TY.text_columns(df)
@@ -365,7 +376,7 @@ def class_imbalance(df: DataFrame, max_classes: int = 10, min_classes: int = 1,
     schema = ("column string, classes long, max_count long, min_count long, ratio double, imbalanced boolean")
     if not cols:
         return spark.createDataFrame([], schema)
-    freq = K.text_freq(df, cols)
+    freq = K.text_freq(df, cols) if freq is None else freq
     per = (freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("classes"), F.max("c").alias("max_count"),
                                         F.min("c").alias("min_count"))
            .where((F.col("classes") <= max_classes) & (F.col("classes") > min_classes)))
