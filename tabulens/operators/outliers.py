@@ -12,7 +12,8 @@ from tabulens.operators.profile import numeric_profile
 
 
 def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: int | None = 20,
-                 digits: int = 3, only_with_outliers: bool = True, quantile_method: str = "auto") -> DataFrame:
+                 digits: int = 3, only_with_outliers: bool = True, quantile_method: str = "auto",
+                 profile: DataFrame | None = None) -> DataFrame:
     """Per numeric column (first ``max_cols``): values outside [q1 - k*IQR, q3 + k*IQR].
 
     ``denom='rows'`` divides by all rows (report), ``'non_null'`` by the
@@ -26,7 +27,8 @@ def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: i
     if not cols:
         return spark.createDataFrame([], "position int, column string, outlier_count long, "
                                          "outlier_percentage double, lower_bound double, upper_bound double")
-    p = numeric_profile(df, cols, quantile_method=quantile_method, fence=k, with_unique=False)
+    p = (numeric_profile(df, cols, quantile_method=quantile_method, fence=k, with_unique=False) if profile is None
+         else profile.where(F.col("col_idx") < len(cols)))
     base = "n_rows" if denom == "rows" else "count"
     out = p.select(F.col("col_idx").alias("position"), "column",
                    F.coalesce("outliers", F.lit(0)).cast("long").alias("outlier_count"),

@@ -84,9 +84,12 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
 # ---------------------------------------------------------------------------
 
 def variable_summary_numeric(df: DataFrame, cols: list[str] | None = None, quantile_method: str = "auto",
-                             denom: str = "rows") -> DataFrame:
-    """Per numeric column: count, missing, unique, moments, quartiles, variance, range, IQR outliers."""
-    p = numeric_profile(df, cols, quantile_method)
+                             denom: str = "rows", profile: DataFrame | None = None) -> DataFrame:
+    """Per numeric column: count, missing, unique, moments, quartiles, variance, range, IQR outliers.
+
+    ``profile`` may be a precomputed :func:`numeric_profile` (with distinct counts and outliers).
+    """
+    p = numeric_profile(df, cols, quantile_method) if profile is None else profile
     base = F.col("n_rows") if denom == "rows" else F.col("count")
     return p.select(
         F.col("col_idx").alias("position"), "column", "dtype", "count", "missing",

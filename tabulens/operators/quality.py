@@ -22,7 +22,7 @@ REC_CONSTANTS = "Drop constant columns: {}"
 REC_DIMENSIONS = "Consider dimensionality reduction for better performance"
 
 
-def quality_score(df: DataFrame) -> DataFrame:
+def quality_score(df: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """One row: quality_score (0-100, 1 dp), quality_grade (A-F from the unclamped score), the inputs,
     and the issue / recommendation lists joined by '; '.
 
@@ -32,7 +32,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     ncols = len(df.columns)
     nnum = len(TY.numeric_columns(df))
     t = _dataset_totals(df).withColumn("mp", pct("null_count", F.col("rows") * ncols))
-    m = K.moments(df)
+    m = K.moments(df) if moments is None else moments
     const = m.where(F.col("std") == 0).select(F.col("col_idx").alias("position"), "column").agg(
         F.count(F.lit(1)).alias("n_const"), names_in_order(k=3).alias("const_names"))
     cs = scalars(const)

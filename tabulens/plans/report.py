@@ -23,14 +23,22 @@ from tabulens.operators import quality as QL
 
 def auto_report(df: DataFrame) -> dict[str, DataFrame]:
     """Overview, variable summaries, correlations, missing values, outliers (first 20 numeric),
-    normality tests (first 5 of the first 10 numeric) and the quality score."""
+    normality tests (first 5 of the first 10 numeric) and the quality score.
+
+    The per-column numeric profile (moments, quartiles, distinct and outlier
+    counts; one row per column) is materialised once and feeds the numeric
+    summary, the outlier section and the constant-column rule.
+    """
+    from tabulens.session import reliable_checkpoint
+    num = TY.numeric_columns(df)
+    prof = reliable_checkpoint(P.numeric_profile(df, num)) if num else None
     out = {
         "dataset_overview": P.report_overview(df),
-        "variables_numeric": P.variable_summary_numeric(df),
+        "variables_numeric": P.variable_summary_numeric(df, profile=prof),
         "variables_categorical": P.variable_summary_categorical(df),
         "missing_values": P.missing_by_column(df),
-        "outlier_analysis": OU.iqr_outliers(df, max_cols=20),
-        "data_quality": QL.quality_score(df),
+        "outlier_analysis": OU.iqr_outliers(df, max_cols=20, profile=prof),
+        "data_quality": QL.quality_score(df, moments=prof),
     }
     if len(TY.numeric_columns(df)) >= 2:
         out["top_correlations"] = C.top_correlations(df, 10)

@@ -104,3 +104,41 @@ def test_sample_refines_boundary_bucket(spark):
     from tabulens.functions.hashing import md5_key
     want = {r[0] for r in o.orderBy(md5_key(["o_orderkey"], 42)).limit(700).select("o_orderkey").collect()}
     assert deep == want
+
+
+def test_auto_report_sections_match_standalone(spark):
+    from tabulens.operators import outliers as OU
+    df = FX.lineitem_outliers(spark, SF_SMALL)
+    rep = auto_report(df)
+    for key, alone in [("variables_numeric", P.variable_summary_numeric(df)),
+                       ("outlier_analysis", OU.iqr_outliers(df, max_cols=20))]:
+        assert sorted(map(tuple, rep[key].collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_hot_value_quantiles_exact(spark):
+    """A third of all rows share one value: rank-path quantiles still equal the hash-map path and NumPy."""
+    import numpy as np
+    from tabulens.operators import kernels as K
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 3 == 0, F.lit(7.0))
+                                      .otherwise((F.col("id") * 37 % 1000) / 10.0).alias("x"))
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    a = K.quantiles(df, ["x"], probs, method="rank").first()
+    b = K.quantiles(df, ["x"], probs, method="hashmap").first()
+    vals = np.array([r[0] for r in df.collect()])
+    want = np.quantile(vals, probs)
+    for j in range(len(probs)):
+        assert abs(a[j + 1] - want[j]) < 1e-9 and abs(b[j + 1] - want[j]) < 1e-9
+
+
+def test_stratified_sample_hot_class_matches_brute_force(spark):
+    """One class holds most rows; the bucketed sampler equals row_number() <= quota per class."""
+    from pyspark.sql import Window
+    from tabulens.functions.hashing import md5_key
+    df = spark.range(0, 20000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 7, "hot")
+                                      .when(F.col("id") % 10 < 9, "mid").otherwise("rare").alias("cls"))
+    got = {r[0] for r in SM.stratified_sample(df, "cls", 1000, key="k").select("k").collect()}
+    q = {r["cls"]: r["quota"] for r in SM.class_quotas(df, "cls", 1000).collect()}
+    w = Window.partitionBy("cls").orderBy(md5_key(["k"], 42))
+    ranked = df.withColumn("rn", F.row_number().over(w)).collect()
+    want = {r["k"] for r in ranked if r["rn"] <= q[r["cls"]]}
+    assert len(got) == 1000 and got == want
