@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabulens import types as TY
 from tabulens.functions.stats import pct, ratio, round_to
 from tabulens.operators import kernels as K
+from tabulens.operators.rules import scalars
 
 QUARTILES = [0.25, 0.5, 0.75]
 QUARTILE_NAMES = ["q1", "median", "q3"]
@@ -141,13 +142,9 @@ def variable_summary_categorical(df: DataFrame, cols: list[str] | None = None) -
 # AGG1-3, AGG10, AGG13: dataset level
 # ---------------------------------------------------------------------------
 
-def _grouped_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with multiplicity ``c`` and per-row null count ``nn``.
-
-    One shuffle of the distinct rows gives rows, distinct rows, duplicates and
-    null cells together (NULLs compare equal, as in pandas ``duplicated``).
-    Nested columns are grouped through their JSON text.
-    """
+def _row_keys(df: DataFrame):
+    """Grouping keys for whole-row equality (nested columns through their JSON text) and the
+    per-row missing-cell count; NaN is NULL first, so NULLs and NaNs compare equal as in pandas."""
     df = TY.with_nan_as_null(df)
     keys, nulls = [], []
     for f in df.schema.fields:
@@ -157,24 +154,48 @@ def _grouped_rows(df: DataFrame) -> DataFrame:
         keys.append(c.alias(f"k_{len(keys)}"))
         nulls.append(F.col(f.name).isNull().cast("int"))
     nn = sum(nulls[1:], nulls[0]) if nulls else F.lit(0)
-    return (df.select(*keys, nn.alias("nn"))
-            .groupBy(*[f"k_{i}" for i in range(len(keys))], "nn")
-            .agg(F.count(F.lit(1)).alias("c")))
+    return df, keys, nn
+
+
+def _duplicate_stats(df: DataFrame) -> DataFrame:
+    """One row: rows, null_count, distinct_rows, duplicates -- exact, without shuffling whole rows.
+
+    Phase 1 shuffles only a 96-bit row hash (xxhash64 + murmur3) to find hash
+    values seen more than once; rows with a unique hash are certainly unique.
+    Phase 2 groups the full rows of the candidate hashes only (a left-semi
+    join on the candidate set), so hash collisions can never merge different
+    rows.  When duplicates are rare, phase 2 touches a tiny share of the table.
+    """
+    df, keys, nn = _row_keys(df)
+    names = [f"k_{i}" for i in range(len(keys))]
+    base = df.select(*keys, nn.alias("nn"))
+    if not names:
+        return base.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("null_count"),
+                        F.least(F.count(F.lit(1)), F.lit(1)).alias("distinct_rows"),
+                        F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
+    hashed = base.withColumn("_h1", F.xxhash64(*names)).withColumn("_h2", F.hash(*names))
+    per_hash = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("c"))
+    cand = per_hash.where(F.col("c") > 1).select("_h1", "_h2")
+    exact = (hashed.join(cand, ["_h1", "_h2"], "left_semi")
+             .groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
+             .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("dups")))
+    dups = scalars(exact)["dups"]
+    return base.agg(F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum("nn"), F.lit(0)).cast("long").alias("null_count")).select(
+        "rows", "null_count", (F.col("rows") - dups).alias("distinct_rows"), dups.alias("duplicates"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows, distinct_rows, duplicates (rows minus distinct rows)."""
-    g = _grouped_rows(df)
-    return g.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("rows"),
-                 F.count(F.lit(1)).alias("distinct_rows"),
-                 F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    return _duplicate_stats(df).select(F.col("rows").cast("long").alias("rows"),
+                                       F.col("distinct_rows").cast("long").alias("distinct_rows"),
+                                       F.col("duplicates").cast("long").alias("duplicates"))
 
 
 def _dataset_totals(df: DataFrame) -> DataFrame:
-    g = _grouped_rows(df)
-    return g.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("rows"),
-                 F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicates"),
-                 F.coalesce(F.sum(F.col("c") * F.col("nn")), F.lit(0)).cast("long").alias("null_count"))
+    return _duplicate_stats(df).select(F.col("rows").cast("long").alias("rows"),
+                                       F.col("duplicates").cast("long").alias("duplicates"),
+                                       F.col("null_count").cast("long").alias("null_count"))
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
