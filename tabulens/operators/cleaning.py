@@ -18,9 +18,11 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     """Drop columns whose every value is missing (one aggregate decides which)."""
     if not df.columns:
         return df
-    row = df.agg(*[F.count(F.when(~TY.missing(df, c), F.lit(1))).alias(f"c{i}")
-                   for i, c in enumerate(df.columns)]).first()
-    keep = [c for i, c in enumerate(df.columns) if row[f"c{i}"] > 0]
+    from tabulens.operators.profile import _null_counts
+    # the kept schema depends on the data, so this one small result (one row per column) is collected
+    empty = {r["col_idx"] for r in _null_counts(df).where(F.col("missing") == F.col("n_rows"))
+             .select("col_idx").collect()}
+    keep = [c for i, c in enumerate(df.columns) if i not in empty]
     return df.select(*keep)
 
 

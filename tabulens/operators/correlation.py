@@ -11,8 +11,11 @@ from tabulens import types as TY
 from tabulens.functions.stats import round_to
 from tabulens.operators import kernels as K
 
-# Aggregates per generated aggregate expression batch (three per pair).
-PAIR_BATCH = 60
+# Aggregation-buffer fields per pair: covar_samp 4 (n, x avg, y avg, co-moment),
+# two var_samp 3 each, count 1.
+PAIR_FIELDS = 11
+# regr_count 1, regr_slope 7, regr_intercept 7, regr_r2 6.
+REGR_FIELDS = 21
 
 
 def _pairs(cols, diagonal=False):
@@ -26,8 +29,9 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
     r = covar_samp(x, y) / (std(x|y present) * std(y|x present)): the
     pairwise-complete Pearson coefficient from Spark's stable co-moment
     aggregates.  ``try_divide`` gives NULL for a constant column (``corr``
-    would raise under ANSI).  Pairs are evaluated in batches so each generated
-    aggregate stays small; every batch is one pass with partial aggregation.
+    would raise under ANSI).  Pairs are evaluated in chunks under the codegen
+    field budget; every chunk is one pass with partial aggregation that reads
+    only the columns of its pairs.
     """
     cols = TY.numeric_columns(df) if cols is None else cols
     if max_cols is not None:
@@ -38,26 +42,23 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
     if not pairs:
         return spark.createDataFrame([], schema)
     x = {c: TY.num(df, c) for c in cols}
-    parts = []
-    for b in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[b:b + PAIR_BATCH]
-        aggs, structs = [], []
-        for i, j in batch:
-            a, c = x[cols[i]], x[cols[j]]
-            both = a.isNotNull() & c.isNotNull()
-            aggs += [F.covar_samp(a, c).alias(f"cv_{i}_{j}"),
-                     F.stddev_samp(F.when(both, a)).alias(f"sa_{i}_{j}"),
-                     F.stddev_samp(F.when(both, c)).alias(f"sb_{i}_{j}"),
-                     F.count(F.when(both, F.lit(1))).alias(f"n_{i}_{j}")]
-            structs.append(F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature1"),
-                F.lit(cols[j]).alias("feature2"), F.col(f"n_{i}_{j}").alias("n"),
-                F.try_divide(F.col(f"cv_{i}_{j}"), F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}")).alias("r")))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def build(_, pair):
+        i, j = pair
+        a, c = x[cols[i]], x[cols[j]]
+        both = a.isNotNull() & c.isNotNull()
+        aggs = [F.covar_samp(a, c).alias(f"cv_{i}_{j}"),
+                F.var_samp(F.when(both, a)).alias(f"va_{i}_{j}"),
+                F.var_samp(F.when(both, c)).alias(f"vb_{i}_{j}"),
+                F.count(F.when(both, F.lit(1))).alias(f"n_{i}_{j}")]
+        st = F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature1"),
+            F.lit(cols[j]).alias("feature2"), F.col(f"n_{i}_{j}").alias("n"),
+            F.try_divide(F.col(f"cv_{i}_{j}"),
+                         F.sqrt(F.col(f"va_{i}_{j}")) * F.sqrt(F.col(f"vb_{i}_{j}"))).alias("r"))
+        return aggs, st
+
+    return K.chunked_wide_agg(df, pairs, build, PAIR_FIELDS)
 
 
 def correlation_matrix(df: DataFrame, max_cols: int | None = None, digits: int = 2) -> DataFrame:
@@ -106,16 +107,19 @@ def scatter_trend(df: DataFrame, max_i: int = 3, max_j: int = 4) -> DataFrame:
     schema = "x string, y string, n long, slope double, intercept double, r2 double"
     if not pairs:
         return spark.createDataFrame([], schema)
-    aggs, structs = [], []
-    for i, j in pairs:
+
+    def build(_, pair):
+        i, j = pair
         xs, ys = TY.num(df, cols[i]), TY.num(df, cols[j])
-        aggs += [F.regr_count(ys, xs).alias(f"n{i}_{j}"), F.regr_slope(ys, xs).alias(f"s{i}_{j}"),
-                 F.regr_intercept(ys, xs).alias(f"b{i}_{j}"), F.regr_r2(ys, xs).alias(f"r{i}_{j}")]
-        structs.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-                                F.col(f"n{i}_{j}").alias("n"), round_to(F.col(f"s{i}_{j}"), 6).alias("slope"),
-                                round_to(F.col(f"b{i}_{j}"), 4).alias("intercept"),
-                                round_to(F.col(f"r{i}_{j}"), 4).alias("r2")))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+        aggs = [F.regr_count(ys, xs).alias(f"n{i}_{j}"), F.regr_slope(ys, xs).alias(f"s{i}_{j}"),
+                F.regr_intercept(ys, xs).alias(f"b{i}_{j}"), F.regr_r2(ys, xs).alias(f"r{i}_{j}")]
+        st = F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
+                      F.col(f"n{i}_{j}").alias("n"), round_to(F.col(f"s{i}_{j}"), 6).alias("slope"),
+                      round_to(F.col(f"b{i}_{j}"), 4).alias("intercept"),
+                      round_to(F.col(f"r{i}_{j}"), 4).alias("r2"))
+        return aggs, st
+
+    return K.chunked_wide_agg(df, pairs, build, REGR_FIELDS)
 
 
 # ---------------------------------------------------------------------------

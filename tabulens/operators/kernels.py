@@ -33,8 +33,9 @@ from tabulens.session import reliable_checkpoint
 # Largest number of distinct values per column for which the hash-map
 # percentile (one merge task per column) is used by the ``auto`` method.
 HASHMAP_DISTINCT_LIMIT = 2_000_000
-# Columns per wide aggregate; keeps generated methods under the JIT size limit.
-MOMENT_CHUNK = 40
+# Aggregation-buffer fields per column in ``moments``:
+# count 1, sum 1, var_samp 3 (n, avg, m2), min 1, max 1, skewness 4, kurtosis 5.
+MOMENT_FIELDS = 16
 
 
 def _chunks(seq, n):
@@ -46,6 +47,43 @@ def _default_partitions(spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
 
 
+def codegen_field_budget(spark) -> int:
+    """Whole-stage codegen is switched off for an operator whose input or output
+    schema has more fields than ``spark.sql.codegen.maxFields`` (100 by default).
+    A partial aggregate outputs its whole buffer, so one wide aggregate over many
+    columns silently drops to the interpreted path (3-7x slower per row).  Wide
+    aggregates are therefore cut into chunks under the session's own budget."""
+    return max(int(spark.conf.get("spark.sql.codegen.maxFields", "100")), 2)
+
+
+def chunked_wide_agg(df: DataFrame, items: list, build, fields_per_item: int, head=None) -> DataFrame:
+    """One tidy row per item from wide aggregates cut to the codegen field budget.
+
+    ``build(i, item) -> (aggs, struct)``: the item's aggregate expressions (aliased
+    uniquely) and a struct over those aliases giving its output row.  ``head`` is a
+    list of ``(alias, agg, fields)`` aggregates repeated in every chunk (e.g. the
+    row count).  Each chunk is one scan with partial aggregation and a one-row
+    merge; with a columnar source each chunk reads only its own columns, so
+    chunking costs task launches, not I/O.
+    """
+    head = head or []
+    fixed = sum(f for _, _, f in head)
+    per = max(1, (codegen_field_budget(df.sparkSession) - fixed) // max(fields_per_item, 1))
+    parts = []
+    for chunk in _chunks(list(enumerate(items)), per):
+        aggs = [a.alias(n) for n, a, _ in head]
+        structs = []
+        for i, item in chunk:
+            a, st = build(i, item)
+            aggs += a
+            structs.append(st)
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # moments
 # ---------------------------------------------------------------------------
@@ -54,7 +92,9 @@ def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column.
 
     Columns: col_idx, column, n_rows, count, missing, mean, std, variance, min,
-    max, skewness (G1), kurtosis (G2), sum.  NaN counts as missing.
+    max, skewness (G1), kurtosis (G2), sum.  NaN counts as missing.  ``mean`` is
+    sum / count and ``std`` is sqrt(var_samp): bit for bit what ``avg`` and
+    ``stddev_samp`` return, with two buffers fewer per column.
     """
     cols = TY.numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
@@ -62,32 +102,24 @@ def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return spark.createDataFrame([], "col_idx int, column string, n_rows long, count long, missing long, "
                                          "mean double, std double, variance double, min double, max double, "
                                          "skewness double, kurtosis double, sum double")
-    parts = []
-    for chunk_no, chunk in enumerate(_chunks(list(enumerate(cols)), MOMENT_CHUNK)):
-        aggs = [F.count(F.lit(1)).alias("n_rows")]
-        structs = []
-        for i, name in chunk:
-            x = TY.num(df, name)
-            aggs += [
-                F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                F.var_samp(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"), F.sum(x).alias(f"t{i}"),
-            ]
-            structs.append(F.struct(
-                F.lit(i).alias("col_idx"), F.lit(name).alias("column"), F.col("n_rows"),
-                F.col(f"n{i}").alias("count"), (F.col("n_rows") - F.col(f"n{i}")).alias("missing"),
-                F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"v{i}").alias("variance"),
-                F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                sample_skewness(F.col(f"g{i}"), F.col(f"n{i}")).alias("skewness"),
-                sample_kurtosis(F.col(f"k{i}"), F.col(f"n{i}")).alias("kurtosis"),
-                F.col(f"t{i}").alias("sum"),
-            ))
-        wide = df.agg(*aggs)
-        parts.append(wide.select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def build(i, name):
+        x = TY.num(df, name)
+        aggs = [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"t{i}"), F.var_samp(x).alias(f"v{i}"),
+                F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
+        st = F.struct(
+            F.lit(i).alias("col_idx"), F.lit(name).alias("column"), F.col("n_rows"),
+            F.col(f"n{i}").alias("count"), (F.col("n_rows") - F.col(f"n{i}")).alias("missing"),
+            F.try_divide(F.col(f"t{i}"), F.col(f"n{i}").cast("double")).alias("mean"),
+            F.sqrt(F.col(f"v{i}")).alias("std"), F.col(f"v{i}").alias("variance"),
+            F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+            sample_skewness(F.col(f"g{i}"), F.col(f"n{i}")).alias("skewness"),
+            sample_kurtosis(F.col(f"k{i}"), F.col(f"n{i}")).alias("kurtosis"),
+            F.col(f"t{i}").alias("sum"))
+        return aggs, st
+
+    return chunked_wide_agg(df, cols, build, MOMENT_FIELDS, head=[("n_rows", F.count(F.lit(1)), 1)])
 
 
 # ---------------------------------------------------------------------------

@@ -244,13 +244,13 @@ def report_overview(df: DataFrame) -> DataFrame:
 def _null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col_idx, column, n_rows, missing) from one wide aggregate."""
     cols = list(df.columns) if cols is None else cols
-    aggs = [F.count(F.lit(1)).alias("n_rows")] + [
-        F.sum(TY.missing(df, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    return wide.select("n_rows", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("column"),
-                 F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long").alias("missing"))
-        for i, c in enumerate(cols)])))
+
+    def build(i, c):
+        aggs = [F.sum(TY.missing(df, c).cast("long")).alias(f"m{i}")]
+        return aggs, F.struct(F.col("n_rows"), F.lit(i).alias("col_idx"), F.lit(c).alias("column"),
+                              F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long").alias("missing"))
+
+    return K.chunked_wide_agg(df, cols, build, 1, head=[("n_rows", F.count(F.lit(1)), 1)])
 
 
 def completeness(df: DataFrame) -> DataFrame:
