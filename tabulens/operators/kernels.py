@@ -7,12 +7,13 @@
                  ``(col_idx, value)`` and counted with map-side combine, so a hot
                  value collapses to one row per task before the shuffle.
 * ``quantiles``  exact linear-interpolation quantiles computed from the
-                 frequency IR.  ``hashmap`` uses Spark's ``percentile`` with a
-                 frequency argument (one task per column holds that column's
-                 distinct values, so it is used only under a checked distinct
-                 bound); ``rank`` is the unbounded exact form (range partition of
-                 distinct values + per-partition offsets); ``approx`` is
-                 ``percentile_approx``.
+                 frequency IR.  ``bucket`` (default) narrows each target rank by
+                 equal-width bucket counts (partial aggregation in every task)
+                 until few distinct values remain, then ranks those exactly;
+                 ``hashmap`` uses Spark's ``percentile`` with a frequency argument
+                 (one task per column holds that column's distinct values);
+                 ``rank`` range-partitions the distinct values and adds
+                 per-partition offsets; ``approx`` is ``percentile_approx``.
 * ``ordered_index_stats``
                  sums over a global row index in a sort order without a
                  single-partition window: range partition, sort inside
@@ -23,6 +24,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,11 @@ from tabulens.session import reliable_checkpoint
 # Largest number of distinct values per column for which the hash-map
 # percentile (one merge task per column) is used by the ``auto`` method.
 HASHMAP_DISTINCT_LIMIT = 2_000_000
+# ``bucket`` quantiles: equal-width buckets per refinement level, the largest
+# number of distinct values ranked exactly by one window task, and the level cap.
+QUANTILE_BUCKETS = 4096
+QUANTILE_EXACT_LIMIT = 100_000
+QUANTILE_MAX_LEVELS = 6
 # Aggregation-buffer fields per column in ``moments``:
 # count 1, sum 1, var_samp 3 (n, avg, m2), min 1, max 1, skewness 4, kurtosis 5.
 MOMENT_FIELDS = 16
@@ -181,25 +189,14 @@ def top2(freq: DataFrame, key: str = "value") -> DataFrame:
 # quantiles
 # ---------------------------------------------------------------------------
 
-def _choose_method(df: DataFrame, cols: list[str]) -> str:
-    """``hashmap`` if every column's distinct count is under the limit, else ``rank``."""
-    est = df.agg(*[F.approx_count_distinct(TY.num(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    biggest = max(est[i] or 0 for i in range(len(cols)))
-    return "hashmap" if biggest <= HASHMAP_DISTINCT_LIMIT else "rank"
-
-
 def resolve_method(df: DataFrame, cols: list[str], method: str) -> str:
-    """Turn ``auto`` into ``hashmap`` or ``rank`` by a checked distinct-count bound."""
-    return _choose_method(df, cols) if method == "auto" else method
+    """``auto`` is the bucket-refinement method: exact, parallel, and bounded per task
+    whatever the number of distinct values."""
+    return "bucket" if method == "auto" else method
 
 
 def method_from_freq(freq: DataFrame, method: str) -> str:
-    """``auto`` -> ``hashmap`` or ``rank`` from the exact per-column distinct counts of a
-    (materialised) frequency IR; one small job over the IR, no scan of the data."""
-    if method != "auto":
-        return method
-    biggest = freq.groupBy("col_idx").count().agg(F.max("count")).first()[0] or 0
-    return "hashmap" if biggest <= HASHMAP_DISTINCT_LIMIT else "rank"
+    return "bucket" if method == "auto" else method
 
 
 def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -212,21 +209,27 @@ def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None,
-              method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None) -> DataFrame:
+              method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None,
+              col_stats: list | None = None) -> DataFrame:
     """Exact (linear interpolation, like pandas and DuckDB ``quantile_cont``) quantiles.
 
     Returns (col_idx, <names...>) with one row per column that has at least one value.
+    Methods: ``bucket`` (default, :func:`bucket_quantiles`), ``hashmap`` (Spark's
+    ``percentile`` with a frequency argument: one merge task holds a whole column's
+    distinct values), ``rank`` (range-partitioned rank intervals), ``approx``.
     """
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "col_idx int, " + ", ".join(f"{n} double" for n in names))
-    if method == "auto":
-        method = _choose_method(df, cols)
+    method = resolve_method(df, cols, method)
     if method == "approx":
         long = long_numeric(df, cols)
         q = long.groupBy("col_idx").agg(F.percentile_approx("v", list(probs), accuracy).alias("qs"))
         return q.select("col_idx", *[F.col("qs")[j].alias(n) for j, n in enumerate(names)])
+    if method == "bucket":
+        freq = materialized_numeric_freq(df, cols) if freq is None else freq
+        return bucket_quantiles(freq, probs, names, col_stats=col_stats)
     freq = numeric_freq(df, cols) if freq is None else freq
     if method == "hashmap":
         q = freq.groupBy("col_idx").agg(F.percentile("v", list(probs), F.col("c")).alias("qs"))
@@ -236,6 +239,101 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[st
     raise ValueError(f"unknown quantile method {method!r}")
 
 
+def freq_column_stats(freq: DataFrame) -> list:
+    """Per column of a frequency IR: (col_idx, lo, hi, n, d) = min, max, values, distinct values.
+    One pass with partial aggregation; the result has one row per column."""
+    return (freq.groupBy("col_idx")
+            .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"),
+                 F.count(F.lit(1)).alias("d"))
+            .collect())
+
+
+def bucket_quantiles(freq: DataFrame, probs: list[float], names: list[str], col_stats: list | None = None,
+                     buckets: int = QUANTILE_BUCKETS, exact_limit: int = QUANTILE_EXACT_LIMIT,
+                     max_levels: int = QUANTILE_MAX_LEVELS) -> DataFrame:
+    """Exact quantiles from a (materialised) frequency IR ``(col_idx, v, c)`` by bucket refinement.
+
+    Every quantile needs the values at two 0-based ranks, floor and ceil of
+    p * (n - 1).  For each such rank we keep a value range known to hold it and
+    the number of values below the range.  While a range holds more than
+    ``exact_limit`` distinct values, one pass over the IR counts its values in
+    ``buckets`` equal-width buckets (partial aggregation in every task, the
+    output is ranges x buckets rows) and the range shrinks to the actual
+    [min, max] of the bucket holding the rank.  Bucketing is monotone in the
+    value, so the values below the new range are exactly the lower buckets.
+    Finally a window per rank orders the few distinct values left in its range.
+    No task holds more than ``exact_limit`` distinct values (up to the level
+    cap), and only tables with one row per (column, rank) reach the driver.
+    Interpolation is (1 - frac) * v0 + frac * v1, DuckDB's ``quantile_cont`` formula.
+    """
+    spark = freq.sparkSession
+    out_schema = "col_idx int, " + ", ".join(f"{n} double" for n in names)
+    stats = freq_column_stats(freq) if col_stats is None else col_stats
+    plan, state = [], {}
+    for row in stats:
+        n = row["n"] or 0
+        if n <= 0:
+            continue
+        for pi, p in enumerate(probs):
+            pos = float(p) * (n - 1)
+            r0, r1 = math.floor(pos), math.ceil(pos)
+            plan.append((row["col_idx"], pi, r0, r1, pos - r0))
+            for r in (r0, r1):
+                state.setdefault((row["col_idx"], r), [float(row["lo"]), float(row["hi"]), 0, row["d"]])
+    if not plan:
+        return spark.createDataFrame([], out_schema)
+    v = F.col("v")
+    for _ in range(max_levels):
+        todo = [k for k, st in state.items() if st[3] > exact_limit]
+        if not todo:
+            break
+        ranges = sorted({(k[0], state[k][0], state[k][1]) for k in todo})
+        rid = {r: i for i, r in enumerate(ranges)}
+        rtab = spark.createDataFrame([(i, c, lo, hi) for (c, lo, hi), i in rid.items()],
+                                     "rid int, r_col int, r_lo double, r_hi double")
+        width = F.col("r_hi") - F.col("r_lo")
+        b = F.when(width > 0, F.least(F.greatest(
+            F.floor(F.try_divide(v - F.col("r_lo"), width) * buckets), F.lit(0)), F.lit(buckets - 1))).otherwise(0)
+        per_bucket = (freq.join(F.broadcast(rtab), (F.col("col_idx") == F.col("r_col"))
+                                & (v >= F.col("r_lo")) & (v <= F.col("r_hi")))
+                      .groupBy("rid", b.alias("b"))
+                      .agg(F.sum("c").alias("cnt"), F.count(F.lit(1)).alias("d"),
+                           F.min("v").alias("bmin"), F.max("v").alias("bmax")))
+        w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        cum = per_bucket.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        ttab = spark.createDataFrame(
+            [(t, rid[(k[0], state[k][0], state[k][1])], k[1] - state[k][2]) for t, k in enumerate(todo)],
+            "tid int, t_rid int, rel long")
+        hit = (cum.join(F.broadcast(ttab), (F.col("rid") == F.col("t_rid")) & (F.col("before") <= F.col("rel"))
+                        & (F.col("rel") < F.col("before") + F.col("cnt")))
+               .select("tid", "before", "d", "bmin", "bmax").collect())
+        progressed = False
+        for h in hit:
+            st = state[todo[h["tid"]]]
+            if h["d"] < st[3]:
+                progressed = True
+            state[todo[h["tid"]]] = [float(h["bmin"]), float(h["bmax"]), st[2] + h["before"], h["d"]]
+        if not progressed:
+            break
+    keys = list(state)
+    ftab = spark.createDataFrame([(t, k[0], state[k][0], state[k][1], k[1] - state[k][2])
+                                  for t, k in enumerate(keys)],
+                                 "tid int, f_col int, f_lo double, f_hi double, rel long")
+    inside = freq.join(F.broadcast(ftab), (F.col("col_idx") == F.col("f_col"))
+                       & (v >= F.col("f_lo")) & (v <= F.col("f_hi")))
+    wr = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = (inside.withColumn("upto", F.sum("c").over(wr))
+              .where((F.col("upto") - F.col("c") <= F.col("rel")) & (F.col("rel") < F.col("upto")))
+              .select("tid", "v").collect())
+    value = {keys[r["tid"]]: r["v"] for r in picked}
+    rows = {}
+    for c, pi, r0, r1, frac in plan:
+        v0, v1 = value.get((c, r0)), value.get((c, r1))
+        q = v0 if r0 == r1 or v0 is None or v1 is None else (1.0 - frac) * v0 + frac * v1
+        rows.setdefault(c, [None] * len(names))[pi] = q
+    return spark.createDataFrame([(c, *qs) for c, qs in sorted(rows.items())], out_schema)
+
+
 def rank_intervals(freq: DataFrame) -> DataFrame:
     """(col_idx, v, c, lo, hi, n, ...): each distinct value's 0-based rank interval [lo, hi) in its column.
 

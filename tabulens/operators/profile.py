@@ -13,6 +13,7 @@ from tabulens import types as TY
 from tabulens.functions.stats import pct, ratio, round_to
 from tabulens.operators import kernels as K
 from tabulens.operators.rules import scalars
+from tabulens.session import reliable_checkpoint
 
 QUARTILES = [0.25, 0.5, 0.75]
 QUARTILE_NAMES = ["q1", "median", "q3"]
@@ -63,14 +64,23 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
         q = qs.select("col_idx", "unique", *[F.col("qs")[j].alias(n) for j, n in enumerate(QUARTILE_NAMES)])
         out = mom.join(q if with_unique else q.drop("unique"), "col_idx", "left")
     else:
-        q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=method, freq=freq)
+        # bucket method: one pass over the IR gives per-column min/max/count/distinct,
+        # which seed the refinement and are the distinct counts
+        col_stats = K.freq_column_stats(freq) if method == "bucket" else None
+        q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=method, freq=freq, col_stats=col_stats)
         out = mom.join(q, "col_idx", "left")
         if with_unique:
-            out = out.join(freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("unique")), "col_idx", "left")
+            uniq = (spark.createDataFrame([(r["col_idx"], r["d"]) for r in col_stats], "col_idx int, unique long")
+                    if col_stats is not None
+                    else freq.groupBy("col_idx").agg(F.count(F.lit(1)).alias("unique")))
+            out = out.join(uniq, "col_idx", "left")
     out = (out.withColumn("lower_bound", F.col("q1") - fence * (F.col("q3") - F.col("q1")))
               .withColumn("upper_bound", F.col("q3") + fence * (F.col("q3") - F.col("q1"))))
     if with_outliers:
-        fences = F.broadcast(out.select("col_idx", "lower_bound", "upper_bound"))  # one row per column
+        # one row per column, read twice (result and fences): written once so the moment
+        # scan and the quantile merge are not planned a second time under the broadcast
+        out = reliable_checkpoint(out)
+        fences = F.broadcast(out.select("col_idx", "lower_bound", "upper_bound"))
         outl = (freq.join(fences, "col_idx")
                 .groupBy("col_idx")
                 .agg(F.sum(F.when((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")),

@@ -98,6 +98,27 @@ def test_quantile_methods_agree(spark):
     df = spark.range(0, 5001).select((F.col("id") % 97 * 1.5).alias("x"), (F.col("id") * 0.001).alias("y"))
     a = K.quantiles(df, ["x", "y"], [0.1, 0.25, 0.5, 0.9], method="hashmap").orderBy("col_idx").collect()
     b = K.quantiles(df, ["x", "y"], [0.1, 0.25, 0.5, 0.9], method="rank").orderBy("col_idx").collect()
-    for ra, rb in zip(a, b):
-        for va, vb in zip(ra, rb):
+    c = K.quantiles(df, ["x", "y"], [0.1, 0.25, 0.5, 0.9], method="bucket").orderBy("col_idx").collect()
+    for ra, rb, rc in zip(a, b, c):
+        for va, vb, vc in zip(ra, rb, rc):
             assert math.isclose(va, vb, rel_tol=1e-12, abs_tol=1e-12)
+            assert math.isclose(va, vc, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_bucket_quantiles_refine_exactly(spark):
+    """Forced refinement (tiny distinct limit, few buckets) on a heavy tail, ties, a constant and an
+    empty column gives the same quantiles as the single-task percentile."""
+    rows = [(1e12 if i == 0 else ((i * 7919) % 10007 / 10007.0) ** 8, float(i % 51), 3.0, None)
+            for i in range(20000)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, w double")
+    cols, probs = ["x", "y", "z", "w"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    names = [f"q{j}" for j in range(len(probs))]
+    want = {r[0]: r[1:] for r in K.quantiles(df, cols, probs, names, method="hashmap").collect()}
+    freq = K.materialized_numeric_freq(df, cols)
+    for limit, buckets in [(100_000, 4096), (50, 16), (3, 4)]:
+        got = {r[0]: r[1:] for r in K.bucket_quantiles(freq, probs, names, exact_limit=limit,
+                                                        buckets=buckets).collect()}
+        assert set(got) == set(want) == {0, 1, 2}
+        for c in want:
+            for va, vb in zip(want[c], got[c]):
+                assert math.isclose(va, vb, rel_tol=1e-12, abs_tol=1e-300)

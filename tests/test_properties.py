@@ -124,10 +124,12 @@ def test_hot_value_quantiles_exact(spark):
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     a = K.quantiles(df, ["x"], probs, method="rank").first()
     b = K.quantiles(df, ["x"], probs, method="hashmap").first()
+    c = K.quantiles(df, ["x"], probs, method="bucket").first()
     vals = np.array([r[0] for r in df.collect()])
     want = np.quantile(vals, probs)
     for j in range(len(probs)):
         assert abs(a[j + 1] - want[j]) < 1e-9 and abs(b[j + 1] - want[j]) < 1e-9
+        assert abs(c[j + 1] - want[j]) < 1e-9
 
 
 def test_stratified_sample_hot_class_matches_brute_force(spark):
