@@ -80,6 +80,8 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
     for r in rules[1:]:
         found = found.unionByName(r)
     if text:
+        # at most six rule rows, read twice (their count gates the last rule): written once
+        found = reliable_checkpoint(found)
         imb = P.class_imbalance(df, max_classes=10, min_classes=0, threshold=3.0, freq=tfreq)
         n_found = scalars(found.agg(F.count(F.lit(1)).alias("n_found")))["n_found"]
         cand = imb.withColumn("n_found", n_found)
