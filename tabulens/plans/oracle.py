@@ -173,3 +173,41 @@ def imbalance_rows(src: str, cols: list[str], min_classes: int) -> str:
 def missing_frac_rows(src: str, cols: list[str]) -> str:
     return union([f"SELECT {i} AS position, (count(*) - count({q(c)})) / count(*) AS frac FROM {src}"
                   for i, c in enumerate(cols)])
+
+
+def dbl(x: float) -> str:
+    """A DOUBLE literal (scientific form, so DuckDB parses it as DOUBLE, not DECIMAL)."""
+    t = repr(float(x))
+    return f"{t}e0" if "e" not in t and "inf" not in t and "nan" not in t else t
+
+
+def _horner(coefs, x: str) -> str:
+    acc = dbl(coefs[0])
+    for c in coefs[1:]:
+        acc = f"({acc} * {x} + {dbl(c)})"
+    return acc
+
+
+def norm_ppf(p: str) -> str:
+    """Acklam's inverse normal CDF in SQL, the same coefficients, branches and
+    evaluation order as ``functions.normal.norm_ppf``."""
+    from tabulens.functions import normal as N
+    q_low = f"sqrt(-2.0e0 * ln({p}))"
+    q_high = f"sqrt(-2.0e0 * ln(1.0e0 - {p}))"
+    low = f"({_horner(N._C, q_low)} / ({_horner(N._D, q_low)} * {q_low} + 1.0e0))"
+    high = f"(-{_horner(N._C, q_high)} / ({_horner(N._D, q_high)} * {q_high} + 1.0e0))"
+    q = f"({p} - 0.5e0)"
+    rr = f"({q} * {q})"
+    mid = f"({_horner(N._A, rr)} * {q} / ({_horner(N._B, rr)} * {rr} + 1.0e0))"
+    return (f"(CASE WHEN {p} < {dbl(N._P_LOW)} THEN {low} WHEN {p} > {dbl(1 - N._P_LOW)} THEN {high} "
+            f"ELSE {mid} END)")
+
+
+def qq_positions(src: str, col: str) -> str:
+    """(i, n, x, p): values of ``col`` in order with Filliben plotting positions."""
+    return f"""
+o AS (SELECT CAST({col} AS DOUBLE) AS x, row_number() OVER (ORDER BY {col}) AS i, count(*) OVER () AS n
+      FROM {src} WHERE {col} IS NOT NULL),
+m AS (SELECT i, n, x, CASE WHEN i = n THEN pow(0.5e0, 1.0e0 / CAST(n AS DOUBLE))
+                          WHEN i = 1 THEN 1.0e0 - pow(0.5e0, 1.0e0 / CAST(n AS DOUBLE))
+                          ELSE (CAST(i AS DOUBLE) - 0.3175e0) / (CAST(n AS DOUBLE) + 0.365e0) END AS p FROM o)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from tabulens.functions.stats import round_to
 from tabulens.operators import charts as CH
 from tabulens.plans import fixtures as FX
 from tabulens.plans import oracle as O
@@ -120,6 +123,18 @@ def q_time_series_daily(spark, d):
     return CH.time_series(FX.events(spark, d), "ts", "value", bucket="day")
 
 
-@register("kde")
+@register("kde", f"""
+WITH v AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL),
+st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM v),
+s AS (SELECT n, lo, hi, sd * pow(CAST(n AS DOUBLE), -0.2e0) AS h, (hi - lo) / 2000 AS w FROM st),
+c AS (SELECT least(coalesce(CAST(floor((x - lo) / w) AS BIGINT), 0), 1999) AS b, count(*) AS c FROM v, s GROUP BY 1),
+g AS (SELECT range AS gi FROM range(0, 100)),
+p AS (SELECT gi, (lo - 3 * h) + gi * ((hi - lo + 6 * h) / 99) AS gx, c, lo + (b + 0.5e0) * w AS m, n, h
+      FROM c, g, s)
+SELECT gi AS point, {O.r('gx', 4)} AS x,
+  {O.r(f'sum(c * exp(-0.5e0 * pow((gx - m) / h, 2)) * {O.dbl(1.0 / math.sqrt(2 * math.pi))}) / (n * h)', 12)}
+    AS density
+FROM p GROUP BY gi, gx, n, h""")
 def q_kde(spark, d):
-    return CH.kde(FX.table(spark, d, "lineitem"), "l_extendedprice")
+    dens = CH.kde(FX.table(spark, d, "lineitem"), "l_extendedprice")
+    return dens.select("point", round_to("x", 4).alias("x"), round_to("density", 12).alias("density"))

@@ -8,18 +8,28 @@ from tabulens.ml import cluster as CU
 from tabulens.ml import compare as CMP
 from tabulens.ml.prepare import feature_pipeline  # noqa: F401
 from tabulens.operators import normality as NO
+from tabulens.functions.stats import round_to
 from tabulens.plans import fixtures as FX
+from tabulens.plans import oracle as O
 from tabulens.plans.registry import register
 
 
-@register("qq_points")
+@register("qq_points", f"""
+WITH {O.qq_positions('lineitem', 'l_extendedprice')}
+SELECT i AS rank, {O.r(O.norm_ppf('p'), 9)} AS theoretical, x AS sample FROM m""")
 def q_qq_points(spark, d):
-    return NO.qq_points(FX.table(spark, d, "lineitem"), "l_extendedprice")
+    pts = NO.qq_points(FX.table(spark, d, "lineitem"), "l_extendedprice")
+    return pts.select("rank", round_to("theoretical", 9).alias("theoretical"), "sample")
 
 
-@register("qq_fit")
+@register("qq_fit", f"""
+WITH {O.qq_positions('lineitem', 'l_quantity')},
+t AS (SELECT x, {O.norm_ppf('p')} AS z FROM m)
+SELECT {O.r('regr_slope(x, z)', 6)} AS slope, {O.r('regr_intercept(x, z)', 6)} AS intercept,
+  {O.r('corr(x, z)', 6)} AS r FROM t""")
 def q_qq_fit(spark, d):
-    return NO.qq_fit(NO.qq_points(FX.table(spark, d, "lineitem"), "l_quantity"))
+    fit = NO.qq_fit(NO.qq_points(FX.table(spark, d, "lineitem"), "l_quantity"))
+    return fit.select(*[round_to(c, 6).alias(c) for c in ["slope", "intercept", "r"]])
 
 
 @register("normality_test")
