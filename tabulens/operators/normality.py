@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens import types as TY
+from tabulens.functions import hashing as H
 from tabulens.functions.normal import norm_cdf, norm_ppf
 from tabulens.functions.stats import round_to
 from tabulens.operators import kernels as K
@@ -47,29 +48,40 @@ def qq_fit(points: DataFrame) -> DataFrame:
 
 
 def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_sample: int = 5000,
-                   report: int = 5, alpha: float = 0.05) -> DataFrame:
+                   report: int = 5, alpha: float = 0.05, cols: list[str] | None = None,
+                   key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Shapiro-Francia W' on a deterministic sample of at most ``max_sample`` values per column.
 
     W' = corr(sorted sample, Blom scores)^2 (Shapiro & Francia 1972); p-value by
-    Royston's (1993) normalising transform of ln(1 - W').  Sampling keeps the
-    smallest hashes: a hash threshold cuts each column to about 3x the sample
-    size before the (now bounded) per-column ranking.
+    Royston's (1993) normalising transform of ln(1 - W').  The sample is the
+    ``max_sample`` smallest hashes per column: md5 of ``key|column index|seed``
+    when key columns are given (reproducible in SQL), else a 64-bit hash of the
+    whole row.  A prefix of the hash order (about 6x the sample size) is cut by
+    a filter before the per-column ranking, so no window holds a whole column.
     """
-    cols = [c for c in TY.numeric_columns(df)][:max_cols]
+    cols = (TY.numeric_columns(df) if cols is None else list(cols))[:max_cols]
     spark = df.sparkSession
     schema = ("position int, column string, test string, n long, statistic double, p_value double, "
               "is_normal boolean, interpretation string")
     if not cols:
         return spark.createDataFrame([], schema)
-    keyed = df.withColumn("_rh", F.xxhash64(*[F.col(c) for c in df.columns]))
     pairs = F.array(*[F.struct(F.lit(i).alias("col_idx"), TY.num(df, c).alias("v")) for i, c in enumerate(cols)])
-    long = keyed.select("_rh", F.inline(pairs)).where(F.col("v").isNotNull())
-    long = long.withColumn("h", F.xxhash64("_rh", "col_idx"))
+    if key:
+        long = df.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.inline(pairs))
+        long = long.where(F.col("v").isNotNull())
+        h = H.md5_key([F.col(f"_k{j}") for j in range(len(key))] + [F.col("col_idx")], seed)
+        long = long.withColumn("h", h)
+        unit = H.md5_bucket_of(F.col("h")) / float(H.BUCKETS)  # hash prefix as a fraction in [0, 1)
+    else:
+        keyed = df.withColumn("_rh", F.xxhash64(*[F.col(c) for c in df.columns]))
+        long = keyed.select("_rh", F.inline(pairs)).where(F.col("v").isNotNull())
+        long = long.withColumn("h", F.xxhash64("_rh", "col_idx"))
+        # signed 64-bit hash order mapped to [0, 1), so the filter keeps a prefix of that order
+        unit = (F.col("h").cast("double") + float(2 ** 63)) / float(2 ** 64)
     counts = long.groupBy("col_idx").agg(F.count(F.lit(1)).alias("n_all"))
-    span = float(2 ** 62)
-    keep = F.least(F.lit(1.0), 3.0 * max_sample / F.col("n_all"))
+    keep = F.least(F.lit(1.0), 6.0 * max_sample / F.col("n_all"))
     cand = (long.join(F.broadcast(counts), "col_idx")
-            .where((F.col("n_all") > min_count) & ((F.abs(F.col("h").cast("double")) / span) < 2 * keep)))
+            .where((F.col("n_all") > min_count) & (unit < keep)))
     w = Window.partitionBy("col_idx").orderBy("h")  # at most ~6x max_sample rows per column
     sample = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_sample)
     wv = Window.partitionBy("col_idx").orderBy("v")

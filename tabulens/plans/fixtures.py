@@ -28,6 +28,19 @@ def lineitem_profile(spark, d) -> DataFrame:
 LINEITEM_PROFILE_SQL = ("(SELECT l_quantity, l_extendedprice, l_discount, "
                         "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_tax END AS l_tax, "
                         "l_returnflag, l_linestatus, l_shipdate FROM lineitem)")
+
+
+def lineitem_profile_keyed(spark, d) -> DataFrame:
+    """The profile view with the line key (l_orderkey, l_linenumber) in front."""
+    li = table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                     _null_when(F.col("l_orderkey") % 7 == 0, "l_tax").alias("l_tax"),
+                     "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+LINEITEM_PROFILE_KEYED_SQL = ("(SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
+                              "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_tax END AS l_tax, "
+                              "l_returnflag, l_linestatus, l_shipdate FROM lineitem)")
 LINEITEM_PROFILE_NUMERIC = [("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
                             ("l_tax", "double")]
 

@@ -211,3 +211,18 @@ o AS (SELECT CAST({col} AS DOUBLE) AS x, row_number() OVER (ORDER BY {col}) AS i
 m AS (SELECT i, n, x, CASE WHEN i = n THEN pow(0.5e0, 1.0e0 / CAST(n AS DOUBLE))
                           WHEN i = 1 THEN 1.0e0 - pow(0.5e0, 1.0e0 / CAST(n AS DOUBLE))
                           ELSE (CAST(i AS DOUBLE) - 0.3175e0) / (CAST(n AS DOUBLE) + 0.365e0) END AS p FROM o)"""
+
+
+def norm_cdf(z: str) -> str:
+    """The standard normal CDF of ``functions.normal.norm_cdf`` (erfc rational form) in SQL."""
+    x = f"(abs({z}) / sqrt(2.0e0))"
+    t = f"(1.0e0 / (1.0e0 + 0.5e0 * {x}))"
+    coefs = [1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587,
+             -0.82215223]
+    # t * (c0 + t * (c1 + ... + t * c8)), innermost first; the exponent adds -x^2 - 1.26551223 in front
+    inner = f"({t} * {dbl(0.17087277)})"
+    for c in reversed(coefs):
+        inner = f"({t} * ({dbl(c)} + {inner}))"
+    poly = f"(((-{x}) * {x} - {dbl(1.26551223)}) + {inner})"
+    erfc = f"({t} * exp({poly}))"
+    return f"(CASE WHEN {z} >= 0 THEN 1.0e0 - 0.5e0 * {erfc} ELSE 0.5e0 * {erfc} END)"

@@ -32,9 +32,39 @@ def q_qq_fit(spark, d):
     return fit.select(*[round_to(c, 6).alias(c) for c in ["slope", "intercept", "r"]])
 
 
-@register("normality_test")
+def _normality_sql(max_sample=5000, min_count=50, alpha=0.05, seed=42):
+    cols = [c for c, _ in FX.LINEITEM_PROFILE_NUMERIC]
+    longs = " UNION ALL ".join(
+        f"SELECT {i} AS col_idx, l_orderkey, l_linenumber, CAST({c} AS DOUBLE) AS v FROM src WHERE {c} IS NOT NULL"
+        for i, c in enumerate(cols))
+    names = " ".join(f"WHEN {i} THEN {O.lit(c)}" for i, c in enumerate(cols))
+    z = ("((ln(1.0e0 - least(w, " + O.dbl(1 - 1e-15) + ")) - (-1.2725e0 + 1.0521e0 * (ln(u) - u)))"
+         " / (1.0308e0 - 0.26758e0 * (ln(u) + 2.0e0 / u)))")
+    p = f"(1.0e0 - {O.norm_cdf(z)})"
+    return f"""
+WITH src AS {FX.LINEITEM_PROFILE_KEYED_SQL},
+l AS ({longs}),
+h AS (SELECT col_idx, v, md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+        CAST(col_idx AS VARCHAR), '{seed}')) AS h, count(*) OVER (PARTITION BY col_idx) AS n_all FROM l),
+s AS (SELECT col_idx, v FROM (SELECT col_idx, v, row_number() OVER (PARTITION BY col_idx ORDER BY h) AS r
+      FROM h WHERE n_all > {min_count}) WHERE r <= {max_sample}),
+sc AS (SELECT col_idx, v, row_number() OVER (PARTITION BY col_idx ORDER BY v) AS i,
+         count(*) OVER (PARTITION BY col_idx) AS ns FROM s),
+m AS (SELECT col_idx, v, ns, (CAST(i AS DOUBLE) - 0.375e0) / (CAST(ns AS DOUBLE) + 0.25e0) AS p FROM sc),
+st AS (SELECT col_idx, max(ns) AS n, corr(v, {O.norm_ppf('p')}) AS r FROM m GROUP BY col_idx),
+zt AS (SELECT col_idx, n, r * r AS w, ln(CAST(n AS DOUBLE)) AS u FROM st),
+pt AS (SELECT col_idx, n, w, {p} AS p FROM zt)
+SELECT col_idx AS position, CASE col_idx {names} END AS "column", 'Normality (Shapiro-Francia)' AS test, n,
+  {O.r('w', 4)} AS statistic, {O.r('p', 6)} AS p_value, p > {alpha} AS is_normal,
+  CASE WHEN p > {alpha} THEN 'Normal distribution' ELSE 'Non-normal distribution' END AS interpretation
+FROM pt"""
+
+
+@register("normality_test", _normality_sql())
 def q_normality_test(spark, d):
-    return NO.normality_test(FX.lineitem_profile(spark, d))
+    cols = [c for c, _ in FX.LINEITEM_PROFILE_NUMERIC]
+    res = NO.normality_test(FX.lineitem_profile_keyed(spark, d), cols=cols, key=["l_orderkey", "l_linenumber"])
+    return res.withColumn("p_value", round_to("p_value", 6))
 
 
 @register("pca_projection")
