@@ -184,14 +184,15 @@ def _duplicate_stats(df: DataFrame) -> DataFrame:
                         F.least(F.count(F.lit(1)), F.lit(1)).alias("distinct_rows"),
                         F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
     hashed = base.withColumn("_h1", F.xxhash64(*names)).withColumn("_h2", F.hash(*names))
-    per_hash = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("c"))
+    # the row and missing-cell totals ride along in the hash aggregation: no separate pass
+    per_hash = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("c"), F.sum("nn").alias("nn"))
     cand = per_hash.where(F.col("c") > 1).select("_h1", "_h2")
     exact = (hashed.join(cand, ["_h1", "_h2"], "left_semi")
              .groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
              .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("dups")))
     dups = scalars(exact)["dups"]
-    return base.agg(F.count(F.lit(1)).alias("rows"),
-                    F.coalesce(F.sum("nn"), F.lit(0)).cast("long").alias("null_count")).select(
+    return per_hash.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("rows"),
+                        F.coalesce(F.sum("nn"), F.lit(0)).cast("long").alias("null_count")).select(
         "rows", "null_count", (F.col("rows") - dups).alias("distinct_rows"), dups.alias("duplicates"))
 
 
