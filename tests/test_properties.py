@@ -58,6 +58,22 @@ def test_partition_invariance_of_profile(spark):
     assert a == b
 
 
+def test_partition_invariance_of_correlations_and_keyed_normality(spark):
+    """Correlations and the md5-keyed normality sample do not depend on the input partitioning."""
+    df = FX.lineitem_profile_keyed(spark, SF_SMALL)
+    cols = [c for c, _ in FX.LINEITEM_PROFILE_NUMERIC]
+    a = sorted(map(tuple, C.correlation_matrix(df.coalesce(1)).collect()))
+    b = sorted(map(tuple, C.correlation_matrix(df.repartition(7)).collect()))
+    assert a == b
+    key = ["l_orderkey", "l_linenumber"]
+    n1 = NO.normality_test(df.coalesce(1), cols=cols, key=key, max_sample=500).orderBy("position").collect()
+    n7 = NO.normality_test(df.repartition(7), cols=cols, key=key, max_sample=500).orderBy("position").collect()
+    assert [(r["column"], r["n"], r["statistic"]) for r in n1] == [(r["column"], r["n"], r["statistic"]) for r in n7]
+    assert all(r["n"] == 500 for r in n1)
+    for r1, r7 in zip(n1, n7):
+        assert math.isclose(r1["p_value"], r7["p_value"], rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_trend_matches_closed_form(spark):
     df = spark.range(0, 200).select(F.col("id").alias("t"), (F.col("id") * 2.0 + 1 + (F.col("id") % 3)).alias("y"))
     r = C.trend_with_p(df.repartition(5), "t", "y").first()
