@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabulens import types as TY
 from tabulens.functions.stats import sample_kurtosis, sample_skewness
-from tabulens.session import reliable_checkpoint
+from tabulens.session import reliable_checkpoint, written_table
 
 # Largest number of distinct values per column for which the hash-map
 # percentile (one merge task per column) is used by the ``auto`` method.
@@ -200,12 +200,12 @@ def method_from_freq(freq: DataFrame, method: str) -> str:
 
 
 def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The numeric frequency IR written once to the checkpoint folder.
+    """The numeric frequency IR written once, as Parquet, to the checkpoint folder.
 
     Distinct counts, quartiles, fences and outlier counts all read it, so the
     table is scanned and shuffled once for all of them.
     """
-    return reliable_checkpoint(numeric_freq(df, cols))
+    return written_table(numeric_freq(df, cols))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None,

@@ -63,3 +63,17 @@ def reliable_checkpoint(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_table(df):
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    The columnar form of a reliable checkpoint: lineage is cut, a lost executor
+    loses only work, and every later pass reads compressed columns.  Used for
+    intermediates read many times (the frequency IR).
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
