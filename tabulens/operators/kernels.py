@@ -33,9 +33,6 @@ from tabulens import types as TY
 from tabulens.functions.stats import sample_kurtosis, sample_skewness
 from tabulens.session import reliable_checkpoint, written_table
 
-# Largest number of distinct values per column for which the hash-map
-# percentile (one merge task per column) is used by the ``auto`` method.
-HASHMAP_DISTINCT_LIMIT = 2_000_000
 # ``bucket`` quantiles: equal-width buckets per refinement level, the largest
 # number of distinct values ranked exactly by one window task, and the level cap.
 QUANTILE_BUCKETS = 4096
