@@ -77,9 +77,16 @@ def correlation_matrix(df: DataFrame, max_cols: int | None = None, digits: int =
     upper = pc.select("i", "j", F.col("feature1").alias("x"), F.col("feature2").alias("y"), "r")
     lower = pc.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("feature2").alias("x"),
                       F.col("feature1").alias("y"), "r")
-    m = K.moments(df, cols)
-    diag = m.select(F.col("col_idx").alias("i"), F.col("col_idx").alias("j"), F.col("column").alias("x"),
-                    F.col("column").alias("y"), F.when(F.col("std") > 0, F.lit(1.0)).alias("r"))
+    # the diagonal is 1 exactly when a column has positive spread, i.e. two different values:
+    # a min/max pass (2 buffer fields per column) instead of the full moments
+
+    def spread(i, c):
+        x = TY.num(df, c)
+        return ([F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")],
+                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(c).alias("x"), F.lit(c).alias("y"),
+                         F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), F.lit(1.0)).alias("r")))
+
+    diag = K.chunked_wide_agg(df, cols, spread, 2)
     return (upper.unionByName(lower).unionByName(diag)
             .select("i", "j", "x", "y", round_to("r", digits).alias("r")))
 
