@@ -26,3 +26,18 @@ def op3_sharding(spark, sf_dir):
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_warc")
+def op4_warc(spark, sf_dir):
+    """Every page through ARC and WARC archives and back."""
+    from tabulens.llm.warc import archive_pages
+    return archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    from tabulens.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
