@@ -41,3 +41,11 @@ def op9_packing(spark, sf_dir):
     """All documents packed into sequences of at most 2048 tokens."""
     from tabulens.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@query("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    from tabulens.llm.html_extract import extract_main_text
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
