@@ -49,3 +49,10 @@ def op1_html_extract(spark, sf_dir):
     from tabulens.llm.html_extract import extract_main_text
     out = extract_main_text(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    """Base statistics and the adaptive verdict of every document."""
+    from tabulens.llm.quality_rules import quality_rules
+    return quality_rules(table(spark, sf_dir, "documents"))
