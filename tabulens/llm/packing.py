@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -35,7 +34,6 @@ END_ID = 0
 SPECIAL = {"<|endoftext|>": 50256}
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str | None = None):
     """Byte-level BPE encoder with the ids of ``byte_bpe_50k.json``.
 

@@ -56,3 +56,10 @@ def op7_quality_rules(spark, sf_dir):
     """Base statistics and the adaptive verdict of every document."""
     from tabulens.llm.quality_rules import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    from tabulens.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
