@@ -63,3 +63,12 @@ def op10_toxicity(spark, sf_dir):
     """Toxicity score of every document."""
     from tabulens.llm.toxicity import score_toxicity
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_minhash_dedup")
+def op5_minhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    from tabulens.llm.minhash import near_duplicates
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
