@@ -72,3 +72,10 @@ def op5_minhash_dedup(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op6_prefix_forest")
+def op6_prefix_forest(spark, sf_dir):
+    """The 20 nearest embeddings of every row whose id is divisible by 20."""
+    from tabulens.llm.prefix_forest import nearest_neighbours
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
