@@ -142,7 +142,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     size = F.size("v").alias("dim")
     left = usable.select("vec_id", "v", size, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
                          F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = asked.select("vec_id", "v", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    right = asked.select("vec_id", "v", size, every_block.alias("block"),
                          F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
