@@ -79,3 +79,13 @@ def op6_prefix_forest(spark, sf_dir):
     """The 20 nearest embeddings of every row whose id is divisible by 20."""
     from tabulens.llm.prefix_forest import nearest_neighbours
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
+@query("op8_kneser_ney")
+def op8_kneser_ney(spark, sf_dir):
+    """Log10 probabilities of all documents under a model of six sevenths of them."""
+    from tabulens.llm.language_model import language_model_scores
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    out = language_model_scores(table(spark, sf_dir, "documents"), fold != 2)
+    return out.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
