@@ -89,3 +89,15 @@ def op8_kneser_ney(spark, sf_dir):
     out = language_model_scores(table(spark, sf_dir, "documents"), fold != 2)
     return out.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                       "base_score", "score")
+
+
+#: Shares of the tokens by language after mixing.
+LANGUAGE_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
+@query("op2_mixing")
+def op2_mixing(spark, sf_dir):
+    """Memberships, rates and copies of all documents."""
+    from tabulens.llm.mixing import labelled_languages, mix_documents
+    docs = table(spark, sf_dir, "documents")
+    return mix_documents(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), LANGUAGE_TARGETS)
