@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import col, parts_for
 
 TREES, BITS = 128, 16
+LEAST_MATCHES = 30          # matches wanted per result, besides the share of the block
 
 
 def hyperplanes(dimension: int, seed: int) -> np.ndarray:
@@ -105,7 +106,7 @@ def block_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     planes = hyperplanes(rows.shape[1] + 1, seed)
     high_rows, high_queries = lifted(rows, queries)
     forest = Forest(high_rows, planes)
-    wanted = max(4 * k, int(share * len(rows)))
+    wanted = int(share * len(rows)) + LEAST_MATCHES * k
     found = forest.candidates(bit_strings(high_queries, planes), wanted)
     for i, candidates in enumerate(found):
         candidates = candidates[ids[candidates] != query_ids[i]]
@@ -128,7 +129,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for every query row.
 
     ``is_query`` is a condition on the id column.  ``share`` is how many matches, counted in all trees together, a
-    query collects in a block as a share of the block's rows.  Queries are dealt into chunks of about
+    query collects in a block as a share of the block's rows (``LEAST_MATCHES`` * ``k`` come on top, which decide in
+    small blocks).  Queries are dealt into chunks of about
     ``chunk_rows``; every chunk meets every block in a task of its own.
     """
     vector = col(vector_col).cast("array<double>")
