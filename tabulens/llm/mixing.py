@@ -130,7 +130,7 @@ def fit_rates(table: DataFrame, tokens: str, probs: list[str], weights: list[flo
         return math.sqrt(sum((a - b) ** 2 / max(t, 1e-9 * whole) for a, b, t in zip(now, target, present)) / whole)
 
     # at the bound of the rates the targets may be out of reach: stop where a step gains next to nothing
-    while len(steps) < max_steps and miss(now) > tolerance and miss(now) < 0.95 * last:
+    while len(steps) < max_steps and miss(now) > tolerance and miss(now) < 0.98 * last:
         last = miss(now)
         steps.append([(a - b) / max(t, 1e-9 * whole) for a, b, t in zip(now, target, present)])
         now = totals(steps)
