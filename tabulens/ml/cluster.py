@@ -80,7 +80,8 @@ def pca_projection(df: DataFrame, k: int = 2, min_cols: int = 3, min_rows: int =
 
 def feature_importance(df: DataFrame, target: str | None = None, k: int = 15, seed: int = 42) -> DataFrame:
     """Random-forest (100 trees) importances of the numeric features for the target
-    (first text column, else first numeric); classifier when the target has <= 10 values."""
+    (first text column, else first numeric); classifier when the target has <= 10 values, else a regression
+    on the value (of a text target: on its label index)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import RandomForestRegressor
@@ -90,17 +91,21 @@ def feature_importance(df: DataFrame, target: str | None = None, k: int = 15, se
     spark = df.sparkSession
     if target is None or not feats:
         return spark.createDataFrame([], "feature string, importance double")
-    base = complete_cases(df.select(*[TY.num(df, c).alias(c) for c in feats], F.col(target)), feats)
-    base = base.where(F.col(target).isNotNull())
-    classes = base.select(target).distinct().limit(11).count()
-    vec = VectorAssembler(inputCols=feats, outputCol="features").transform(base)
+    # plain names inside: a feature's own name may hold dots
+    names = [f"x{i}" for i in range(len(feats))]
+    base = df.select(*[TY.num(df, c).alias(n) for c, n in zip(feats, names)], TY.column(target).alias("target"))
+    base = complete_cases(base, names).where(F.col("target").isNotNull())
+    classes = base.select("target").distinct().limit(11).count()
+    vec = VectorAssembler(inputCols=names, outputCol="features").transform(base)
+    if classes <= 10 or target in text:
+        vec = vec.withColumn("target", F.col("target").cast("string"))
+        vec = StringIndexer(inputCol="target", outputCol="label").fit(vec).transform(vec)
+    else:
+        vec = vec.withColumn("label", F.col("target").cast("double"))
     if classes <= 10:
-        vec = StringIndexer(inputCol=target, outputCol="label").fit(vec).transform(
-            vec.withColumn(target, F.col(target).cast("string")))
         model = RandomForestClassifier(numTrees=100, seed=seed).fit(vec)
     else:
-        model = RandomForestRegressor(numTrees=100, seed=seed, labelCol="label").fit(
-            vec.withColumn("label", F.col(target).cast("double")))
+        model = RandomForestRegressor(numTrees=100, seed=seed, labelCol="label").fit(vec)
     imp = model.featureImportances.toArray()
     rows = sorted(((feats[i], float(imp[i])) for i in range(len(feats))), key=lambda r: -r[1])[:k]
     return spark.createDataFrame(rows, "feature string, importance double")

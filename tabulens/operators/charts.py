@@ -88,14 +88,15 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: int = 12, fence:
 
 
 def outlier_points(df: DataFrame, column: str, fence: float = 1.5, limit: int | None = None) -> DataFrame:
-    """The values beyond the box-plot fences of one column (optionally the ``limit`` most extreme)."""
+    """The values beyond the box-plot fences of one column (optionally the ``limit`` farthest from their fence)."""
     p = P.numeric_profile(df, [column], fence=fence, with_unique=False, with_outliers=False)
     x = TY.num(df, column)
     s = scalars(p.select("lower_bound", "upper_bound"))  # one column -> one row
     vals = df.select(x.alias("value")).where(F.col("value").isNotNull())
     out = vals.where((F.col("value") < s["lower_bound"]) | (F.col("value") > s["upper_bound"]))
     if limit is not None:
-        out = out.orderBy(F.desc(F.abs(F.col("value") - F.lit(0.0)))).limit(limit)
+        beyond = F.greatest(s["lower_bound"] - F.col("value"), F.col("value") - s["upper_bound"])
+        out = out.orderBy(F.desc(beyond), "value").limit(limit)
     return out
 
 
@@ -112,10 +113,10 @@ def pair_bins(df: DataFrame, bins: int = 20, max_cols: int = 5) -> DataFrame:
         return spark.createDataFrame([], schema)
     cols = num[:max_cols]
     base = complete_cases(df.select(*[TY.num(df, c).alias(c) for c in cols]))
-    s = scalars(base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]))
+    s = scalars(base.agg(*[F.min(TY.column(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                         *[F.max(TY.column(c)).alias(f"hi{i}") for i, c in enumerate(cols)]))
     j = base
-    b = {c: _bin_expr(F.col(c), s[f"lo{i}"], (s[f"hi{i}"] - s[f"lo{i}"]) / bins, bins)
+    b = {c: _bin_expr(TY.column(c), s[f"lo{i}"], (s[f"hi{i}"] - s[f"lo{i}"]) / bins, bins)
          for i, c in enumerate(cols)}
     pairs = [(a, c) for i, a in enumerate(cols) for c in cols[i + 1:]]
     cells = j.select(F.inline(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(c).alias("y"), b[a].alias("bin_x"),
@@ -149,7 +150,7 @@ def parallel_coordinates(df: DataFrame, n: int = 1000, key=None, seed: int = 42)
 def time_series(df: DataFrame, ts: str, value: str, bucket: str | None = None) -> DataFrame:
     """(time, value) complete cases in time order; with ``bucket`` ('day' or a date_trunc unit) the
     per-bucket mean/min/max/count instead, which is what a chart of billions of points needs."""
-    base = df.select(F.col(ts).alias("time"), TY.num(df, value).alias("value")).dropna()
+    base = df.select(TY.column(ts).alias("time"), TY.num(df, value).alias("value")).dropna()
     if bucket is None:
         return base.orderBy("time")
     t = F.to_date("time") if bucket == "day" else F.date_trunc(bucket, F.col("time"))
@@ -165,7 +166,8 @@ def kde(df: DataFrame, column: str, grid: int = 100, bandwidth: float | str = "s
     Values are first reduced to at most ``prebins`` weighted bin centres (one
     aggregate), then each centre contributes to every grid point by exploding
     a bounded array -- prebins x grid rows at most, independent of the data size.
-    Scott's rule h = std * n^(-1/5) unless a number is given.
+    Scott's rule h = std * n^(-1/5) unless a number is given.  A column without
+    spread has no such bandwidth: the result is empty.
     """
     x = TY.num(df, column)
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
@@ -183,6 +185,8 @@ def kde(df: DataFrame, column: str, grid: int = 100, bandwidth: float | str = "s
                           F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
            .withColumn("g", start + F.col("gi") * step))
     norm = 1.0 / math.sqrt(2 * math.pi)
-    contrib = F.col("c") * F.exp(-0.5 * F.pow((F.col("g") - F.col("m")) / F.col("h"), 2)) * norm
-    return (pts.groupBy("gi", "g").agg((F.sum(contrib) / (F.first("n") * F.first("h"))).alias("density"))
+    z = F.try_divide(F.col("g") - F.col("m"), F.col("h"))
+    contrib = F.col("c") * F.exp(-0.5 * F.pow(z, F.lit(2))) * norm
+    return (pts.where(F.col("h") > 0).groupBy("gi", "g")
+            .agg(F.try_divide(F.sum(contrib), F.first("n") * F.first("h")).alias("density"))
             .select(F.col("gi").alias("point"), F.col("g").alias("x"), "density"))

@@ -23,7 +23,7 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     empty = {r["col_idx"] for r in _null_counts(df).where(F.col("missing") == F.col("n_rows"))
              .select("col_idx").collect()}
     keep = [c for i, c in enumerate(df.columns) if i not in empty]
-    return df.select(*keep)
+    return df.select(*[TY.column(c) for c in keep])
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -52,10 +52,13 @@ def fill_numeric_median(df: DataFrame, quantile_method: str = "auto") -> DataFra
     for f in df.schema.fields:
         if f.name in cols:
             i = cols.index(f.name)
-            filled = F.coalesce(TY.num(df, f.name), med[f"_med{i}"])
-            out.append(filled.cast(f.dataType).alias(f.name))
+            # only the median goes through DOUBLE: a present 64-bit or decimal value keeps its digits
+            present = TY.column(f.name)
+            if TY.is_floating(f.dataType):
+                present = F.when(~F.isnan(present), present)
+            out.append(F.coalesce(present, med[f"_med{i}"].cast(f.dataType)).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(TY.column(f.name))
     return joined.select(*out)
 
 

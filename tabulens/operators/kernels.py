@@ -132,21 +132,25 @@ def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Unpivot numeric columns into (col_idx, v) with missing values dropped."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("col_idx"), TY.num(df, c).alias("v")) for i, c in enumerate(cols)])
+    """Unpivot numeric columns into (col_idx, v, digits) with missing values dropped.
+
+    ``digits`` is NULL but for 64-bit and decimal values that a DOUBLE cannot tell apart.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("col_idx"), TY.num(df, c).alias("v"),
+                               TY.beyond_double(df, c).alias("digits")) for i, c in enumerate(cols)])
     return df.select(F.inline(pairs)).where(F.col("v").isNotNull())
 
 
 def numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(col_idx, v, c): distinct non-missing values per numeric column with counts."""
-    return long_numeric(df, cols).groupBy("col_idx", "v").agg(F.count(F.lit(1)).alias("c"))
+    """(col_idx, v, digits, c): distinct non-missing values per numeric column with counts."""
+    return long_numeric(df, cols).groupBy("col_idx", "v", "digits").agg(F.count(F.lit(1)).alias("c"))
 
 
 def text_freq(df: DataFrame, cols: list[str]) -> DataFrame:
     """(col_idx, value, c): distinct non-null values per column, rendered as strings."""
     def as_text(c):
         dt = df.schema[c].dataType
-        x = F.col(c)
+        x = TY.column(c)
         if TY.is_floating(dt):
             x = F.when(~F.isnan(x), x)
         return x.cast("string")

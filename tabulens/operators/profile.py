@@ -127,7 +127,7 @@ def variable_summary_categorical(df: DataFrame, cols: list[str] | None = None) -
     if not cols:
         return names
     counts = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                    *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+                    *[F.count(TY.column(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     per_col = counts.select("n_rows", F.inline(F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.col(f"n{i}").alias("count")) for i in range(len(cols))])))
     freq = K.text_freq(df, cols)
@@ -158,11 +158,11 @@ def _row_keys(df: DataFrame):
     df = TY.with_nan_as_null(df)
     keys, nulls = [], []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = TY.column(f.name)
         if isinstance(f.dataType, TY.NESTED_TYPES):
             c = F.to_json(c)
         keys.append(c.alias(f"k_{len(keys)}"))
-        nulls.append(F.col(f.name).isNull().cast("int"))
+        nulls.append(TY.column(f.name).isNull().cast("int"))
     nn = sum(nulls[1:], nulls[0]) if nulls else F.lit(0)
     return df, keys, nn
 
@@ -436,7 +436,7 @@ def feature_means(df: DataFrame, k: int = 8) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values of one column with their counts (map-side combined)."""
-    x = TY.num(df, column) if TY.is_floating(df.schema[column].dataType) else F.col(column)
+    x = TY.num(df, column) if TY.is_floating(df.schema[column].dataType) else TY.column(column)
     return (df.select(x.alias("value")).where(F.col("value").isNotNull())
             .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
 

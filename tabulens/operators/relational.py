@@ -20,7 +20,7 @@ def preview(df: DataFrame, n: int = 20, columns=None, order_by=None) -> DataFram
     if keys:
         out = out.orderBy(*keys)
     out = out.limit(n)
-    return out.select(*(cols or df.columns))
+    return out.select(*[TY.column(c) for c in (cols or df.columns)])
 
 
 def preview_total(df: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def preview_total(df: DataFrame) -> DataFrame:
 
 def outside_range(df: DataFrame, column: str, lo, hi) -> DataFrame:
     """Rows whose value lies outside [lo, hi] (pushed down to the Parquet scan when on a stored column)."""
-    c = F.col(column)
+    c = TY.column(column)
     return df.where((c < F.lit(lo)) | (c > F.lit(hi)))
 
 

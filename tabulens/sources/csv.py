@@ -8,37 +8,37 @@ from pyspark.sql import functions as F
 # Fixed null tokens recognised when reading text tables (the pandas defaults).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-REPLACEMENT_CHAR = "�"
 
 
-def _read_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _read_strings(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
+            .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").csv(path))
 
 
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of the files is valid UTF-8, looked up on the bytes as they are (the text source keeps them)."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, encodings=("utf-8", "latin1", "cp1252"),
-             null_tokens=None, infer: bool = True) -> DataFrame:
+             null_tokens=None, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Read a CSV with a header; types are inferred after null tokens are removed.
 
-    Bad UTF-8 does not fail in Spark, it turns into U+FFFD; one ``exists`` job
-    detects that and the file is re-read with the next encoding (Latin-1
-    accepts every byte, so the third is only reached if named first).  An
-    empty table is an error.  Type inference is one aggregate: for every
-    column, how many non-null values cast cleanly to long / double / timestamp.
+    Quoted fields may hold line breaks and doubled quotes.  With ``multi_line`` off, line breaks inside quotes are
+    not understood and one large file is read by many tasks.  Bytes that are no UTF-8 make the reader take the next
+    encoding (Latin-1 accepts every byte, so the third is only reached if named first); a valid file that holds
+    U+FFFD stays UTF-8.  An empty table is an error.  Type inference is one aggregate: for every column, how many
+    non-null values cast cleanly to long / double / timestamp.
     """
     tokens = NULL_TOKENS if null_tokens is None else list(null_tokens)
-    df = None
-    for enc in encodings:
-        cand = _read_strings(spark, path, "ISO-8859-1" if enc.lower() in ("latin1", "latin-1") else enc)
-        if not cand.columns:
-            raise ValueError("empty CSV")
-        bad = F.lit(False)
-        for c in cand.columns:
-            bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        df = cand
-        if enc.lower().replace("-", "") in ("utf8",) and not cand.where(bad).isEmpty():
-            continue
-        break
+    names = list(encodings)
+    if names and names[0].lower().replace("-", "") == "utf8" and len(names) > 1 and not is_utf8(spark, path):
+        names = names[1:]
+    encoding = "ISO-8859-1" if names[0].lower() in ("latin1", "latin-1") else names[0]
+    df = _read_strings(spark, path, encoding, multi_line)
+    if not df.columns:
+        raise ValueError("empty CSV")
     cleaned = df.select(*[F.when(F.trim(F.col(f"`{c}`")).isin(tokens), F.lit(None)).otherwise(F.col(f"`{c}`"))
                           .alias(c) for c in df.columns])
     if cleaned.isEmpty():

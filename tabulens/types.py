@@ -16,6 +16,11 @@ def _fields(df: DataFrame):
     return df.schema.fields
 
 
+def column(name: str) -> Column:
+    """The column of that very name: dots and blanks in it are part of the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric(dt: T.DataType) -> bool:
     # boolean is categorical everywhere (it is not a NumericType in Spark either)
     return isinstance(dt, NUMERIC_TYPES)
@@ -61,16 +66,28 @@ def is_floating(dt: T.DataType) -> bool:
 
 def num(df: DataFrame, name: str) -> Column:
     """Numeric column as DOUBLE with NaN turned into NULL (both count as missing)."""
-    c = F.col(name)
+    c = column(name)
     dt = df.schema[name].dataType
     if is_floating(dt):
         return F.when(~F.isnan(c), c.cast("double"))
     return c.cast("double")
 
 
+def beyond_double(df: DataFrame, name: str) -> Column:
+    """What tells apart values that share a DOUBLE: the digits of wide integers and decimals, else NULL."""
+    dt, c = df.schema[name].dataType, column(name)
+    if isinstance(dt, T.LongType):
+        wide = (c > 1 << 53) | (c < -(1 << 53))
+    elif isinstance(dt, T.DecimalType) and dt.precision > 15:
+        wide = c.isNotNull()
+    else:
+        return F.lit(None).cast("string")
+    return F.when(wide, c.cast("string"))
+
+
 def missing(df: DataFrame, name: str) -> Column:
     """True when the cell is NULL, or NaN on a floating column."""
-    c = F.col(name)
+    c = column(name)
     if is_floating(df.schema[name].dataType):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -81,9 +98,9 @@ def with_nan_as_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if is_floating(f.dataType):
-            cols.append(F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name))
+            cols.append(F.when(~F.isnan(column(f.name)), column(f.name)).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(column(f.name))
     return df.select(*cols)
 
 
