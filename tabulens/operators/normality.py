@@ -56,8 +56,10 @@ def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_s
     Royston's (1993) normalising transform of ln(1 - W').  The sample is the
     ``max_sample`` smallest hashes per column: md5 of ``key|column index|seed``
     when key columns are given (reproducible in SQL), else a 64-bit hash of the
-    whole row.  A prefix of the hash order (about 6x the sample size) is cut by
-    a filter before the per-column ranking, so no window holds a whole column.
+    row's number, so that rows are sampled and not contents: equal rows are as
+    likely to be taken as any others.  A prefix of the hash order (about 6x the
+    sample size) is cut by a filter before the per-column ranking, so no window
+    holds a whole column.  :func:`normality_all_rows` tests without a sample.
     """
     cols = (TY.numeric_columns(df) if cols is None else list(cols))[:max_cols]
     spark = df.sparkSession
@@ -73,7 +75,7 @@ def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_s
         long = long.withColumn("h", h)
         unit = H.md5_bucket_of(F.col("h")) / float(H.BUCKETS)  # hash prefix as a fraction in [0, 1)
     else:
-        keyed = df.withColumn("_rh", F.xxhash64(*[F.col(c) for c in df.columns]))
+        keyed = df.withColumn("_rh", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
         long = keyed.select("_rh", F.inline(pairs)).where(F.col("v").isNotNull())
         long = long.withColumn("h", F.xxhash64("_rh", "col_idx"))
         # signed 64-bit hash order mapped to [0, 1), so the filter keeps a prefix of that order
@@ -106,6 +108,43 @@ def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_s
     return out.orderBy("position").limit(report)
 
 
+def normality_all_rows(df: DataFrame, cols: list[str] | None = None, min_count: int = 20,
+                       alpha: float = 0.05) -> DataFrame:
+    """D'Agostino-Pearson K^2 over all values: skewness and kurtosis, each turned into a normal score.
+
+    One pass of partial aggregates, no sample; p = exp(-K^2 / 2) (chi-squared, two degrees of freedom).  Columns
+    with fewer than ``min_count`` values or without spread get no row.
+    """
+    from tabulens.operators.kernels import chunked_wide_agg
+    cols = TY.numeric_columns(df) if cols is None else list(cols)
+
+    def build(i, name):
+        x = TY.num(df, name)
+        return ([F.count(x).alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")],
+                F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), F.col(f"n{i}").alias("n"),
+                         F.col(f"g{i}").alias("g"), (F.col(f"k{i}") + 3).alias("b")))
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "position int, column string, test string, n long, "
+                                                   "statistic double, p_value double, is_normal boolean")
+    m = chunked_wide_agg(df, cols, build, 9)
+    m = m.where((F.col("n") >= min_count) & F.col("g").isNotNull() & ~F.isnan("g")).withColumn("m", F.col("n").cast("double"))
+    m = (m.withColumn("y", F.expr("g * sqrt((m + 1) * (m + 3) / (6 * (m - 2)))"))
+         .withColumn("w2", F.expr("-1 + sqrt(2 * (3 * (m * m + 27 * m - 70) * (m + 1) * (m + 3) "
+                                  "/ ((m - 2) * (m + 5) * (m + 7) * (m + 9)) - 1))"))
+         .withColumn("z1", F.expr("asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2))"))
+         .withColumn("x", F.expr("(b - 3 * (m - 1) / (m + 1)) / sqrt(24 * m * (m - 2) * (m - 3) "
+                                 "/ ((m + 1) * (m + 1) * (m + 3) * (m + 5)))"))
+         .withColumn("s", F.expr("6 * (m * m - 5 * m + 2) / ((m + 7) * (m + 9)) "
+                                 "* sqrt(6 * (m + 3) * (m + 5) / (m * (m - 2) * (m - 3)))"))
+         .withColumn("a", F.expr("6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s)))"))
+         .withColumn("t", F.expr("(1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))"))
+         .withColumn("z2", F.expr("((1 - 2 / (9 * a)) - sign(t) * pow(abs(t), 1 / 3.0D)) / sqrt(2 / (9 * a))"))
+         .withColumn("k2", F.expr("z1 * z1 + z2 * z2")).withColumn("p", F.exp(-F.col("k2") / 2)))
+    return m.select("position", "column", F.lit("Normality (D'Agostino-Pearson)").alias("test"), "n",
+                    round_to("k2", 3).alias("statistic"), F.col("p").alias("p_value"), (F.col("p") > alpha).alias("is_normal"))
+
+
 def ks_normal(df: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov test of all values against N(mean, std) (MLlib, one pass over the data)."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
