@@ -75,11 +75,15 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: int = 12, fence:
     if not cols:
         return spark.createDataFrame([], "position int, column string")
     p = P.numeric_profile(df, cols, quantile_method, fence=fence, with_unique=False)
-    freq = K.numeric_freq(df, cols)
-    fences = F.broadcast(p.select("col_idx", "lower_bound", "upper_bound"))  # one row per column
-    wh = (freq.join(fences, "col_idx").groupBy("col_idx")
-          .agg(F.min(F.when(F.col("v") >= F.col("lower_bound"), F.col("v"))).alias("lower_whisker"),
-               F.max(F.when(F.col("v") <= F.col("upper_bound"), F.col("v"))).alias("upper_whisker")))
+    rows = p.collect()                                                  # one row per column
+    p = spark.createDataFrame(rows, p.schema)
+    bounds = {r["col_idx"]: (r["lower_bound"], r["upper_bound"]) for r in rows}
+
+    def whiskers(i, x):
+        lo, hi = (F.lit(b).cast("double") for b in bounds.get(i, (None, None)))
+        return {"lower_whisker": F.min(F.when(x >= lo, x)), "upper_whisker": F.max(F.when(x <= hi, x))}
+
+    wh = K.per_column(df, cols, whiskers).where(F.col("lower_whisker").isNotNull())
     return (p.join(wh, "col_idx")
             .select(F.col("col_idx").alias("position"), "column", "count",
                     *[round_to(c, 4).alias(c) for c in ["q1", "median", "q3", "lower_whisker", "upper_whisker",

@@ -9,10 +9,9 @@ from tabulens import types as TY
 from tabulens.functions.stats import pct
 from tabulens.operators import correlation as C
 from tabulens.operators import kernels as K
-from tabulens.session import reliable_checkpoint
+from tabulens.session import reliable_checkpoint, written_table
 from tabulens.operators import outliers as OU
 from tabulens.operators import profile as P
-from tabulens.operators.profile import _dataset_totals
 from tabulens.operators.rules import fmt1, grouped_int, names_in_order, scalars
 
 # Fixed texts of the insight rules: (title, severity, action).
@@ -37,6 +36,14 @@ def _rule(df: DataFrame, order: int, fixed, description, metric, condition=None)
                       metric.alias("metric"), F.lit(action).alias("action"))
 
 
+def cell_totals(df: DataFrame) -> DataFrame:
+    """One row (rows, null_count), counted in one pass and fixed: two rules read it."""
+    nulls = [TY.missing(df, c).cast("long") for c in df.columns]
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 F.coalesce(F.sum(sum(nulls[1:], nulls[0]) if nulls else F.lit(0)), F.lit(0)).alias("null_count")).first()
+    return df.sparkSession.createDataFrame([(row["rows"], row["null_count"])], "rows long, null_count long")
+
+
 def insights(df: DataFrame, k: int = 5) -> DataFrame:
     """Ordered findings (overview, missing, outliers, correlation > 0.8, skew, cardinality, imbalance); first k.
 
@@ -46,7 +53,7 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
     ncols = len(df.columns)
     num = TY.numeric_columns(df)
     text = TY.text_columns(df)
-    t = _dataset_totals(df).withColumn("mp", F.coalesce(pct("null_count", F.col("rows") * ncols), F.lit(0.0)))
+    t = cell_totals(df).withColumn("mp", F.coalesce(pct("null_count", F.col("rows") * ncols), F.lit(0.0)))
     rules = [
         _rule(t, 1, OVERVIEW,
               F.format_string(f"Dataset contains %s rows and {ncols} columns", grouped_int("rows")),
@@ -57,7 +64,7 @@ def insights(df: DataFrame, k: int = 5) -> DataFrame:
     # shared intermediates, materialised once: the per-column numeric profile (one row per
     # column) and the text frequency IR; every rule below reads them instead of the table
     prof = reliable_checkpoint(P.numeric_profile(df, num, with_unique=False)) if num else None
-    tfreq = reliable_checkpoint(K.text_freq(df, text)) if text else None
+    tfreq = written_table(K.text_freq(df, text)) if text else None
     if num:
         oc = OU.outlier_columns(df, max_cols=10, threshold=5.0, profile=prof).agg(
             F.count(F.lit(1)).alias("n"), names_in_order(k=3).alias("names"))

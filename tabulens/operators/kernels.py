@@ -37,7 +37,8 @@ from tabulens.session import reliable_checkpoint, written_table
 # number of distinct values ranked exactly by one window task, and the level cap.
 QUANTILE_BUCKETS = 4096
 QUANTILE_EXACT_LIMIT = 100_000
-QUANTILE_MAX_LEVELS = 6
+#: Where a logarithmic cut of a range begins, as a share of its width.
+LEAST_SHARE = 1e-300
 # Aggregation-buffer fields per column in ``moments``:
 # count 1, sum 1, var_samp 3 (n, avg, m2), min 1, max 1, skewness 4, kurtosis 5.
 MOMENT_FIELDS = 16
@@ -190,16 +191,6 @@ def top2(freq: DataFrame, key: str = "value") -> DataFrame:
 # quantiles
 # ---------------------------------------------------------------------------
 
-def resolve_method(df: DataFrame, cols: list[str], method: str) -> str:
-    """``auto`` is the bucket-refinement method: exact, parallel, and bounded per task
-    whatever the number of distinct values."""
-    return "bucket" if method == "auto" else method
-
-
-def method_from_freq(freq: DataFrame, method: str) -> str:
-    return "bucket" if method == "auto" else method
-
-
 def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
     """The numeric frequency IR written once, as Parquet, to the checkpoint folder.
 
@@ -210,12 +201,11 @@ def materialized_numeric_freq(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None,
-              method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None,
-              col_stats: list | None = None) -> DataFrame:
+              method: str = "auto", accuracy: int = 10000, freq: DataFrame | None = None) -> DataFrame:
     """Exact (linear interpolation, like pandas and DuckDB ``quantile_cont``) quantiles.
 
     Returns (col_idx, <names...>) with one row per column that has at least one value.
-    Methods: ``bucket`` (default, :func:`bucket_quantiles`), ``hashmap`` (Spark's
+    Methods: ``bucket`` (default, :func:`bucket_quantiles`, on the scan unless a frequency IR is given), ``hashmap`` (Spark's
     ``percentile`` with a frequency argument: one merge task holds a whole column's
     distinct values), ``rank`` (range-partitioned rank intervals), ``approx``.
     """
@@ -223,14 +213,13 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[st
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "col_idx int, " + ", ".join(f"{n} double" for n in names))
-    method = resolve_method(df, cols, method)
+    method = "bucket" if method == "auto" else method
     if method == "approx":
         long = long_numeric(df, cols)
         q = long.groupBy("col_idx").agg(F.percentile_approx("v", list(probs), accuracy).alias("qs"))
         return q.select("col_idx", *[F.col("qs")[j].alias(n) for j, n in enumerate(names)])
     if method == "bucket":
-        freq = materialized_numeric_freq(df, cols) if freq is None else freq
-        return bucket_quantiles(freq, probs, names, col_stats=col_stats)
+        return bucket_quantiles(scan_values(df, cols) if freq is None else freq, probs, names)
     freq = numeric_freq(df, cols) if freq is None else freq
     if method == "hashmap":
         q = freq.groupBy("col_idx").agg(F.percentile("v", list(probs), F.col("c")).alias("qs"))
@@ -249,92 +238,110 @@ def freq_column_stats(freq: DataFrame) -> list:
             .collect())
 
 
-def bucket_quantiles(freq: DataFrame, probs: list[float], names: list[str], col_stats: list | None = None,
-                     buckets: int = QUANTILE_BUCKETS, exact_limit: int = QUANTILE_EXACT_LIMIT,
-                     max_levels: int = QUANTILE_MAX_LEVELS) -> DataFrame:
-    """Exact quantiles from a (materialised) frequency IR ``(col_idx, v, c)`` by bucket refinement.
-
-    Every quantile needs the values at two 0-based ranks, floor and ceil of
-    p * (n - 1).  For each such rank we keep a value range known to hold it and
-    the number of values below the range.  While a range holds more than
-    ``exact_limit`` distinct values, one pass over the IR counts its values in
-    ``buckets`` equal-width buckets (partial aggregation in every task, the
-    output is ranges x buckets rows) and the range shrinks to the actual
-    [min, max] of the bucket holding the rank.  Bucketing is monotone in the
-    value, so the values below the new range are exactly the lower buckets.
-    Finally a window per rank orders the few distinct values left in its range.
-    No task holds more than ``exact_limit`` distinct values (up to the level
-    cap), and only tables with one row per (column, rank) reach the driver.
+def scan_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(col_idx, v, c): every non-missing value of the columns with count 1, straight from the scan."""
+    return long_numeric(df, cols).select("col_idx", "v", F.lit(1).cast("long").alias("c"))
+
+
+def bucket_quantiles(values: DataFrame, probs: list[float], names: list[str],
+                     buckets: int = QUANTILE_BUCKETS, exact_limit: int = QUANTILE_EXACT_LIMIT) -> DataFrame:
+    """Exact quantiles of weighted values ``(col_idx, v, c)`` by bucket refinement.
+
+    ``values`` may be a frequency IR or the scan itself (:func:`scan_values`): no pass shuffles values.  Every
+    quantile needs the values at two 0-based ranks, floor and ceil of p * (n - 1).  For each such rank we keep a
+    value range known to hold it and the number of values below the range.  While a range holds more than
+    ``exact_limit`` values that are not all equal, one pass counts its values in ``buckets`` buckets (partial
+    aggregation in every task, ranges x buckets rows come out) and the range shrinks to the actual [min, max] of the
+    bucket holding the rank.  Buckets have equal width; where that hardly shrank a range (values of very different
+    size), the next pass cuts it in equal steps of the logarithm, so even the widest range takes a few passes.
+    Bucketing is monotone in the value, so the values below the new range are exactly the lower buckets.  Infinite
+    values are counted apart and rank at the ends.  Finally the distinct values left in each range are ordered.
     Interpolation is (1 - frac) * v0 + frac * v1, DuckDB's ``quantile_cont`` formula.
     """
-    spark = freq.sparkSession
+    spark = values.sparkSession
     out_schema = "col_idx int, " + ", ".join(f"{n} double" for n in names)
-    stats = freq_column_stats(freq) if col_stats is None else col_stats
-    plan, state = [], {}
+    v, inf = F.col("v"), float("inf")
+    finite = (v > -inf) & (v < inf)
+    stats = (values.groupBy("col_idx")
+             .agg(F.sum("c").alias("n"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"),
+                  F.coalesce(F.sum(F.when(v == -inf, F.col("c"))), F.lit(0)).alias("below"),
+                  F.coalesce(F.sum(F.when(v == inf, F.col("c"))), F.lit(0)).alias("above")).collect())
+    plan, value, state = [], {}, {}          # state: (col, rank) -> [lo, hi, values below, values inside, by log]
     for row in stats:
-        n = row["n"] or 0
-        if n <= 0:
-            continue
+        n, below, above = row["n"], row["below"], row["above"]
         for pi, p in enumerate(probs):
             pos = float(p) * (n - 1)
             r0, r1 = math.floor(pos), math.ceil(pos)
             plan.append((row["col_idx"], pi, r0, r1, pos - r0))
             for r in (r0, r1):
-                state.setdefault((row["col_idx"], r), [float(row["lo"]), float(row["hi"]), 0, row["d"]])
+                key = (row["col_idx"], r)
+                if r < below:
+                    value[key] = -inf
+                elif r >= n - above:
+                    value[key] = inf
+                else:
+                    state[key] = [row["lo"], row["hi"], below, n - below - above, False]
     if not plan:
         return spark.createDataFrame([], out_schema)
-    v = F.col("v")
-    for _ in range(max_levels):
-        todo = [k for k, st in state.items() if st[3] > exact_limit]
+    while True:
+        todo = [k for k, st in state.items() if st[0] < st[1] and st[3] > exact_limit]
         if not todo:
             break
-        ranges = sorted({(k[0], state[k][0], state[k][1]) for k in todo})
+        ranges = sorted({(k[0], state[k][0], state[k][1], state[k][4]) for k in todo})
         rid = {r: i for i, r in enumerate(ranges)}
-        rtab = spark.createDataFrame([(i, c, lo, hi) for (c, lo, hi), i in rid.items()],
-                                     "rid int, r_col int, r_lo double, r_hi double")
-        width = F.col("r_hi") - F.col("r_lo")
-        b = F.when(width > 0, F.least(F.greatest(
-            F.floor(F.try_divide(v - F.col("r_lo"), width) * buckets), F.lit(0)), F.lit(buckets - 1))).otherwise(0)
-        per_bucket = (freq.join(F.broadcast(rtab), (F.col("col_idx") == F.col("r_col"))
-                                & (v >= F.col("r_lo")) & (v <= F.col("r_hi")))
+        rtab = spark.createDataFrame([(i, *r) for r, i in rid.items()],
+                                     "rid int, r_col int, r_lo double, r_hi double, r_log boolean")
+        # halves first: the width itself may be beyond the largest DOUBLE
+        share = (v / 2 - F.col("r_lo") / 2) / (F.col("r_hi") / 2 - F.col("r_lo") / 2)
+        steps = (F.log(share + F.lit(LEAST_SHARE)) - math.log(LEAST_SHARE)) / -math.log(LEAST_SHARE)
+        b = F.least(F.greatest(F.floor(F.when(F.col("r_log"), steps).otherwise(share) * buckets), F.lit(0)),
+                    F.lit(buckets - 1))
+        per_bucket = (values.join(F.broadcast(rtab), (F.col("col_idx") == F.col("r_col"))
+                                  & (v >= F.col("r_lo")) & (v <= F.col("r_hi")))
                       .groupBy("rid", b.alias("b"))
-                      .agg(F.sum("c").alias("cnt"), F.count(F.lit(1)).alias("d"),
-                           F.min("v").alias("bmin"), F.max("v").alias("bmax")))
+                      .agg(F.sum("c").alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
         w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         cum = per_bucket.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
         ttab = spark.createDataFrame(
-            [(t, rid[(k[0], state[k][0], state[k][1])], k[1] - state[k][2]) for t, k in enumerate(todo)],
+            [(t, rid[(k[0], state[k][0], state[k][1], state[k][4])], k[1] - state[k][2]) for t, k in enumerate(todo)],
             "tid int, t_rid int, rel long")
         hit = (cum.join(F.broadcast(ttab), (F.col("rid") == F.col("t_rid")) & (F.col("before") <= F.col("rel"))
                         & (F.col("rel") < F.col("before") + F.col("cnt")))
-               .select("tid", "before", "d", "bmin", "bmax").collect())
-        progressed = False
+               .select("tid", "before", "cnt", "bmin", "bmax").collect())
         for h in hit:
             st = state[todo[h["tid"]]]
-            if h["d"] < st[3]:
-                progressed = True
-            state[todo[h["tid"]]] = [float(h["bmin"]), float(h["bmax"]), st[2] + h["before"], h["d"]]
-        if not progressed:
-            break
-    keys = list(state)
-    ftab = spark.createDataFrame([(t, k[0], state[k][0], state[k][1], k[1] - state[k][2])
-                                  for t, k in enumerate(keys)],
-                                 "tid int, f_col int, f_lo double, f_hi double, rel long")
-    inside = freq.join(F.broadcast(ftab), (F.col("col_idx") == F.col("f_col"))
-                       & (v >= F.col("f_lo")) & (v <= F.col("f_hi")))
-    wr = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (inside.withColumn("upto", F.sum("c").over(wr))
-              .where((F.col("upto") - F.col("c") <= F.col("rel")) & (F.col("rel") < F.col("upto")))
-              .select("tid", "v").collect())
-    value = {keys[r["tid"]]: r["v"] for r in picked}
+            state[todo[h["tid"]]] = [h["bmin"], h["bmax"], st[2] + h["before"], h["cnt"],
+                                     not st[4] and 2 * h["cnt"] > st[3]]
+    value |= {k: st[0] for k, st in state.items() if st[0] == st[1]}
+    keys = [k for k in state if k not in value]
+    if keys:
+        ftab = spark.createDataFrame([(t, k[0], state[k][0], state[k][1], k[1] - state[k][2])
+                                      for t, k in enumerate(keys)],
+                                     "tid int, f_col int, f_lo double, f_hi double, rel long")
+        inside = (values.join(F.broadcast(ftab), (F.col("col_idx") == F.col("f_col"))
+                              & (v >= F.col("f_lo")) & (v <= F.col("f_hi")))
+                  .groupBy("tid", "rel", "v").agg(F.sum("c").alias("c")))
+        wr = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        picked = (inside.withColumn("upto", F.sum("c").over(wr))
+                  .where((F.col("upto") - F.col("c") <= F.col("rel")) & (F.col("rel") < F.col("upto")))
+                  .select("tid", "v").collect())
+        value |= {keys[r["tid"]]: r["v"] for r in picked}
     rows = {}
     for c, pi, r0, r1, frac in plan:
-        v0, v1 = value.get((c, r0)), value.get((c, r1))
-        q = v0 if r0 == r1 or v0 is None or v1 is None else (1.0 - frac) * v0 + frac * v1
-        rows.setdefault(c, [None] * len(names))[pi] = q
+        v0, v1 = value[(c, r0)], value[(c, r1)]
+        rows.setdefault(c, [None] * len(names))[pi] = v0 if r0 == r1 else (1.0 - frac) * v0 + frac * v1
     return spark.createDataFrame([(c, *qs) for c, qs in sorted(rows.items())], out_schema)
 
 
+def per_column(df: DataFrame, cols: list[str], aggs) -> DataFrame:
+    """One scan: ``aggs(i, x)`` gives named aggregates of column i; one row (col_idx, ...) per column."""
+    def build(i, name):
+        made = aggs(i, TY.num(df, name))
+        return ([a.alias(f"{n}_{i}") for n, a in made.items()],
+                F.struct(F.lit(i).alias("col_idx"), *[F.col(f"{n}_{i}").alias(n) for n in made]))
+    return chunked_wide_agg(df, cols, build, 2)
+
+
 def rank_intervals(freq: DataFrame) -> DataFrame:
     """(col_idx, v, c, lo, hi, n, ...): each distinct value's 0-based rank interval [lo, hi) in its column.
 

@@ -18,7 +18,7 @@ def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: i
 
     ``denom='rows'`` divides by all rows (report), ``'non_null'`` by the
     column's values (helper form).  Fences are computed once per column and
-    applied to the frequency IR (distinct values with counts), not to raw rows.
+    counted in a second scan; no value is shuffled.
     """
     cols = TY.numeric_columns(df)
     if max_cols is not None:
@@ -78,12 +78,15 @@ def zscore_outliers(df: DataFrame, z: float = 3.0, cols: list[str] | None = None
         return spark.createDataFrame([], "position int, column string, outlier_count long, "
                                          "outlier_percentage double, lower_bound double, upper_bound double")
     m = K.moments(df, cols)
-    freq = K.numeric_freq(df, cols)
-    stats = F.broadcast(m.select("col_idx", "mean", "std"))  # one row per column
-    cnt = (freq.join(stats, "col_idx")
-           .groupBy("col_idx")
-           .agg(F.sum(F.when(F.abs(F.try_divide(F.col("v") - F.col("mean"), F.col("std"))) > z, F.col("c"))
-                      .otherwise(0)).alias("outliers")))
+    rows = m.collect()                                                  # one row per column
+    m = spark.createDataFrame(rows, m.schema)
+    stat = {r["col_idx"]: (r["mean"], r["std"]) for r in rows}
+
+    def far(i, x):
+        mean, std = (F.lit(s).cast("double") for s in stat[i])
+        return {"outliers": F.sum(F.when(F.abs(F.try_divide(x - mean, std)) > z, 1).otherwise(0)).cast("long")}
+
+    cnt = K.per_column(df, cols, far)
     return (m.join(cnt, "col_idx", "left")
             .select(F.col("col_idx").alias("position"), "column",
                     F.coalesce("outliers", F.lit(0)).cast("long").alias("outlier_count"),

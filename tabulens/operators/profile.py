@@ -41,22 +41,20 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
 
     Columns: col_idx, column, dtype, n_rows, count, missing, mean, std, variance, min,
     max, skewness, kurtosis, sum, q1, median, q3, unique, lower_bound, upper_bound,
-    outliers.  The frequency IR is materialised once in the checkpoint folder
-    and feeds distinct counts, the quantile-method choice, quartiles and
-    outlier counts, so the data is scanned twice (moments, frequencies)
-    whatever the number of statistics.
+    outliers.  Without distinct counts everything comes from scans with partial
+    aggregation and no value is shuffled.  With them the frequency IR is
+    materialised once in the checkpoint folder and feeds distinct counts,
+    quartiles and outlier counts.
     """
     cols = TY.numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     mom = K.moments(df, cols)
     if not cols:
         return mom
-    if quantile_method == "approx":
-        freq = K.numeric_freq(df, cols)
-        method = "approx"
-    else:
-        freq = K.materialized_numeric_freq(df, cols)
-        method = K.method_from_freq(freq, quantile_method)
+    if not with_unique and quantile_method in ("auto", "bucket"):
+        return _scanned_profile(df, cols, mom, fence, with_outliers)
+    method = "bucket" if quantile_method == "auto" else quantile_method
+    freq = K.numeric_freq(df, cols) if method == "approx" else K.materialized_numeric_freq(df, cols)
     if method == "hashmap":
         # quartiles and distinct counts in one aggregate over the frequency IR
         qs = freq.groupBy("col_idx").agg(F.percentile("v", QUARTILES, F.col("c")).alias("qs"),
@@ -67,7 +65,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
         # bucket method: one pass over the IR gives per-column min/max/count/distinct,
         # which seed the refinement and are the distinct counts
         col_stats = K.freq_column_stats(freq) if method == "bucket" else None
-        q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=method, freq=freq, col_stats=col_stats)
+        q = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES, method=method, freq=freq)
         out = mom.join(q, "col_idx", "left")
         if with_unique:
             uniq = (spark.createDataFrame([(r["col_idx"], r["d"]) for r in col_stats], "col_idx int, unique long")
@@ -90,6 +88,26 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantile_metho
     return out.join(F.broadcast(types), "col_idx")
 
 
+def _scanned_profile(df: DataFrame, cols: list[str], mom: DataFrame, fence: float, with_outliers: bool) -> DataFrame:
+    """The numeric profile without distinct counts, from scans alone; its few rows are fixed as they are found."""
+    spark = df.sparkSession
+    quartiles = K.quantiles(df, cols, QUARTILES, QUARTILE_NAMES).collect()      # one row per column
+    bounds = {r["col_idx"]: (r["q1"] - fence * (r["q3"] - r["q1"]), r["q3"] + fence * (r["q3"] - r["q1"]))
+              for r in quartiles}
+    known = spark.createDataFrame([(*r, *bounds[r["col_idx"]]) for r in quartiles],
+                                  "col_idx int, q1 double, median double, q3 double, lower_bound double, upper_bound double")
+    out = mom.join(F.broadcast(known), "col_idx", "left")
+    if with_outliers:
+        def beyond(i, x):
+            if i not in bounds:
+                return {"outliers": F.sum(F.lit(0).cast("long"))}
+            lo, hi = (F.lit(float(b)) for b in bounds[i])
+            return {"outliers": F.coalesce(F.sum(F.when((x < lo) | (x > hi), 1).otherwise(0)), F.lit(0)).cast("long")}
+        out = out.join(K.per_column(df, cols, beyond), "col_idx", "left")
+    types = _names(spark, cols, df).select("col_idx", "dtype")
+    return out.join(F.broadcast(types), "col_idx")
+
+
 # ---------------------------------------------------------------------------
 # AGG8 / AGG9 variable summaries
 # ---------------------------------------------------------------------------

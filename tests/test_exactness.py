@@ -96,3 +96,30 @@ def test_penalised_models_equal_the_closed_form(spark, model_id):
 def test_max_models_counts_available_learners():
     from tabulens.ml.learners import candidates
     assert len(candidates("classification", 4)) == 4
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 3.0, float("inf")], [float("-inf"), 5.0, 7.0, 8.0, 9.0], [2.0] * 50 + [3.0],
+    [10.0 ** e for e in range(-300, 300, 3)], [-1.7e308, 0.0, 1.0, 1.7e308]])
+def test_quantiles_from_the_scan(spark, values):
+    """Infinite cells, a hot value and values of very different size; no pass may end with a whole column in a task."""
+    from tabulens.operators import kernels as K
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = K.bucket_quantiles(K.scan_values(df, ["x"]), [0.25, 0.5, 0.75], ["a", "b", "c"], buckets=16, exact_limit=3)
+    row = got.first()
+    ordered = np.sort(np.array(values))
+    for p, q in zip((0.25, 0.5, 0.75), (row.a, row.b, row.c)):
+        at = p * (len(values) - 1)
+        lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        want = lo if lo == hi else (1 - (at - np.floor(at))) * lo + (at - np.floor(at)) * hi
+        assert q == pytest.approx(want, rel=1e-12)
+
+
+def test_outlier_queries_shuffle_no_values(spark):
+    from tabulens.operators import outliers
+    df = spark.createDataFrame([(float(i % 50), float(i)) for i in range(500)] + [(900.0, None)], "a double, b double")
+    for out in (outliers.iqr_outliers(df), outliers.zscore_outliers(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(v" not in plan and "col_idx" not in "".join(
+            line for line in plan.split("\n") if "Exchange hashpartitioning" in line and ", v" in line)
+    assert [r.outlier_count for r in outliers.iqr_outliers(df).collect()] == [1]
