@@ -42,7 +42,7 @@ def elbow(df: DataFrame, max_cols: int = 5, min_rows: int = 50, k_max: int = 7,
 def cluster_tree(df: DataFrame, leaves: int = 8, max_cols: int = 5, seed: int = 42) -> DataFrame:
     """Divisive hierarchical grouping of standardised rows (bisecting k-means): leaf sizes and centres."""
     cols = TY.numeric_columns(df)[:max_cols]
-    data = _standardised(df, cols)
+    data = reliable_checkpoint(_standardised(df, cols).select("features"))      # every split reads it again
     model = BisectingKMeans(k=leaves, seed=seed, featuresCol="features").fit(data)
     sizes = model.summary.clusterSizes
     centres = model.clusterCenters()

@@ -133,3 +133,25 @@ SELECT position, "column", 'Normality (D''Agostino-Pearson)' AS test, n, round(z
 def q_normality_all_rows(spark, d):
     out = NO.normality_all_rows(FX.table(spark, d, "lineitem"), NORMAL_COLUMNS)
     return out.withColumn("p_value", round_to("p_value", 6))
+
+
+def _three_scores_sql(k: int) -> str:
+    return (f"SELECT {k} AS k, CAST(o_orderkey % 3 = {k} AS INT) AS pos, "
+            f"CAST((o_custkey * {k + 3}) % 101 AS DOUBLE) / 101.0 + (CASE WHEN o_orderkey % 3 = {k} THEN 0.25 ELSE 0 END) AS s "
+            "FROM orders")
+
+
+@register("auc_one_vs_rest", f"""
+WITH l AS ({' UNION ALL '.join(_three_scores_sql(k) for k in range(3))}),
+r AS (SELECT k, pos, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM l),
+a AS (SELECT k, sum(pos) AS p, (sum(CASE WHEN pos = 1 THEN r END) - sum(pos) * (sum(pos) + 1) / 2.0)
+        / (sum(pos) * (count(*) - sum(pos))) AS auc FROM r GROUP BY k)
+SELECT round(sum(auc * p) / sum(p), 8) + 0.0 AS auc, count(*) AS classes FROM a""")
+def q_auc_one_vs_rest(spark, d):
+    from tabulens.ml.metrics import auc_one_vs_rest
+    o = FX.table(spark, d, "orders")
+    label = F.col("o_orderkey") % 3
+    scores = F.array(*[((F.col("o_custkey") * (k + 3)) % 101).cast("double") / 101.0
+                       + F.when(label == k, 0.25).otherwise(0.0) for k in range(3)])
+    out = auc_one_vs_rest(o.select(label.alias("label"), scores.alias("scores")))
+    return out.select(round_to("auc", 8).alias("auc"), "classes")

@@ -52,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):    # local-cluster has executors of its own
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
     path = tempfile.mkdtemp(prefix="tabulens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
