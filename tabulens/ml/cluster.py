@@ -18,9 +18,9 @@ def _standardised(df: DataFrame, cols: list[str]) -> DataFrame:
     return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec).transform(vec)
 
 
-def elbow(df: DataFrame, max_cols: int = 5, min_rows: int = 50, k_max: int = 7, seed: int = 42) -> dict | None:
-    """Inertia of k-means for k = 2..min(k_max, n//10 - 1) on standardised complete cases of the first
-    numeric columns; chosen k = argmin(first differences) + 2.  Returns None under ``min_rows`` rows."""
+def elbow(df: DataFrame, max_cols: int | None = None, min_rows: int = 50, k_max: int = 7, seed: int = 42) -> dict | None:
+    """Inertia of k-means for k = 2..min(k_max, n//10 - 1) on standardised complete cases of the
+    numeric columns (the first ``max_cols`` if given); chosen k = argmin(first differences) + 2.  Returns None under ``min_rows`` rows."""
     cols = TY.numeric_columns(df)[:max_cols]
     if len(cols) < 2:
         return None
@@ -39,7 +39,7 @@ def elbow(df: DataFrame, max_cols: int = 5, min_rows: int = 50, k_max: int = 7,
     return {"chosen_k": chosen, "inertia": table}
 
 
-def cluster_tree(df: DataFrame, leaves: int = 8, max_cols: int = 5, seed: int = 42) -> DataFrame:
+def cluster_tree(df: DataFrame, leaves: int = 8, max_cols: int | None = None, seed: int = 42) -> DataFrame:
     """Divisive hierarchical grouping of standardised rows (bisecting k-means): leaf sizes and centres."""
     cols = TY.numeric_columns(df)[:max_cols]
     data = reliable_checkpoint(_standardised(df, cols).select("features"))      # every split reads it again

@@ -43,8 +43,8 @@ def histogram(df: DataFrame, column: str, bins: int = 40, top_k: int = 15) -> Da
                     round_to(lo + (F.col("bin") + 1) * w, 6).alias("upper"), "count"))
 
 
-def density_histogram(df: DataFrame, bins: int = 30, k: int = 9) -> DataFrame:
-    """Density histograms of the first ``k`` numeric columns: height = count / (n * width)."""
+def density_histogram(df: DataFrame, bins: int = 30, k: int | None = None) -> DataFrame:
+    """Density histograms of the numeric columns (the first ``k`` if given): height = count / (n * width)."""
     cols = TY.numeric_columns(df)[:k]
     spark = df.sparkSession
     if not cols:
@@ -66,7 +66,7 @@ def density_histogram(df: DataFrame, bins: int = 30, k: int = 9) -> DataFrame:
                     .alias("density")))
 
 
-def box_stats(df: DataFrame, cols: list[str] | None = None, k: int = 12, fence: float = 1.5,
+def box_stats(df: DataFrame, cols: list[str] | None = None, k: int | None = None, fence: float = 1.5,
               quantile_method: str = "auto") -> DataFrame:
     """Box-plot numbers per numeric column: quartiles, whiskers (furthest values inside the fences),
     mean, sd and the number of points beyond the whiskers."""
@@ -128,16 +128,19 @@ def pair_bins(df: DataFrame, bins: int = 20, max_cols: int = 5) -> DataFrame:
     return cells.groupBy("x", "y", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
 
 
-def point_sample(df: DataFrame, cols: list[str] | None = None, n: int = 1000, key=None, seed: int = 42) -> DataFrame:
-    """Up to ``n`` complete-case points of ``cols`` (default: first 3 numeric), chosen by md5 of the key."""
+def point_sample(df: DataFrame, cols: list[str] | None = None, n: int | None = None, key=None,
+                 seed: int = 42) -> DataFrame:
+    """Complete-case points of ``cols`` (default: first 3 numeric): all of them, or ``n`` chosen by md5 of the key."""
     cols = TY.numeric_columns(df)[:3] if cols is None else cols
+    if n is None:
+        return complete_cases(df, cols).select(*[TY.column(c) for c in cols])
     key = [key] if isinstance(key, str) else list(key or cols)
-    base = complete_cases(df, cols).select(*dict.fromkeys(cols + key))
-    return sample_rows(base, n, seed, key).select(*cols)
+    base = complete_cases(df, cols).select(*[TY.column(c) for c in dict.fromkeys(cols + key)])
+    return sample_rows(base, n, seed, key).select(*[TY.column(c) for c in cols])
 
 
-def parallel_coordinates(df: DataFrame, n: int = 1000, key=None, seed: int = 42) -> DataFrame:
-    """Min-max scaled complete cases of 3-10 numeric columns, ``n`` of them by md5 of the key."""
+def parallel_coordinates(df: DataFrame, n: int | None = None, key=None, seed: int = 42) -> DataFrame:
+    """Min-max scaled complete cases of 3-10 numeric columns: all of them, or ``n`` by md5 of the key."""
     num = TY.numeric_columns(df)
     spark = df.sparkSession
     if not 3 <= len(num) <= 10:
@@ -146,7 +149,7 @@ def parallel_coordinates(df: DataFrame, n: int = 1000, key=None, seed: int = 42)
     base = complete_cases(df, num).select(*dict.fromkeys(num + key))
     s = scalars(base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(num)],
                          *[F.max(c).alias(f"hi{i}") for i, c in enumerate(num)]))
-    pts = sample_rows(base, n, seed, key)
+    pts = base if n is None else sample_rows(base, n, seed, key)
     return pts.select(*[round_to(F.try_divide(F.col(c) - s[f"lo{i}"], s[f"hi{i}"] - s[f"lo{i}"]), 6)
                         .alias(c) for i, c in enumerate(num)])
 

@@ -47,8 +47,8 @@ def qq_fit(points: DataFrame) -> DataFrame:
                       F.corr("sample", "theoretical").alias("r"))
 
 
-def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_sample: int = 5000,
-                   report: int = 5, alpha: float = 0.05, cols: list[str] | None = None,
+def normality_test(df: DataFrame, max_cols: int | None = None, min_count: int = 50, max_sample: int = 5000,
+                   report: int | None = None, alpha: float = 0.05, cols: list[str] | None = None,
                    key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Shapiro-Francia W' on a deterministic sample of at most ``max_sample`` values per column.
 
@@ -105,7 +105,8 @@ def normality_test(df: DataFrame, max_cols: int = 10, min_count: int = 50, max_s
                    F.col("p").alias("p_value"), (F.col("p") > alpha).alias("is_normal"),
                    F.when(F.col("p") > alpha, "Normal distribution").otherwise("Non-normal distribution")
                    .alias("interpretation")))
-    return out.orderBy("position").limit(report)
+    out = out.orderBy("position")
+    return out if report is None else out.limit(report)
 
 
 def normality_all_rows(df: DataFrame, cols: list[str] | None = None, min_count: int = 20,

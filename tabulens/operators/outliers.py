@@ -11,10 +11,10 @@ from tabulens.operators import kernels as K
 from tabulens.operators.profile import numeric_profile
 
 
-def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: int | None = 20,
+def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: int | None = None,
                  digits: int = 3, only_with_outliers: bool = True, quantile_method: str = "auto",
                  profile: DataFrame | None = None) -> DataFrame:
-    """Per numeric column (first ``max_cols``): values outside [q1 - k*IQR, q3 + k*IQR].
+    """Per numeric column (the first ``max_cols`` if given): values outside [q1 - k*IQR, q3 + k*IQR].
 
     ``denom='rows'`` divides by all rows (report), ``'non_null'`` by the
     column's values (helper form).  Fences are computed once per column and
@@ -38,9 +38,9 @@ def iqr_outliers(df: DataFrame, k: float = 1.5, denom: str = "rows", max_cols: i
     return out.where(F.col("outlier_count") > 0) if only_with_outliers else out
 
 
-def outlier_columns(df: DataFrame, max_cols: int = 10, threshold: float = 5.0, k: float = 1.5,
+def outlier_columns(df: DataFrame, max_cols: int | None = None, threshold: float = 5.0, k: float = 1.5,
                     profile: DataFrame | None = None) -> DataFrame:
-    """Columns among the first ``max_cols`` numeric ones with more than ``threshold`` % IQR outliers (of all rows).
+    """Numeric columns (the first ``max_cols`` if given) with more than ``threshold`` % IQR outliers (of all rows).
 
     ``profile`` may be a precomputed ``numeric_profile`` (fence ``k``) over all numeric columns.
     """
@@ -49,7 +49,7 @@ def outlier_columns(df: DataFrame, max_cols: int = 10, threshold: float = 5.0, k
     if not cols:
         return spark.createDataFrame([], "position int, column string, outlier_count long, outlier_percentage double")
     p = (numeric_profile(df, cols, fence=k, with_unique=False) if profile is None
-         else profile.where(F.col("col_idx") < max_cols))
+         else profile.where(F.col("col_idx") < len(cols)))
     raw = pct(F.coalesce("outliers", F.lit(0)), "n_rows")
     return (p.where(raw > threshold)
             .select(F.col("col_idx").alias("position"), "column",
@@ -57,8 +57,8 @@ def outlier_columns(df: DataFrame, max_cols: int = 10, threshold: float = 5.0, k
                     round_to(raw, 2).alias("outlier_percentage")))
 
 
-def extreme_outlier_risk(df: DataFrame, k: float = 3.0, max_cols: int = 5, threshold: float = 5.0) -> DataFrame:
-    """The first of the first ``max_cols`` numeric columns with more than ``threshold`` % outliers at k*IQR."""
+def extreme_outlier_risk(df: DataFrame, k: float = 3.0, max_cols: int | None = None, threshold: float = 5.0) -> DataFrame:
+    """The first numeric column (of the first ``max_cols`` if given) with more than ``threshold`` % outliers at k*IQR."""
     cols = TY.numeric_columns(df)[:max_cols]
     spark = df.sparkSession
     if not cols:

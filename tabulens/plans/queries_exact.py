@@ -135,6 +135,13 @@ def q_normality_all_rows(spark, d):
     return out.withColumn("p_value", round_to("p_value", 6))
 
 
+@register("point_cloud", """
+SELECT l_quantity, l_discount, l_tax FROM """ + FX.LINEITEM_PROFILE_SQL + """ AS t
+WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL""")
+def q_point_cloud(spark, d):
+    return CH.point_sample(FX.lineitem_profile(spark, d), ["l_quantity", "l_discount", "l_tax"])
+
+
 def _three_scores_sql(k: int) -> str:
     return (f"SELECT {k} AS k, CAST(o_orderkey % 3 = {k} AS INT) AS pos, "
             f"CAST((o_custkey * {k + 3}) % 101 AS DOUBLE) / 101.0 + (CASE WHEN o_orderkey % 3 = {k} THEN 0.25 ELSE 0 END) AS s "

@@ -44,7 +44,7 @@ def auto_report(df: DataFrame) -> dict[str, DataFrame]:
         out["top_correlations"] = C.top_correlations(df, 10)
         out["highly_correlated"] = C.correlated_pairs(df, 0.7)
     if TY.numeric_columns(df):
-        out["statistical_tests"] = NO.normality_test(df)
+        out["statistical_tests"] = NO.normality_all_rows(df)
     return out
 
 
@@ -54,11 +54,11 @@ def _chart_registry(df: DataFrame) -> list[tuple[str, Callable[[], bool], Callab
         ("correlation_heatmap", lambda: len(num) >= 2, lambda: C.correlation_matrix(df)),
         ("distributions", lambda: bool(num), lambda: CH.density_histogram(df, 30, 9)),
         ("boxplot_comparison", lambda: bool(num), lambda: CH.box_stats(df, k=12)),
-        ("violin_plots", lambda: bool(num), lambda: CH.kde(df, num[0])),
+        *[(f"violin_{c}", lambda: True, lambda c=c: CH.kde(df, c)) for c in num[:8]],
         ("missing_pattern", lambda: True, lambda: P.missing_patterns(df)),
         ("missing_bar", lambda: True, lambda: P.missing_by_column(df)),
         ("pca_projection", lambda: len(num) >= 3, lambda: __import__(
-            "tabulens.ml.cluster", fromlist=["pca_projection"]).pca_projection(df)["explained"]),
+            "tabulens.ml.cluster", fromlist=["pca_projection"]).pca_projection(df)["points"]),
         ("feature_importance", lambda: len(num) > 1, lambda: __import__(
             "tabulens.ml.cluster", fromlist=["feature_importance"]).feature_importance(df)),
         ("pair_plot", lambda: 2 <= len(num) <= 6, lambda: CH.pair_bins(df)),
