@@ -11,8 +11,11 @@ first star of a class goes to the hub it shares most buckets with.  Classes
 whose links are confirmed, on full shingle sets, become one component; a bucket
 that still holds several components goes on with new hubs, taken from
 outside its largest component, and a hub that has met everyone leaves it.  Buckets
-close when one component is left, so no pair of a bucket is skipped, and pairs
-stay near the number of members instead of its square.
+close when one component is left, so no pair of a bucket is skipped.  A star only
+has the edges that could be links: every class carries a bitmap of its shingles,
+and the bits that one bitmap has and the other has not bound the intersection
+from above.  That bound is exact, so it loses nothing, and it leaves few edges
+besides the links.  A pair that shares several buckets is met in one of them.
 
 At similarity 0.75 two texts miss every common bucket with probability
 (1 - 0.75**4)**32, about 5e-6.
@@ -39,6 +42,8 @@ from tabulens.session import written_table
 BINS, BAND_ROWS = 128, 4
 BANDS = BINS // BAND_ROWS
 ATTEMPTS = (16, 2048)
+BITMAP = 1024
+FIRST_HUBS = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,28 +106,38 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The set hashed to ``BITMAP`` bits, as 64-bit numbers (by low bits: the bins go by high ones)."""
+    bits = np.zeros(BITMAP, dtype=bool)
+    bits[(shingles & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def set_id(shingles: np.ndarray) -> bytes:
     """128-bit name of a shingle set."""
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, bands) of every document; cid and bands are null for an empty set."""
+    """(doc_id, n_shingles, cid, bands, bits) of every document; the last three are null for an empty set."""
     id_type = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(frames):
         tables = [borrow_table(n) for n in ATTEMPTS]
         for frame in frames:
-            sizes, ids, bands = [], [], []
+            sizes, ids, bands, bits = [], [], [], []
             for text in frame["text"]:
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
                 bands.append(band_keys(signature(s, tables)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": sizes, "cid": ids, "bands": bands})
+                bits.append(bitmap(s) if len(s) else None)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": sizes, "cid": ids, "bands": bands,
+                                "bits": bits})
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>")
+    return rows.mapInPandas(
+        run, f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>, bits array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int,
@@ -165,12 +180,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written_table(sign_documents(docs, id_col, text_col, width))
     classes = written_table(
         signed.where("cid is not null").groupBy("cid")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+             F.first("bits").alias("bits")))
     member = classes.select("cid", "n", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     bucket = written_table(member.join(shared, "key").select("key", "cid", "n"))
-    wanted = classes.join(bucket.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id")
-    sets = written_table(class_sets(docs, wanted, id_col, text_col, width, broadcast_rows))
+    wanted = written_table(classes.join(bucket.select("cid").distinct(), "cid", "left_semi"))
+    sets = written_table(class_sets(docs, wanted.select("cid", "doc_id"), id_col, text_col, width, broadcast_rows))
 
     # round 1: every class against the hub that it shares most buckets with
     hubs = bucket.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"))
@@ -178,22 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where(similar_sizes(F.col("n"), F.col("hub.n"), percent))
             .groupBy(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("times")))
     best = near.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tried = written_table(best)
-    links = written_table(confirmed(tried, sets, percent))
-    component = connected_components(links)
+    component = connected_components(confirmed(best, sets, percent))
 
-    hub_count = 4
+    hub_count, rest = FIRST_HUBS, bucket.select("key", "cid")
     while True:
-        rows = open_buckets(bucket, component)
+        rows = open_rows(rest, component, wanted, hub_count)
         if not rows.limit(1).count():
             break
-        pairs, bucket = star_pairs(rows, hub_count, percent)
-        pairs = written_table(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            tried = tried.union(pairs)
-            links = written_table(links.union(confirmed(pairs, sets, percent)))
-            component = connected_components(links)
-        hub_count *= 8
+        component = joined_components(component, confirmed(star_pairs(rows, percent), sets, percent))
+        rest = rows.where("not is_hub").select("key", "cid")
+        hub_count *= 16
 
     first = (classes.join(component, F.col("cid") == F.col("node"), "left")
              .select("cid", "doc_id", F.coalesce("label", "cid").alias("label")))
@@ -208,55 +218,94 @@ def similar_sizes(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def open_buckets(bucket: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, cid, n, label) of the buckets that hold more than one component."""
-    labelled = (bucket.join(component, F.col("cid") == F.col("node"), "left")
-                .select("key", "cid", "n", F.coalesce("label", "cid").alias("label")))
-    many = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo <> hi").select("key"))
-    return written_table(labelled.join(many, "key"))
-
-
-def star_pairs(rows: DataFrame, hub_count: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the next stars, and the bucket rows that remain after them.
+def open_rows(rest: DataFrame, component: DataFrame, traits: DataFrame, hub_count: int) -> DataFrame:
+    """(key, cid, label, is_hub, n, bands, bits) of the buckets that hold more than one component.
 
     Hubs are about ``hub_count`` members outside each bucket's largest component, the first of its smallest component
-    always among them; each meets all members of other components, after which it has nobody left to meet there.
+    always among them.
     """
-    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("head"))
-    chosen = parts.groupBy("key").agg(F.min(F.struct("size", "label", "head")).alias("lo"),
-                                      F.max(F.struct("size", "label")).alias("hi"), F.sum("size").alias("all"))
+    labelled = written_table(rest.join(component, F.col("cid") == F.col("node"), "left")
+                             .select("key", "cid", F.coalesce("label", "cid").alias("label")))
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("head"))
+    chosen = (parts.groupBy("key")
+              .agg(F.min(F.struct("size", "label", "head")).alias("lo"), F.max(F.struct("size", "label")).alias("hi"),
+                   F.sum("size").alias("all"), F.count(F.lit(1)).alias("labels"))
+              .where("labels > 1"))
     lot = F.pmod(F.xxhash64("key", "cid"), F.col("all") - F.col("hi.size")) < hub_count
-    hubs = written_table(rows.join(chosen, "key").where(F.col("label") != F.col("hi.label"))
-                         .where((F.col("cid") == F.col("lo.head")) | lot)
-                         .select("key", F.col("cid").alias("hub"), F.col("n").alias("hub_n"),
-                                 F.col("label").alias("hub_label")))
-    met = (hubs.join(rows, "key").where(F.col("label") != F.col("hub_label"))
-           .where(similar_sizes(F.col("n"), F.col("hub_n"), percent)))
-    pairs = met.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
-    left = rows.join(hubs.select("key", F.col("hub").alias("cid")), ["key", "cid"], "left_anti")
-    return pairs, written_table(left.select("key", "cid", "n"))
+    is_hub = (F.col("label") != F.col("hi.label")) & ((F.col("cid") == F.col("lo.head")) | lot)
+    return written_table(labelled.join(chosen, "key").select("key", "cid", "label", is_hub.alias("is_hub"))
+                         .join(traits.select("cid", "n", "bands", "bits"), "cid"))
+
+
+def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: the links are drawn between components, which are few, and solved there."""
+    of = component.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    to = component.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = (links.join(of, "a", "left").join(to, "b", "left")
+               .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
+    renamed = connected_components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = (component.join(renamed, F.col("label") == F.col("old"), "left")
+             .select("node", F.coalesce("new", "label").alias("label")))
+    single = (renamed.join(component.select("node"), F.col("old") == F.col("node"), "left_anti")
+              .select(F.col("old").alias("node"), F.col("new").alias("label")))
+    return written_table(known.union(single))
+
+
+def could_link(n, m, bits, other_bits, percent: int):
+    """Whether sets of sizes n and m with these bitmaps can be similar: what one bitmap lacks bounds the overlap."""
+    def only(a, b):
+        terms = [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(BITMAP // 64)]
+        return sum(terms[1:], terms[0])
+    overlap = F.least(n - only(bits, other_bits), m - only(other_bits, bits))
+    return (100 + percent) * overlap >= percent * (n + m)
+
+
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of hubs and members of other components that could be links, each of them once; after them a
+    hub has nobody left to meet in its bucket."""
+    hub = rows.where("is_hub").select("key", *[F.col(c).alias(f"hub_{c}") for c in ("cid", "label", "n", "bands", "bits")])
+    # a pair is met in the bucket of its first common key, and from one side only where both are hubs
+    once = ((F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("key"))
+            & (~F.col("is_hub") | (F.col("hub_cid") < F.col("cid"))))
+    met = (hub.join(rows, "key").where(F.col("label") != F.col("hub_label"))
+           .where(could_link(F.col("n"), F.col("hub_n"), F.col("bits"), F.col("hub_bits"), percent)).where(once))
+    return met.select(F.col("hub_cid").alias("a"), F.col("cid").alias("b"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          percent: int = 75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One document of each group (the one with the smallest id), all columns as they were.
 
-    Rows that repeat an id within a group count as one; texts with an empty set all stay.  The ids to drop are sent
-    to the scan up to ``broadcast_rows`` of them and joined by a shuffle beyond that.
+    Rows of a group that repeat its smallest id count as one; texts with an empty set all stay.  Decisions go by id;
+    where rows with one id are decided differently, the set of the text tells them apart.  The ids are sent to the
+    scan up to ``broadcast_rows`` of them and joined by a shuffle beyond that.
     """
     found = written_table(near_duplicates(docs, id_col, text_col, width, percent, broadcast_rows))
-    groups = found.where("cid is not null")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"), "cid")
-    again = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
-             .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone")))
-    # an id of several rows is told apart by its text; it is rare, and settled on the rows of that id alone
-    ids = gone.select("gone").union(again).distinct()
-    small = ids.count() <= broadcast_rows
-    ids = F.broadcast(ids) if small else ids
-    own = col(id_col).eqNullSafe(F.col("gone"))
-    clear = docs.join(ids, own, "left_anti")
-    if not again.limit(1).count():
+    full = F.col("cid").isNotNull()
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(full & ~stays).alias("go"),
+                                      F.count_if(full & stays).alias("stay"))
+    all_go = F.col("rows") == F.col("go")
+    unsure = ~all_go & ((F.col("go") > 0) | (F.col("stay") > 1))
+    name, cid = spare_name(docs, "touched"), spare_name(docs, "set")
+    touched = written_table(ids.where(all_go | unsure).select(F.col("doc_id").alias(name), unsure.alias("unsure")))
+
+    def sent(rows: DataFrame) -> DataFrame:
+        rows = rows.select(name)
+        return F.broadcast(rows) if rows.limit(broadcast_rows + 1).count() <= broadcast_rows else rows
+
+    same_id = col(id_col).eqNullSafe(col(name))
+    clear = docs.join(sent(touched), same_id, "left_anti")
+    doubtful = touched.where("unsure")
+    if not doubtful.limit(1).count():
         return clear
-    unsure = docs.join(F.broadcast(again), col(id_col).eqNullSafe(F.col("gone")), "left_semi")
-    return clear.union(unsure.dropDuplicates([id_col, text_col])).select(*[col(c) for c in docs.columns])
+
+    def name_set(text: pd.Series) -> pd.Series:
+        sets = [shingle_set(t, width) for t in text]
+        return pd.Series([set_id(s) if len(s) else None for s in sets])
+
+    rows = docs.join(sent(doubtful), same_id, "left_semi").withColumn(cid, F.pandas_udf(name_set, "binary")(col(text_col)))
+    kept = found.where(full & stays).select(F.col("doc_id").alias(name), F.col("cid").alias("kept_set")).distinct()
+    chosen = (rows.where(col(cid).isNotNull()).dropDuplicates([id_col, cid])
+              .join(kept, same_id & (col(cid) == F.col("kept_set")), "left_semi"))
+    return clear.union(chosen.union(rows.where(col(cid).isNull())).select(*[col(c) for c in docs.columns]))
