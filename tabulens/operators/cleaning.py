@@ -10,8 +10,9 @@ from tabulens.operators import kernels as K
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Distinct rows (NULLs equal).  One shuffle of the rows on all columns."""
-    return df.dropDuplicates()
+    """Distinct rows; NULL and NaN are one missing value, as in the duplicate counts, and come out as NULL.
+    One shuffle of the rows on all columns."""
+    return TY.with_nan_as_null(df).dropDuplicates()
 
 
 def drop_null_columns(df: DataFrame) -> DataFrame:

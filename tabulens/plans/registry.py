@@ -34,6 +34,7 @@ def _load():
     from tabulens.plans import queries_ml  # noqa: F401
     from tabulens.plans import queries_sources  # noqa: F401
     from tabulens.plans import queries_exact  # noqa: F401
+    from tabulens.plans import queries_boards  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable]:

@@ -82,13 +82,16 @@ def _chart_registry(df: DataFrame) -> list[tuple[str, Callable[[], bool], Callab
     return reg
 
 
-def all_chart_data(df: DataFrame) -> dict[str, DataFrame]:
-    """Every chart's data, each behind its own precondition; a failing chart is skipped."""
+def all_chart_data(df: DataFrame, run: bool = False) -> dict[str, DataFrame]:
+    """Every chart's data, each behind its own precondition; a failing chart is skipped.
+
+    With ``run`` every chart is written as it is built, so that one that only fails when it is read is skipped too.
+    """
     out = {}
     for name, pre, build in _chart_registry(df):
         try:
             if pre():
-                out[name] = build()
+                out[name] = written_table(build()) if run else build()
         except Exception:  # noqa: BLE001 - one chart never sinks the others
             continue
     return out
