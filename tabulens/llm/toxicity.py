@@ -10,7 +10,8 @@ scores by those, never by isolated words.
 The insult class is learned: stems and whole words that stand in toxic labelled
 texts more often than in clean ones *and* in many different contexts (a word
 that is frequent only because one text was copied a thousand times has one
-context).  Their strength is their log odds.  The weights of the marks are a
+context).  Copies and near copies of a text count once everywhere, so texts and
+contexts have the same unit.  Their strength is their log odds.  The weights of the marks are a
 logistic regression over the matched clauses of the labelled texts, drawn
 towards priors that discount negated and reported clauses.  All come from about
 ``sample_rows`` labelled rows, spread evenly by a hash of the id; lexicon and
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.llm.common import col, spare_name
+from tabulens.llm.minhash import near_duplicates
 from tabulens.session import written_table
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -289,7 +291,7 @@ def fit_weights(rows: list[tuple[dict, int]], steps: int = 30) -> dict[str, floa
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int,
                     folds: int, sample_rows: int) -> DataFrame:
-    """About ``sample_rows`` labelled texts (text, toxic) outside the held-out fold, spread by a hash of the id."""
+    """About ``sample_rows`` labelled texts (row, text, toxic) outside the held-out fold, spread by a hash of the id."""
     usable = (labels.select(col(id_col).alias("id"), col(label_col).alias("toxic"))
               .where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
               .where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) != fold))
@@ -298,11 +300,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000)))
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text is not null")
     # the chosen ids are about sample_rows by construction, so they are sent to the scan instead of moving texts
-    return written_table(texts.join(F.broadcast(chosen), "id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    return written_table(texts.join(F.broadcast(chosen), "id").select(
+        F.monotonically_increasing_id().alias("row"), "text", F.col("toxic").cast("int").alias("toxic")))
+
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One text (text, toxic) of each group of near copies; copies with different labels leave one of each label."""
+    groups = near_duplicates(sample, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+    kept = (sample.select("row", "toxic").join(groups, "row").groupBy("component_id", "toxic")
+            .agg(F.min("row").alias("row")).select("row"))
+    # no more rows than the sample has, one number each
+    return written_table(sample.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic"))
 
 
 def learn_grammar(sample: DataFrame) -> Grammar:
-    """Lexicon and weights from labelled texts (columns text, toxic)."""
+    """Lexicon and weights from labelled texts (columns text, toxic) without copies."""
 
     def counted(features):
         def run(frames):
@@ -353,7 +365,8 @@ def learn_grammar(sample: DataFrame) -> Grammar:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", fold: int = 0, folds: int = 5, sample_rows: int = 8000) -> Grammar:
     """The grammar learned from labelled rows outside the held-out fold."""
-    return learn_grammar(labelled_sample(docs, labels, id_col, text_col, label_col, fold, folds, sample_rows))
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, fold, folds, sample_rows)
+    return learn_grammar(distinct_texts(sample))
 
 
 def toxicity(text, grammar: Grammar):

@@ -238,6 +238,26 @@ def test_toxicity_edge_cases(spark, awkward, empty_docs):
     assert score_toxicity(empty_docs, labels.limit(0)).count() == 0 and drop_toxic(empty_docs, labels).count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_toxicity_learns_an_insult_that_a_group_of_copies_holds(spark, near):
+    from tabulens.llm.toxicity import fit_toxicity
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}"
+                        for i in rng.integers(0, 1000, n))
+
+    copied = f"{words(30)} dumbo {words(40)}"
+    texts = [(f"{copied} {'abcdefghijklmnopqrst'[i % 20]}q{'abcdefghijklmnopqrst'[i // 20]}" if near else copied, 1)
+             for i in range(120)]
+    texts += [(f"{words(20)} dumbo {words(20)}", 1) for _ in range(20)] + [(words(40), 0) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    grammar = fit_toxicity(docs, labels)
+    assert grammar.strength("dumbo") > 0 and grammar.score(f"{words(20)} dumbo {words(20)}") >= 0.5
+    assert grammar.score(copied) >= 0.5 and grammar.score(words(40)) < 0.5
+
+
 # ---------------------------------------------------------------- 9 packing
 
 def check_packing(rows, capacity):
