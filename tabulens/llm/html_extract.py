@@ -6,7 +6,10 @@ from labelled pages (pages that mark their article with ``article`` or ``main``
 label themselves) on top of fixed priors.  One linear scan finds the contiguous
 region with the best total; its text, block by block, is the result.  Elements
 that are never main text (menus, forms, adverts, comments, scripts, ...) score
-negative and are left out where they lie inside the region.
+negative and are left out where they lie inside the region.  Inside a marked
+article, headings and paragraphs are never furniture by their class or id, and
+other elements only if a whole class or id says so; an id that repeats the words
+of the element's own heading is a link target and says nothing.
 
 The labelled sample is the only bounded input (``sample_pages``, spread evenly
 by a hash of the id); extraction reads every page whole.
@@ -49,6 +52,11 @@ skip copyright""".split())
 WEAK_WORDS = frozenset("header topbar meta tags".split())
 CONTENT_WORDS = frozenset("article post entry content story body main text".split())
 KEPT_TAGS = frozenset("html body article main".split())
+# Inside an article a class or id names furniture only as a whole: one of its words, alone or with layout words.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE_FURNITURE_WORDS = (FURNITURE_WORDS | WEAK_WORDS) - {"header"}
+LAYOUT_WORDS = frozenset("""area bar block box button buttons container group inner item items link links list outer panel
+posts row slot unit wrap wrapper""".split())
 
 NODE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,13 +64,29 @@ NODE = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
+FIRST_HEADING = re.compile(r"(?>\s+|<!--.*?-->|<(?!/?h[1-6]\b|!--)[^>]*>)*+<(h[1-6])\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 WORD_PRIOR, TAG_PRIOR, FURNITURE_PRIOR, WEIGHT_LIMIT = 0.5, -0.5, -1.0, 2.0
 PRIORS = {"word in article": 0.5, "word outside article": -1.5}
 
 
-def _is_furniture(name: str, attr: str, in_article: bool) -> bool:
+def _words(value: str) -> list[str]:
+    """Lower-case words of a class or id, those in camel case included."""
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def _repeats_heading(slug: str, page: str, at: int) -> bool:
+    """Whether an id only repeats words of the heading that the element (its content begins at ``at``) opens with."""
+    heading = FIRST_HEADING.match(page, at)
+    if heading is None:
+        return False
+    words = set(LETTERS.findall(html_lib.unescape(re.sub(r"<[^>]*>", " ", heading[2])).lower()))
+    return set(_words(slug)) <= words
+
+
+def _is_furniture(name: str, attr: str, in_article: bool, page: str = "", at: int = 0) -> bool:
     if name in FURNITURE_TAGS:
         return True
     if name == "header":
@@ -76,8 +100,19 @@ def _is_furniture(name: str, attr: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in FURNITURE_ROLES:
         return True
+    if in_article:
+        if name in HEADINGS or name == "p":
+            return False
+        values = found.get("class", "").split()
+        slug = found.get("id", "")
+        for value in [*values, slug]:
+            words = set(_words(value))
+            if words & ARTICLE_FURNITURE_WORDS and words <= ARTICLE_FURNITURE_WORDS | LAYOUT_WORDS:
+                if value in values or not _repeats_heading(slug, page, at):
+                    return True
+        return False
     for value in f"{found.get('class', '')} {found.get('id', '')}".split():
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+        words = set(_words(value))
         if words & FURNITURE_WORDS or (words & WEAK_WORDS and not words & CONTENT_WORDS):
             return True
     return False
@@ -112,7 +147,7 @@ def page_nodes(page: str):
                     furniture -= stack.pop()[1]
                 if name == "li" and stack and stack[-1][0] == "li":
                     furniture -= stack.pop()[1]
-            own = _is_furniture(name, m["attr"], article > 0)
+            own = _is_furniture(name, m["attr"], article > 0, page, m.end())
             if name in BLOCKS or own:
                 stack.append((name, own))
                 furniture += own

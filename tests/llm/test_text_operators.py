@@ -56,6 +56,28 @@ def test_extraction_leaves_page_furniture_out():
     assert main_text(HARD, {}) == "Title & more\nFirst para one\nsecond bold line\ni1\ni2\nLast <b> 5 < 6."
 
 
+SLUGS = """<html><body><header><h1>Site</h1></header><nav>menu</nav><main><article>
+<h1 id="cookies-and-consent">Cookies and consent</h1><p id="copyright-law">Copyright law first.</p>
+<h2 id="related-work">Related work</h2><p class="notice-text">Others did this.</p>
+<section id="discussion"><h2><a href="#discussion">Discussion</a></h2><p>We discuss it.</p>
+<h3 id="social-impact">Social impact</h3><p>It matters.</p></section>
+<div class="search-results-table"><table><tr><td>one result of the search in full words</td><td>two more results of the search</td></tr></table></div>
+<div class="section-header"><h2 id="form">Form</h2></div><ul id="alert-levels"><li>red is the highest level</li></ul><p>And so the article ends with a long last sentence
+that the region has to reach.</p><div class="share-buttons">Tweet it</div><div id="relatedPosts"><h3>Read next</h3><p>Another page</p></div>
+<div class="ads">Buy</div><div role="search">Find</div><p hidden>Unseen</p><ol class="comment-list"><li>me too</li></ol>
+</article></main><footer>(c)</footer></body></html>"""
+
+
+def test_extraction_keeps_article_parts_whose_ids_hold_furniture_words(spark):
+    from tabulens.llm.html_extract import learn_weights, main_text
+    want = ["Cookies and consent", "Copyright law first.", "Related work", "Others did this.", "Discussion",
+            "We discuss it.", "Social impact", "It matters.", "one result of the search in full words",
+            "two more results of the search", "Form", "red is the highest level",
+            "And so the article ends with a long last sentence that the region has to reach."]
+    weights = learn_weights(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    assert main_text(SLUGS, {}).split("\n") == want and main_text(SLUGS, weights).split("\n") == want
+
+
 def test_extraction_edge_cases(spark):
     from tabulens.llm.html_extract import extract_main_text
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>only"), (2, "u", "<p>only"),
