@@ -111,6 +111,16 @@ def q_parallel_coordinates(spark, d):
     return CH.parallel_coordinates(FX.orders(spark, d), 200, key="o_orderkey")
 
 
+@register("parallel_coordinates_all_rows", """
+WITH r AS (SELECT min(o_orderkey) AS a0, max(o_orderkey) AS b0, min(o_custkey) AS a1, max(o_custkey) AS b1,
+        min(o_totalprice) AS a2, max(o_totalprice) AS b2 FROM orders)
+SELECT """ + ", ".join(O.r(f"({c} - a{i}) / (b{i} - a{i})", 6) + f" AS {c}"
+                       for i, c in enumerate(["o_orderkey", "o_custkey", "o_totalprice"])) + """ FROM orders, r
+WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""")
+def q_parallel_coordinates_all_rows(spark, d):
+    return CH.parallel_coordinates(FX.orders(spark, d))
+
+
 @register("time_series", "SELECT ts AS time, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL")
 def q_time_series(spark, d):
     return CH.time_series(FX.events(spark, d), "ts", "value")

@@ -123,3 +123,11 @@ def test_outlier_queries_shuffle_no_values(spark):
         assert "hashpartitioning(v" not in plan and "col_idx" not in "".join(
             line for line in plan.split("\n") if "Exchange hashpartitioning" in line and ", v" in line)
     assert [r.outlier_count for r in outliers.iqr_outliers(df).collect()] == [1]
+
+
+def test_a_parallel_coordinates_query_plots_every_order(spark):
+    import __spark_entry__ as E
+    from tabulens.plans import fixtures as FX
+    from tests.conftest import SF_SMALL
+    assert (E.queries()["parallel_coordinates_all_rows"](spark, SF_SMALL).count()
+            == FX.orders(spark, SF_SMALL).count() > 200)
