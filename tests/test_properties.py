@@ -160,3 +160,19 @@ def test_stratified_sample_hot_class_matches_brute_force(spark):
     ranked = df.withColumn("rn", F.row_number().over(w)).collect()
     want = {r["k"] for r in ranked if r["rn"] <= q[r["cls"]]}
     assert len(got) == 1000 and got == want
+
+
+def test_charts_run_one_by_one(spark, monkeypatch):
+    # charts of a good table all come back with their rows; only the one that fails when it is read is dropped
+    df = spark.range(60).select(F.col("id").cast("double").alias("a"), (F.col("id") * 7 % 13).cast("double").alias("b"),
+                                (F.col("id") * 5 % 11).cast("double").alias("c"),
+                                F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("t"),
+                                F.timestamp_seconds(F.col("id") * 3600).alias("at"))
+    lazy, ran = all_chart_data(df), all_chart_data(df, run=True)
+    assert set(ran) == set(lazy) and {"violin_a", "parallel_coordinates", "time_series_a", "categorical_t"} <= set(ran)
+    for name in ("distributions", "violin_a", "parallel_coordinates", "boxplot_comparison"):
+        assert ran[name].columns == lazy[name].columns and ran[name].count() == lazy[name].count() > 0
+    whole = CH.kde
+    monkeypatch.setattr(CH, "kde", lambda d, c: whole(d, c) if c != "b" else
+                        d.select(F.raise_error(F.lit("no")).cast("double").alias("x")))
+    assert set(all_chart_data(df)) - set(all_chart_data(df, run=True)) == {"violin_b"}
