@@ -166,15 +166,20 @@ def time_series(df: DataFrame, ts: str, value: str, bucket: str | None = None) -
                  F.max("value").alias("max"), F.count(F.lit(1)).alias("count")))
 
 
+#: Bandwidths beyond which a value's kernel (under 1e-13 of its height) is left out.
+KERNEL_REACH = 8
+
+
 def kde(df: DataFrame, column: str, grid: int = 100, bandwidth: float | str = "scott",
-        prebins: int = 2000) -> DataFrame:
+        prebins: int | None = None) -> DataFrame:
     """Gaussian kernel density on a ``grid``-point grid over [min - 3h, max + 3h].
 
-    Values are first reduced to at most ``prebins`` weighted bin centres (one
-    aggregate), then each centre contributes to every grid point by exploding
-    a bounded array -- prebins x grid rows at most, independent of the data size.
-    Scott's rule h = std * n^(-1/5) unless a number is given.  A column without
-    spread has no such bandwidth: the result is empty.
+    Every value contributes to the grid points within ``KERNEL_REACH`` h of it,
+    summed by map-side combine into ``grid`` groups; points that no value
+    reaches have density 0.  With ``prebins`` the values are first reduced to
+    at most so many weighted bin centres, which is coarse where a bin is wider
+    than h.  Scott's rule h = std * n^(-1/5) unless a number is given.  A column
+    without spread has no such bandwidth: the result is empty.
     """
     x = TY.num(df, column)
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
@@ -182,15 +187,22 @@ def kde(df: DataFrame, column: str, grid: int = 100, bandwidth: float | str = "s
                   F.max("x").alias("hi"))
     h = (F.lit(float(bandwidth)) if not isinstance(bandwidth, str)
          else F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    s = scalars(st.withColumn("h", h).withColumn("w", (F.col("hi") - F.col("lo")) / prebins))
-    centres = (vals.withColumn("b", _bin_expr(F.col("x"), s["lo"], s["w"], prebins))
-               .groupBy("b").agg(F.count(F.lit(1)).alias("c")))
+    s = scalars(st.withColumn("h", h).withColumn("w", (F.col("hi") - F.col("lo")) / (prebins or 1)))
     start = s["lo"] - 3 * s["h"]
     step = (s["hi"] - s["lo"] + 6 * s["h"]) / (grid - 1)
-    centre = s["lo"] + (F.col("b") + 0.5) * s["w"]
-    pts = (centres.select("c", s["n"].alias("n"), s["h"].alias("h"), centre.alias("m"),
-                          F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
-           .withColumn("g", start + F.col("gi") * step))
+    if prebins is None:
+        reach = KERNEL_REACH * s["h"]
+        first = F.greatest(F.lit(0), F.ceil(F.try_divide(F.col("x") - reach - start, step)).cast("int"))
+        last = F.least(F.lit(grid - 1), F.floor(F.try_divide(F.col("x") + reach - start, step)).cast("int"))
+        near = vals.select(F.lit(1).alias("c"), F.col("x").alias("m"), first.alias("first"), last.alias("last"))
+        pts = (near.where("first <= last").select("c", "m", F.explode(F.sequence("first", "last")).alias("gi"))
+               .union(df.sparkSession.range(grid).select(F.lit(0), F.lit(0.0), F.col("id").cast("int"))))
+    else:
+        centres = (vals.withColumn("b", _bin_expr(F.col("x"), s["lo"], s["w"], prebins))
+                   .groupBy("b").agg(F.count(F.lit(1)).alias("c")))
+        pts = centres.select("c", (s["lo"] + (F.col("b") + 0.5) * s["w"]).alias("m"),
+                             F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
+    pts = pts.select("c", s["n"].alias("n"), s["h"].alias("h"), "m", "gi").withColumn("g", start + F.col("gi") * step)
     norm = 1.0 / math.sqrt(2 * math.pi)
     z = F.try_divide(F.col("g") - F.col("m"), F.col("h"))
     contrib = F.col("c") * F.exp(-0.5 * F.pow(z, F.lit(2))) * norm

@@ -131,3 +131,14 @@ def test_a_parallel_coordinates_query_plots_every_order(spark):
     from tests.conftest import SF_SMALL
     assert (E.queries()["parallel_coordinates_all_rows"](spark, SF_SMALL).count()
             == FX.orders(spark, SF_SMALL).count() > 200)
+
+
+def test_density_of_a_column_with_a_far_outlier(spark):
+    from tabulens.operators import charts as CH
+    x = np.append(np.random.default_rng(8).standard_cauchy(20_000), 1e6)
+    df = spark.createDataFrame(x[:, None].tolist(), "x double")
+    rows = sorted(CH.kde(df, "x", bandwidth=40.0, grid=20_001).where("x > -300 and x < 300").collect())
+    assert len(rows) > 5
+    for r in rows:
+        want = np.exp(-0.5 * ((r.x - x) / 40.0) ** 2).sum() / (len(x) * 40.0 * np.sqrt(2 * np.pi))
+        assert abs(r.density - want) < 1e-9 * want + 1e-15
