@@ -101,3 +101,55 @@ def op2_mixing(spark, sf_dir):
     from tabulens.llm.mixing import labelled_languages, mix_documents
     docs = table(spark, sf_dir, "documents")
     return mix_documents(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), LANGUAGE_TARGETS)
+
+
+def _field_sql(*columns):
+    """DuckDB: the fields of a leaf, each with its UTF-8 length."""
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || "
+                       f"CAST({c} AS VARCHAR) END" for c in columns)
+
+
+#: DuckDB: CRC-32 of the decimal id, byte by byte and bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: ord(ch)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS k, sha256({_field_sql('doc_id', 'source', 'lang', 'n_chars', 'text')}) AS leaf,
+    sha256({_field_sql('doc_id', 'source', 'lang', 'n_chars', "replace(text, chr(10), '')")}) AS odd_leaf,
+    coalesce({_CRC_SQL} % 2 = 0, false) AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY k) AS n FROM d),
+inner_up AS (SELECT k, 0 AS level, idx, leaf AS digest, n FROM leaves UNION ALL
+  SELECT k, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM inner_up WHERE n > 1
+  GROUP BY k, level, idx // 3, n),
+subroots AS (SELECT k, digest, row_number() OVER (ORDER BY encode(k)) - 1 AS place, count(*) OVER () AS n FROM inner_up WHERE n = 1),
+top_up AS (SELECT 0 AS level, place AS idx, digest, n FROM subroots UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM top_up WHERE n > 1
+  GROUP BY level, idx // 3, n),
+top_path AS (SELECT k, list(l || '|' || r ORDER BY level) AS path FROM (
+  SELECT s.k, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < s.place // CAST(pow(3, u.level) AS BIGINT)), '') AS l,
+    coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > s.place // CAST(pow(3, u.level) AS BIGINT)), '') AS r
+  FROM subroots s JOIN top_up u ON u.n > 1 AND u.idx // 3 = s.place // CAST(pow(3, u.level + 1) AS BIGINT)
+  GROUP BY s.k, s.place, u.level) GROUP BY k),
+leaf_path AS (SELECT k, idx, list(l || '|' || r ORDER BY level) AS path FROM (
+  SELECT s.k, s.idx, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < s.idx // CAST(pow(3, u.level) AS BIGINT)), '') AS l,
+    coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > s.idx // CAST(pow(3, u.level) AS BIGINT)), '') AS r
+  FROM leaves s JOIN inner_up u ON u.k = s.k AND u.n > 1 AND u.idx // 3 = s.idx // CAST(pow(3, u.level + 1) AS BIGINT)
+  GROUP BY s.k, s.idx, u.level) GROUP BY k, idx),
+proofs AS (SELECT l.*, s.digest AS subroot, (SELECT digest FROM top_up WHERE n = 1) AS root,
+    list_concat(coalesce(p.path, []), coalesce(t.path, [])) AS path
+  FROM leaves l JOIN subroots s USING (k) LEFT JOIN leaf_path p USING (k, idx) LEFT JOIN top_path t USING (k)),
+folded AS (SELECT *, list_reduce(list_prepend(CASE WHEN changed THEN odd_leaf ELSE leaf END, path),
+    lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified FROM folded"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark, sf_dir):
+    """Octopus proof and verdict of every document, half of them tampered with."""
+    from tabulens.llm.merkle import document_manifest, prove
+    proofs = prove(document_manifest(table(spark, sf_dir, "documents")), claimed="tampered")
+    return proofs.withColumnRenamed("row_id", "doc_id")
