@@ -153,3 +153,10 @@ def op13_merkle_manifest(spark, sf_dir):
     from tabulens.llm.merkle import document_manifest, prove
     proofs = prove(document_manifest(table(spark, sf_dir, "documents")), claimed="tampered")
     return proofs.withColumnRenamed("row_id", "doc_id")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers over every document, with corpus-wide counts of the linked pairs."""
+    from tabulens.llm.token_alignment import align_documents
+    return align_documents(table(spark, sf_dir, "documents"))
