@@ -111,3 +111,45 @@ def q_leaderboard_regression(spark, d):
 def q_predictive_insights(spark, d):
     from tabulens.operators.dashboard import predictive_insights
     return predictive_insights(FX.events(spark, d).select("ts", "value", "user_id", "event_id"), ["event_id"])
+
+
+def _linear_learners_sql(folds=5, lasso=1.0, elastic=(1.0, 0.5), ridge=1.0):
+    """Normal equations of two centred features per training fold; the L1 forms with the signs of the least-squares fit."""
+    def solve(name, pen, c1, c2):
+        det = f"((g11 + {pen}) * (g22 + {pen}) - g12 * g12)"
+        return (f"SELECT k AS fold, '{name}' AS learner, my, m1, m2, ((g22 + {pen}) * ({c1}) - g12 * ({c2})) / {det} AS b1, "
+                f"((g11 + {pen}) * ({c2}) - g12 * ({c1})) / {det} AS b2 FROM g")
+    mean = "sign(s{0}) * {1}e0 * n"
+    return f"""
+WITH src AS (SELECT CAST(l_quantity AS DOUBLE) AS x1, CAST(l_discount AS DOUBLE) * 100.0e0 AS x2,
+    CAST(l_extendedprice AS DOUBLE) AS y, l_orderkey % {folds} AS f FROM lineitem),
+rows AS (SELECT k, x1, x2, y FROM src, range({folds}) t(k) WHERE f <> k),
+c AS (SELECT k, x1 - avg(x1) OVER w AS d1, x2 - avg(x2) OVER w AS d2, y - avg(y) OVER w AS e,
+    avg(y) OVER w AS my, avg(x1) OVER w AS m1, avg(x2) OVER w AS m2 FROM rows WINDOW w AS (PARTITION BY k)),
+s AS (SELECT k, count(*) AS n, sum(d1 * d1) AS g11, sum(d1 * d2) AS g12, sum(d2 * d2) AS g22, sum(d1 * e) AS c1,
+    sum(d2 * e) AS c2, any_value(my) AS my, any_value(m1) AS m1, any_value(m2) AS m2 FROM c GROUP BY k),
+g AS (SELECT *, g22 * c1 - g12 * c2 AS s1, g11 * c2 - g12 * c1 AS s2 FROM s),
+fits AS ({solve('lr', '0.0e0', 'c1', 'c2')} UNION ALL {solve('ridge', f'{ridge}e0', 'c1', 'c2')}
+  UNION ALL {solve('lasso', '0.0e0', f'c1 - {mean.format(1, lasso)}', f'c2 - {mean.format(2, lasso)}')}
+  UNION ALL {solve('en', f'{elastic[0] * (1 - elastic[1])}e0 * n', f'c1 - {mean.format(1, elastic[0] * elastic[1])}',
+                   f'c2 - {mean.format(2, elastic[0] * elastic[1])}')})
+SELECT CAST(fold AS INT) AS fold, learner, {O.r('b1', 4)} AS b_quantity, {O.r('b2', 4)} AS b_discount,
+  {O.r('my - m1 * b1 - m2 * b2', 3)} AS intercept FROM fits"""
+
+
+@register("linear_learners", _linear_learners_sql())
+def q_linear_learners(spark, d):
+    """Four penalised forms on all five training folds from one scan of lineitem."""
+    from pyspark.ml.feature import VectorAssembler
+    from tabulens.ml.fold_stats import linear_models
+    src = FX.table(spark, d, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("x1"), (F.col("l_discount").cast("double") * 100).alias("x2"),
+        F.col("l_extendedprice").cast("double").alias("label"), (F.col("l_orderkey") % 5).alias("f"))
+    tagged = src.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("model")).where("f <> model")
+    rows = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(tagged)
+    fitted = linear_models(rows, "regression", ["lr", "ridge", "lasso", "en"])
+    out = [(k, name, *m.getOrDefault(m.weights)[0], m.getOrDefault(m.bias)[0])
+           for name, by in fitted.items() for k, m in by.items()]
+    found = spark.createDataFrame(out, "fold int, learner string, b1 double, b2 double, c double")
+    return found.select("fold", "learner", round_to("b1", 4).alias("b_quantity"), round_to("b2", 4).alias("b_discount"),
+                        round_to("c", 3).alias("intercept"))
