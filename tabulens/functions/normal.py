@@ -42,25 +42,6 @@ def norm_ppf(p: Column) -> Column:
     return (F.when(p < _P_LOW, low).when(p > 1 - _P_LOW, high).otherwise(mid))
 
 
-def norm_ppf_py(p: float) -> float:
-    """Driver-side twin of :func:`norm_ppf` for scalars."""
-    import math
-    def horner(cs, x):
-        acc = cs[0]
-        for c in cs[1:]:
-            acc = acc * x + c
-        return acc
-    if p < _P_LOW:
-        q = math.sqrt(-2 * math.log(p))
-        return horner(_C, q) / (horner(_D, q) * q + 1)
-    if p > 1 - _P_LOW:
-        q = math.sqrt(-2 * math.log(1 - p))
-        return -horner(_C, q) / (horner(_D, q) * q + 1)
-    q = p - 0.5
-    r = q * q
-    return horner(_A, r) * q / (horner(_B, r) * r + 1)
-
-
 def norm_cdf(z: Column) -> Column:
     """Standard normal CDF via erfc(|z|/sqrt 2) (W. J. Cody style rational bound, Numerical Recipes erfc)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))

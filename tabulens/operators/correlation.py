@@ -185,14 +185,15 @@ def t_two_sided_p(t: float, dof: float) -> float:
 def trend(df: DataFrame, ts: str, value: str, tiebreak: list[str] | None = None, min_rows: int = 10) -> DataFrame:
     """Least squares of ``value`` against its 0-based position in time order (complete cases).
 
-    One row: n, slope, intercept, r, r2, stderr, direction; empty when n <= min_rows.
-    The position is computed with the partition-offset row index, never in a
-    single task.  ``trend_with_p`` adds the two-sided p-value.
+    One row: n, slope, intercept, r, r2, stderr, t, direction; empty when n <= min_rows.
+    Rows with equal time (and tie-break) share their mean position.  The position is
+    computed with partition offsets, never in a single task.  ``trend_with_p`` adds
+    the two-sided p-value.
     """
     order = list(dict.fromkeys([ts] + list(tiebreak or [])))
-    base = df.select(*order, TY.num(df, value).alias("_trend_y")).dropna(subset=[ts, "_trend_y"])
-    sums = K.ordered_index_stats(base, order, "_trend_y")
-    reg = K.regression_from_sums(sums)
+    base = df.select(*[TY.column(c) for c in order], TY.num(df, value).alias("_trend_y"))
+    base = base.where(TY.column(ts).isNotNull() & F.col("_trend_y").isNotNull())
+    reg = K.order_regression(base, order, "_trend_y")
     return (reg.where(F.col("n") > min_rows)
             .select(F.col("n").cast("long").alias("n"), "slope", "intercept", "r", "r2", "stderr", "t",
                     F.when(F.col("slope") > 0, "upward").otherwise("downward").alias("direction")))

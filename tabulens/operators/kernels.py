@@ -14,7 +14,7 @@
                  (one task per column holds that column's distinct values);
                  ``rank`` range-partitions the distinct values and adds
                  per-partition offsets; ``approx`` is ``percentile_approx``.
-* ``ordered_index_stats``
+* ``order_regression``
                  sums over a global row index in a sort order without a
                  single-partition window: range partition, sort inside
                  partitions, ``monotonically_increasing_id`` gives
@@ -392,75 +392,48 @@ def _rank_quantiles(freq: DataFrame, probs, names) -> DataFrame:
             .agg(*[F.max(F.when(F.col("pi") == j, F.col("q"))).alias(n) for j, n in enumerate(names)]))
 
 
-def column_quantiles(df: DataFrame, col: str, probs: list[float], method: str = "auto") -> DataFrame:
-    """Quantiles of one column as a one-row frame (columns p25, p50...)."""
-    return quantiles(df, [col], probs, method=method).drop("col_idx")
-
-
 # ---------------------------------------------------------------------------
 # ordered row index
 # ---------------------------------------------------------------------------
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
-
+def order_regression(df: DataFrame, order_cols: list[str], value_col: str) -> DataFrame:
+    """Least squares of ``value`` against the position in ``order_cols`` order, from merged co-moments.
 
-def ordered_index_stats(df: DataFrame, order_cols: list[str], value_col: str) -> DataFrame:
-    """Regression sums of ``value`` against its 0-based index in ``order_cols`` order.
-
-    One row: n, sx, sxx, sy, syy, sxy where x is the global row index.  The
-    index is never materialised in one partition: range partition +
-    sortWithinPartitions give each partition a contiguous slice of the order;
-    ``monotonically_increasing_id`` yields (partition id, local position) in
-    the same stage; per-partition sums are shifted by the cumulative count of
-    earlier partitions (a table with one row per partition).
+    One row: n, slope, intercept, r, r2, stderr, t.  Rows with equal keys share the mean of their positions, so the
+    result depends on neither the partitioning nor the order of ties.  They are first reduced to (rows, mean, M2) with
+    map-side combine: a key on a third of the rows is one row per task.  Distinct keys are range-partitioned and
+    written; counts of the partitions before and a running sum inside give their positions.  All sums are taken around
+    the means (the remaining rounding of the mean of y is corrected), so large offsets do not cancel.
     """
     spark = df.sparkSession
-    nparts = _default_partitions(spark)
     y = F.col(value_col).cast("double")
-    ordered = (df.select(*order_cols, y.alias("y"))
-               .repartitionByRange(nparts, *order_cols)
-               .sortWithinPartitions(*order_cols)
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    local = (ordered
-             .withColumn("pid", F.shiftright("_mid", _LOCAL_BITS))
-             .withColumn("j", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).cast("double")))
-    per_part = local.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("np"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-        F.sum(F.col("j") * F.col("y")).alias("sjy"))
-    w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition: bounded
-    shifted = per_part.withColumn("off", F.coalesce(F.sum("np").over(w), F.lit(0)).cast("double"))
-    n = F.sum("np").cast("double")
-    return shifted.agg(
-        n.alias("n"),
-        (n * (n - 1) / 2).alias("sx"),
-        ((n - 1) * n * (2 * n - 1) / 6).alias("sxx"),
-        F.sum("sy").alias("sy"),
-        F.sum("syy").alias("syy"),
-        F.sum(F.col("off") * F.col("sy") + F.col("sjy")).alias("sxy"),
-    )
-
-
-def regression_from_sums(sums: DataFrame) -> DataFrame:
-    """slope, intercept, r, r2, stderr, t from (n, sx, sxx, sy, syy, sxy)."""
-    n, sx, sxx, sy, syy, sxy = (F.col(c) for c in ["n", "sx", "sxx", "sy", "syy", "sxy"])
-    cxx = sxx - sx * sx / n
-    cyy = syy - sy * sy / n
-    cxy = sxy - sx * sy / n
+    keys = [F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(order_cols)]
+    names = [f"k{i}" for i in range(len(keys))]
+    tied = df.select(*keys, y.alias("y")).groupBy(*names).agg(
+        F.count("y").alias("rows"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("y")).alias("m2"))
+    ranged = written_table(tied.repartitionByRange(_default_partitions(spark), *names)
+                           .withColumn("pid", F.spark_partition_id()))
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)    # one row per partition: bounded
+    whole = Window.partitionBy()
+    offsets = ranged.groupBy("pid").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("mean")).alias("sy")) \
+        .select("pid", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(whole).alias("n"),
+                (F.sum("sy").over(whole) / F.sum("rows").over(whole)).alias("ybar"))
+    inside = Window.partitionBy("pid").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("rows").over(inside)).join(F.broadcast(offsets), "pid")
+    dx = F.col("offset") + F.col("upto") - (F.col("rows") + 1) / 2.0 - (F.col("n") - 1) / 2.0
+    dy, w = F.col("mean") - F.col("ybar"), F.col("rows")
+    sums = placed.agg(F.max("n").cast("double").alias("n"), F.max("ybar").alias("ybar"), F.sum(w * dx * dx).alias("cxx"),
+                      F.sum(w * dx * dy).alias("cxy"), F.sum(F.col("m2") + w * dy * dy).alias("cyy0"),
+                      F.sum(w * dy).alias("left"))
+    n, cxx, cxy = F.col("n"), F.col("cxx"), F.col("cxy")
+    cyy = F.col("cyy0") - F.col("left") * F.col("left") / n
     slope = F.try_divide(cxy, cxx)
-    r = F.try_divide(cxy, F.sqrt(cxx * cyy))
-    return (sums
-            .withColumn("slope", slope)
-            .withColumn("intercept", (sy - slope * sx) / n)
+    r = F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy))
+    return (sums.where(n > 0).withColumn("cyy", cyy).withColumn("slope", slope)
+            .withColumn("intercept", F.col("ybar") + F.col("left") / n - slope * (n - 1) / 2.0)
             .withColumn("r", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
             .withColumn("r2", F.col("r") * F.col("r"))
-            .withColumn("stderr", F.sqrt(F.try_divide((1 - F.col("r2")) * cyy, (n - 2) * cxx)))
-            .withColumn("t", F.col("r") * F.sqrt(F.try_divide(n - 2, 1 - F.col("r2")))))
-
-
-def col_name_map(spark, cols: list[str]) -> DataFrame:
-    """(col_idx, column) for a column list."""
-    return spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "col_idx int, column string")
-
-
-def lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+            .withColumn("rss", F.greatest(F.col("cyy") - slope * cxy, F.lit(0.0)))
+            .withColumn("stderr", F.sqrt(F.try_divide(F.col("rss"), (n - 2) * cxx)))
+            .withColumn("t", F.try_divide(F.col("slope"), F.col("stderr")))
+            .select("n", "slope", "intercept", "r", "r2", "stderr", "t"))

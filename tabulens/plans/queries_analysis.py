@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabulens.operators import correlation as C
 from tabulens.operators import outliers as OU
 from tabulens.plans import fixtures as FX
@@ -73,6 +75,68 @@ def q_trend(spark, d):
                     round_to("r", 6).alias("r"), F.col("direction"))
 
 
+#: Times cut to days, and every third event on one moment: large ties at a shared mean position.
+_TIED = "CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE date_trunc('day', ts) END"
+
+
+def _trend_sql(y, ts, extra="", y_digits=4):
+    """Position as the mean rank of the ties, moments around the means."""
+    return f"""
+WITH e AS (SELECT {y} AS y, {ts} AS k FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+o AS (SELECT y, rank() OVER (ORDER BY k) - 1 + (count(*) OVER (PARTITION BY k) - 1) / 2.0e0 AS x FROM e),
+c AS (SELECT x - avg(x) OVER () AS dx, y - avg(y) OVER () AS dy, avg(y) OVER () AS ybar, avg(x) OVER () AS xbar FROM o),
+s AS (SELECT count(*) AS n, sum(dx * dx) AS cxx, sum(dx * dy) AS cxy, sum(dy * dy) - sum(dy) * sum(dy) / count(*) AS cyy,
+    any_value(ybar) AS ybar, any_value(xbar) AS xbar FROM c),
+f AS (SELECT *, cxy / cxx AS slope, sqrt((cyy - cxy * cxy / cxx) / ((n - 2) * cxx)) AS stderr FROM s)
+SELECT n, {O.r('slope * 1e6', 6)} AS slope_millionths, {O.r('ybar - slope * xbar', y_digits)} AS intercept,
+  {O.r('cxy / sqrt(cxx) / sqrt(cyy)', 6)} AS r, {O.r('cxy * cxy / cxx / cyy', 6)} AS r2,
+  {O.r('stderr * 1e6', 6)} AS stderr_millionths, {O.r('slope / stderr', 5)} AS t{extra} FROM f"""
+
+
+def _trend_row(t, y_digits=4):
+    from tabulens.functions.stats import round_to
+    return t.select("n", round_to(F.col("slope") * 1e6, 6).alias("slope_millionths"),
+                    round_to("intercept", y_digits).alias("intercept"), round_to("r", 6).alias("r"),
+                    round_to("r2", 6).alias("r2"), round_to(F.col("stderr") * 1e6, 6).alias("stderr_millionths"),
+                    round_to("t", 5).alias("t"))
+
+
+@register("trend_ties", _trend_sql("value", _TIED))
+def q_trend_ties(spark, d):
+    e = FX.events(spark, d).where("ts IS NOT NULL").withColumn("k", F.expr(_TIED).cast("timestamp"))
+    return _trend_row(C.trend(e, "k", "value"))
+
+
+@register("trend_offset", _trend_sql("1e9 + value * 1e-3 + event_id * 1e-6", "struct_pack(a := ts, b := event_id)", y_digits=3))
+def q_trend_offset(spark, d):
+    """Values near 1e9 whose slope is millionths."""
+    e = FX.events(spark, d).withColumn("y", F.lit(1e9) + F.col("value") * F.lit(1e-3) + F.col("event_id") * F.lit(1e-6))
+    return _trend_row(C.trend(e, "ts", "y", ["event_id"]), y_digits=3)
+
+
+#: Student's t: the density in the angle u = atan(x / sqrt(dof)), integrated over 20,000 steps by Simpson's rule.
+_P_SQL = f"""
+WITH o AS (SELECT value AS y, row_number() OVER (ORDER BY ts, event_id) - 1.0e0 AS x FROM events
+           WHERE ts IS NOT NULL AND value IS NOT NULL),
+f AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, corr(y, x) AS r FROM o),
+t AS (SELECT n, slope, r, n - 2.0e0 AS dof, abs(r) * sqrt((n - 2.0e0) / (1 - r * r)) AS t FROM f),
+a AS (SELECT *, atan(t / sqrt(dof)) AS lo, least(pi() / 2, atan(t / sqrt(dof)) + 20 / sqrt(dof)) AS hi FROM t),
+p AS (SELECT any_value(n) AS n, any_value(slope) AS slope, any_value(r) AS r, any_value(t) AS t,
+    2 * exp(lgamma((any_value(dof) + 1) / 2) - lgamma(any_value(dof) / 2)) / sqrt(pi())
+      * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * pow(cos(lo + (hi - lo) * i / 20000.0e0), dof - 1)) * any_value(hi - lo) / 60000 AS p FROM a, range(20001) s(i))
+SELECT n, {O.r('slope', 8)} AS slope, {O.r('t', 6)} AS t, {O.r('p', 6)} AS p_value FROM p"""
+
+
+@register("trend_p_value", _P_SQL)
+def q_trend_p_value(spark, d):
+    """Trend and two-sided p-value of the events."""
+    from tabulens.functions.stats import round_to
+    t = C.trend_with_p(FX.events(spark, d), "ts", "value", ["event_id"])
+    return t.select("n", round_to("slope", 8).alias("slope"), round_to(F.abs("t"), 6).alias("t"),
+                    round_to("p_value", 6).alias("p_value"))
+
+
 def _iqr_sql(k, cols, digits=3, denom_rows=True):
     parts = []
     for i, c in enumerate(cols):

@@ -46,15 +46,22 @@ def read_csv(spark: SparkSession, path: str, encodings=("utf-8", "latin1", "cp12
     return infer_types(cleaned) if infer else cleaned
 
 
+#: A value is a time only with its date: a bare time of day would become a time of the day it is read on.
+DATED = r"^[+-]?\d{4}"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast string columns to long, double or timestamp when every non-null value allows it."""
+    """Cast string columns to long, double, boolean or timestamp when every non-null value allows it.
+
+    Times of day without a date stay text.
+    """
     checks = []
     for i, c in enumerate(df.columns):
         x = F.trim(F.col(f"`{c}`"))
         checks += [F.count(x).alias(f"n{i}"),
                    F.count(x.try_cast("long")).alias(f"l{i}"),
                    F.count(x.try_cast("double")).alias(f"d{i}"),
-                   F.count(F.try_to_timestamp(x)).alias(f"t{i}"),
+                   F.count(F.when(x.rlike(DATED), F.try_to_timestamp(x))).alias(f"t{i}"),
                    F.count(F.when(F.lower(x).isin("true", "false"), 1)).alias(f"b{i}")]
     row = df.agg(*checks).first()
     out = []
