@@ -160,3 +160,27 @@ def op11_token_alignment(spark, sf_dir):
     """Groups and links of two tokenizers over every document, with corpus-wide counts of the linked pairs."""
     from tabulens.llm.token_alignment import align_documents
     return align_documents(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: every 200-byte string of the texts (as hex digits), the bytes that repeated ones cover, and the rest.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS s FROM (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
+steps AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM rep),
+marked AS (SELECT r, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM steps),
+runs AS (SELECT r, run, min(i) AS lo, max(i) + 200 AS hi FROM marked GROUP BY r, run),
+kept AS (SELECT r, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo) AS gone, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN spans IS NULL THEN sha256(unhex(h)) ELSE sha256(unhex(array_to_string(list_transform(range(len(los) + 1),
+    lambda j: substr(h, CAST(2 * (CASE WHEN j = 0 THEN 0 ELSE his[j] END) + 1 AS BIGINT),
+      CAST(2 * ((CASE WHEN j = len(los) THEN len(h) // 2 ELSE los[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE his[j] END)) AS BIGINT))), ''))) END AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
+@query("op12_suffix_dedup", REPEATS_SQL)
+def op12_suffix_dedup(spark, sf_dir):
+    """Bytes of every document outside 200-byte strings that also start elsewhere."""
+    from tabulens.llm.repeats import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
