@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.session import checkpoint_dir
+
 
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use yet (names compare without case, as Spark does)."""
@@ -36,3 +39,11 @@ def text_bytes(text: Column) -> Column:
 def parts_for(total: int, per_part: int, least: int = 1) -> int:
     """Number of parts that holds ``total`` at ``per_part`` each."""
     return max(least, math.ceil(total / per_part))
+
+
+def packed_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder with the denser codec and read again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

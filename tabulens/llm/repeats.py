@@ -8,7 +8,7 @@ the anchors (about 1 in 33 bytes) stand for all windows.  All windows of an anch
 ``length - SPAN + 1`` further on, its core: an anchor whose core occurs once has no repeated window.
 
 *Suffix order*: the phrases from anchor to anchor are the symbols of a string per stretch of anchors with repeated
-cores.  Its suffixes are ordered by the difference-cover algorithm (``suffix_ranks``): triples at places 1 and 2 modulo
+cores; equal stretches are taken once.  Their suffixes are ordered by the difference-cover algorithm (``suffix_ranks``): triples at places 1 and 2 modulo
 3 are sorted and named, the string of names is ordered recursively until names tell all apart or span a window, and
 the remaining suffixes are merged in by their first symbols and the rank that follows.  Neighbours in that order with
 equal phrases over the part of the core that anchors alike in both (``SECURE`` bytes) form a group.
@@ -31,8 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import col, parts_for
-from tabulens.session import written_table
+from tabulens.llm.common import col, packed_table, parts_for
 
 GRAM, SPAN = 8, 64
 HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -127,36 +126,72 @@ def secure(length: int) -> int:
     return length - GRAM - 2 * SPAN + 2
 
 
-def contexts(chosen: DataFrame, length: int) -> DataFrame:
-    """One row per anchor with a repeated core, or in the secure part after one: its phrase (the bytes up to the next
-    anchor) named and, for the repeated ones, ``head`` (the phrases of the secure part) and the bytes of all windows."""
+def contexts(chosen: DataFrame, length: int, remembered: int = 1 << 17) -> DataFrame:
+    """One row per anchor with a repeated core: its context (the bytes of all its windows) and its place in a stretch.
+
+    A stretch is a run of anchors that have repeated cores or lie in the secure part after one; its symbols are the
+    phrases from anchor to anchor.  Contexts and stretches go by digests; a task spells each out the first time it
+    meets it (of the last ``remembered`` ones) and leaves it null after that.
+    """
     reach = secure(length)
 
+    def digest(data: bytes) -> bytes:
+        return hashlib.blake2b(data, digest_size=16).digest()
+
     def run(frames):
-        for frame in frames:
+        spelled: set = set()
+        for frame in (part for whole in frames for part in batches(whole)):
             out = []
             for row in frame.itertuples(index=False):
                 text, place = bytes(row.text), row.place
                 ends = np.append(place[1:], len(text))
-                upto = np.searchsorted(place, place[row.repeated] + reach)
-                kept = np.zeros(len(place) + 1, dtype=np.int64)
-                np.add.at(kept, row.repeated, 1)
-                np.add.at(kept, upto, -1)
-                kept = np.flatnonzero(np.cumsum(kept[:-1]) > 0)
-                named = {int(i): hashlib.blake2b(text[place[i]:ends[i]], digest_size=8).digest() for i in kept}
-                whole = dict(zip(row.repeated.tolist(), upto.tolist()))
-                for i, name in named.items():
-                    symbol = (int.from_bytes(name, "little") >> 1) | 1
-                    if i in whole:
+                edge = np.zeros(len(place) + 1, dtype=np.int64)
+                edge[row.repeated] += 1
+                np.add.at(edge, np.searchsorted(place, place[row.repeated] + reach), -1)
+                kept = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                repeated = set(row.repeated.tolist())
+                for stretch in np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1):
+                    names = [hashlib.blake2b(text[place[i]:ends[i]], digest_size=8).digest() for i in stretch]
+                    sid = digest(b"".join(names))
+                    syms = sizes = None
+                    if sid not in spelled:
+                        spelled.add(sid)
+                        syms = [(int.from_bytes(n, "little") >> 1) | 1 for n in names]
+                        sizes = (ends[stretch] - place[stretch]).tolist()
+                    for j, i in enumerate(stretch.tolist()):
+                        if i not in repeated:
+                            continue
                         lo, hi, m = int(row.first[i]), int(row.last[i]), int(place[i])
-                        head = b"".join(named[j] for j in range(i, whole[i]))
-                        out.append((row.rid, i, symbol, int(ends[i]) - m, m, m - lo, m - hi, head, text[lo:hi + length]))
-                    else:
-                        out.append((row.rid, i, symbol, int(ends[i] - place[i]), 0, 0, 0, None, None))
-            yield pd.DataFrame(out, columns=["seg", "pos", "sym", "size", "m", "far", "near", "head", "bytes"])
+                        around = text[lo:hi + length]
+                        h = digest(b"%d,%d," % (m - lo, m - hi) + around)
+                        known = h in spelled
+                        spelled.add(h)
+                        out.append((row.rid, m, h, m - lo, m - hi, None if known else around, sid, j, syms, sizes))
+                        syms = sizes = None
+                if len(spelled) > remembered:
+                    spelled = set()
+            yield pd.DataFrame(out, columns=["rid", "m", "h", "far", "near", "bytes", "sid", "j", "syms", "sizes"])
+
+    return chosen.mapInPandas(run, "rid long, m int, h binary, far int, near int, bytes binary, sid binary, j int, "
+                                   "syms array<long>, sizes array<int>")
+
+
+def stretch_symbols(stretches: DataFrame, reach: int) -> DataFrame:
+    """(seg, pos, sym, size, sid, head): the distinct stretches symbol by symbol, ``head`` the symbols of the secure part
+    (null where less than that is left)."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for seg, sid, syms, sizes in zip(frame["seg"], frame["sid"], frame["syms"], frame["sizes"]):
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                need = np.searchsorted(upto, upto[:-1] + reach)
+                raw = np.asarray(syms, dtype="<i8")
+                out += [(seg, pos, int(syms[pos]), int(sizes[pos]), sid, raw[pos:n].tobytes() if n < len(upto) else None)
+                        for pos, n in enumerate(need)]
+            yield pd.DataFrame(out, columns=["seg", "pos", "sym", "size", "sid", "head"])
 
-    return chosen.mapInPandas(run, "seg long, pos int, sym long, size int, m int, far int, near int, head binary, "
-                                   "bytes binary")
+    return stretches.mapInPandas(run, "seg long, pos int, sym long, size int, sid binary, head binary")
 
 
 def in_order(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
@@ -202,7 +237,7 @@ def smaller_counts(df: DataFrame, keys: list[str], classes: list[str]) -> DataFr
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", " + ", ".join(
         f"{c} long" for c in less) + ", leading boolean, pid int"
     ordered = in_order(df, keys, ["seg", "pos"]).mapInPandas(run, schema)
-    rows = written_table(ordered)
+    rows = packed_table(ordered)
     offsets, total, tail, high = [], [0] * len(less), [0] * len(less), None
     for r in boundaries(rows, keys, [F.sum(c).alias(f"n_{c}") for c in classes] + [F.max(c).alias(c) for c in less]):
         shared = tail if r["low"] == high else [0] * len(less)          # rows equal to its first key, further left
@@ -232,9 +267,9 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
     whole = strings.select("seg", "pos", F.col("sym").alias("s0"), next_ones("sym", 1).cast("long").alias("s1"),
                            next_ones("sym", 2).cast("long").alias("s2"),
                            (F.col("size") + next_ones("size", 1) + next_ones("size", 2)).cast("long").alias("size"))
-    whole = written_table(whole.withColumn("one", F.lit(1)))
+    whole = packed_table(whole.withColumn("one", F.lit(1)))
     triples = whole.where("pos % 3 <> 0")
-    named = written_table(smaller_counts(triples, ["s0", "s1", "s2"], ["one"]).withColumn("name", F.col("less_one") + 1))
+    named = smaller_counts(triples, ["s0", "s1", "s2"], ["one"]).withColumn("name", F.col("less_one") + 1)
     row = named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"),
                     F.min(F.when(F.col("s2") > 0, F.col("size"))).alias("least")).first()
     if row["n"] == row["names"] or row["least"] is None or row["least"] >= reach:
@@ -246,7 +281,7 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
             F.expr("seg div 2").alias("seg"), (F.col("pos") * 3 + F.col("seg") % 2 + 1).cast("int").alias("pos"),
             (F.col("rank") + 1).alias("r"))
     known = whole.join(ranks, ["seg", "pos"], "left")
-    known = written_table(known.select("seg", "pos", "s0", "s1", "r", next_ones("r", 1).cast("long").alias("r1"),
+    known = packed_table(known.select("seg", "pos", "s0", "s1", "r", next_ones("r", 1).cast("long").alias("r1"),
                                        next_ones("r", 2).cast("long").alias("r2"),
                                        *[(F.col("pos") % 3 == c).cast("int").alias(f"c{c}") for c in range(3)]))
     first = smaller_counts(known.where("c2 = 0").select("seg", "pos", "s0", "r1", "r", "c0", "c1"), ["s0", "r1"], ["c0", "c1"])
@@ -278,7 +313,7 @@ def adjacent_groups(ordered: DataFrame) -> DataFrame:
 
     kept = ordered.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", grp long, pid int"
-    rows = written_table(in_order(ordered, ["rank"], ["seg", "pos"]).mapInPandas(run, schema))
+    rows = packed_table(in_order(ordered, ["rank"], ["seg", "pos"]).mapInPandas(run, schema))
     offsets, base, high = [], 0, None
     for r in boundaries(rows, ["rank", "head"], [F.max("grp").alias("most")]):
         base += high is not None and bytes(r["low"]["head"]) != high
@@ -319,29 +354,28 @@ def repeated_windows(frame: pd.DataFrame, length: int) -> list[list[int]]:
     return found
 
 
-def repeated_offsets(occurrences: DataFrame, length: int, contexts_a_task: int, most_contexts: int) -> DataFrame:
-    """(grp, h, ks): for each distinct context with repeated windows their offsets before the anchor."""
-    distinct = written_table(occurrences.groupBy("grp", "h").agg(
-        F.count(F.lit(1)).alias("n"), F.first("far").alias("far"), F.first("near").alias("near"), F.first("bytes").alias("bytes")))
+def repeated_offsets(distinct: DataFrame, length: int, contexts_a_task: int, most_contexts: int) -> DataFrame:
+    """(h, ks): for each distinct context (grp, h, n, far, near, bytes) with repeated windows their offsets before the
+    anchor."""
     counts = distinct.groupBy("grp").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("rows")).where("rows > 1")
-    sized = written_table(distinct.join(counts, "grp").drop("rows"))
+    sized = packed_table(distinct.join(counts, "grp").drop("rows"))
     buckets = parts_for(sized.count(), contexts_a_task)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.reset_index(drop=True)
         found = repeated_windows(frame, length)
-        out = frame[["grp", "h"]].copy()
+        out = frame[["h"]].copy()
         out["ks"] = found
         return out[out["ks"].map(len) > 0]
 
     small = sized.where(F.col("contexts") <= most_contexts).groupBy(F.pmod(F.hash("grp"), F.lit(buckets))).applyInPandas(
-        run, "grp long, h binary, ks array<int>")
+        run, "h binary, ks array<int>")
     windows = sized.where(F.col("contexts") > most_contexts).select(
         "grp", "h", "n", F.explode(F.sequence("near", "far")).alias("k"), "far", "bytes").select(
         "grp", "h", "n", "k", F.unhex(F.md5(F.expr(f"substring(bytes, far - k + 1, {length})"))).alias("w"))
     often = windows.groupBy("grp", "k", "w").agg(F.sum("n").alias("n")).where("n > 1").select("grp", "k", "w")
-    large = windows.join(often, ["grp", "k", "w"]).groupBy("grp", "h").agg(F.collect_list("k").alias("ks"))
-    return written_table(small.union(large))
+    large = windows.join(often, ["grp", "k", "w"]).groupBy("h").agg(F.collect_list("k").alias("ks"))
+    return packed_table(small.union(large))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text",
@@ -352,25 +386,31 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5("text")))
     long_rows = rows.where(F.octet_length("text") >= length)
-    copies = written_table(long_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    copies = packed_table(long_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     corpus = long_rows.join(copies, "key", "left_anti").select("key", "text").union(
         long_rows.join(copies, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
 
-    parsed = written_table(parse(corpus, length))
-    hot = written_table(parsed.select(F.explode("core").alias("core")).groupBy("core").agg(
+    parsed = packed_table(parse(corpus, length))
+    hot = packed_table(parsed.select(F.explode("core").alias("core")).groupBy("core").agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     repeated = parsed.select("rid", F.posexplode("core").alias("i", "core")).join(hot, "core", "left_semi").groupBy(
         "rid").agg(F.sort_array(F.collect_list("i")).alias("repeated"))
-    chosen = written_table(parsed.drop("core").join(repeated, "rid"))
-    anchored = written_table(contexts(corpus.join(chosen, "key"), length))
-
-    ranks = suffix_ranks(anchored.select("seg", "pos", "sym", "size"), secure(length))
-    occurrences = anchored.where(F.col("head").isNotNull()).join(ranks, ["seg", "pos"]).select(
-        "rank", "head", "seg", "pos", "m", "far", "near", "bytes")
-    occurrences = written_table(adjacent_groups(occurrences).withColumn(
-        "h", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(",", "far", "near"), "UTF-8"), F.col("bytes"))))))
-    found = repeated_offsets(occurrences, length, contexts_a_task, most_contexts)
-    hits = written_table(occurrences.select("grp", "h", "seg", "m").join(found, ["grp", "h"]).groupBy(F.col("seg").alias("rid")).agg(
+    chosen = packed_table(parsed.drop("core").join(repeated, "rid"))
+    anchored = packed_table(contexts(corpus.join(chosen, "key"), length))
+
+    stretches = packed_table(anchored.where(F.col("syms").isNotNull()).groupBy("sid").agg(
+        F.first("syms").alias("syms"), F.first("sizes").alias("sizes")).withColumn("seg", F.monotonically_increasing_id()))
+    symbols = packed_table(stretch_symbols(stretches, secure(length)))
+    ranks = suffix_ranks(symbols.select("seg", "pos", "sym", "size"), secure(length))
+    groups = adjacent_groups(symbols.where(F.col("head").isNotNull()).join(ranks, ["seg", "pos"]).select(
+        "rank", "seg", "pos", "sid", "head")).select("sid", F.col("pos").alias("j"), "grp")
+    distinct = anchored.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.first("far").alias("far"), F.first("near").alias("near"),
+        F.first("bytes", ignorenulls=True).alias("bytes"), F.min(F.struct("sid", "j")).alias("at"))
+    distinct = packed_table(distinct.select("h", "n", "far", "near", "bytes", "at.sid", "at.j").join(
+        groups, ["sid", "j"]).select("grp", "h", "n", "far", "near", "bytes"))
+    found = repeated_offsets(distinct, length, contexts_a_task, most_contexts)
+    hits = packed_table(anchored.select("h", "rid", "m").join(found, "h").groupBy("rid").agg(
         F.collect_list(F.struct("m", "ks")).alias("hits")).join(parsed.select("rid", "key"), "rid").select("key", "hits"))
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary")
