@@ -403,10 +403,12 @@ def order_regression(df: DataFrame, order_cols: list[str], value_col: str) -> Da
     result depends on neither the partitioning nor the order of ties.  They are first reduced to (rows, mean, M2) with
     map-side combine: a key on a third of the rows is one row per task.  Distinct keys are range-partitioned and
     written; counts of the partitions before and a running sum inside give their positions.  All sums are taken around
-    the means (the remaining rounding of the mean of y is corrected), so large offsets do not cancel.
+    the means (y is centred by a first pass, what rounding leaves is corrected), so large offsets do not cancel.
     """
     spark = df.sparkSession
     y = F.col(value_col).cast("double")
+    centre = df.agg(F.avg(y)).first()[0] or 0.0          # sums per key are taken around it
+    y = y - F.lit(centre)
     keys = [F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(order_cols)]
     names = [f"k{i}" for i in range(len(keys))]
     tied = df.select(*keys, y.alias("y")).groupBy(*names).agg(
@@ -430,7 +432,7 @@ def order_regression(df: DataFrame, order_cols: list[str], value_col: str) -> Da
     slope = F.try_divide(cxy, cxx)
     r = F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy))
     return (sums.where(n > 0).withColumn("cyy", cyy).withColumn("slope", slope)
-            .withColumn("intercept", F.col("ybar") + F.col("left") / n - slope * (n - 1) / 2.0)
+            .withColumn("intercept", F.lit(centre) + (F.col("ybar") + F.col("left") / n - slope * (n - 1) / 2.0))
             .withColumn("r", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
             .withColumn("r2", F.col("r") * F.col("r"))
             .withColumn("rss", F.greatest(F.col("cyy") - slope * cxy, F.lit(0.0)))

@@ -142,3 +142,46 @@ def test_density_of_a_column_with_a_far_outlier(spark):
     for r in rows:
         want = np.exp(-0.5 * ((r.x - x) / 40.0) ** 2).sum() / (len(x) * 40.0 * np.sqrt(2 * np.pi))
         assert abs(r.density - want) < 1e-9 * want + 1e-15
+
+
+def test_trend_does_not_depend_on_partitions_ties_or_offsets(spark):
+    from tabulens.operators.correlation import trend
+    rng = np.random.default_rng(12)
+    t = np.where(rng.random(3000) < 0.35, 500, rng.integers(0, 1000, 3000))        # a third of the rows at one time
+    y = 1e9 + 1e-6 * t + 2e-5 * np.sin(np.arange(3000))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(t, y)], "t long, `v.y` double")
+    rows = [trend(df.repartition(n), "t", "v.y").first() for n in (1, 5, 9)]
+    order = np.sort(t)
+    x = (np.searchsorted(order, t, "left") + np.searchsorted(order, t, "right") - 1) / 2
+    dx, dy = x - x.mean(), (y - 1e9) - (y - 1e9).mean()
+    slope = (dx * dy).sum() / (dx * dx).sum()
+    r2 = slope * (dx * dy).sum() / (dy * dy).sum()
+    for r in rows:
+        assert r["n"] == 3000 and abs(r["slope"] / slope - 1) < 1e-4 and abs(r["r2"] - r2) < 1e-4
+        assert r["stderr"] > 0 and abs(r["t"] - r["slope"] / r["stderr"]) < 1e-6
+    assert trend(df.limit(5), "t", "v.y").count() == 0
+
+
+def test_times_of_day_stay_text(spark, tmp_path):
+    from tabulens.sources.csv import read_csv
+    path = tmp_path / "times.csv"
+    path.write_text("at,on,both\n12:30,2024-02-03,2024-02-03 12:30:00\n07:05,2024-02-04,2024-02-04T07:05:00\n")
+    df = read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"at": "string", "on": "timestamp", "both": "timestamp"}
+    assert {r["at"] for r in df.collect()} == {"12:30", "07:05"}
+
+
+def test_all_learners_stand_on_both_boards_and_the_best_is_saved(spark, tmp_path):
+    from tabulens.ml import compare as CMP
+    rng = np.random.default_rng(13)
+    rows = [(i, float(a), float(b), "x" if a + b + e > 1 else "y", float(3 * a - b + e / 9))
+            for i, (a, b, e) in enumerate(zip(rng.random(160), rng.random(160), rng.normal(0, 0.2, 160)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, kind string, amount double").coalesce(2)
+    board = CMP.train(df.drop("amount"), "kind", fold=2, key="id", model_dir=str(tmp_path))
+    assert {r.model for r in board["leaderboard"].collect()} == {"lr", "dt", "rf", "ridge", "nb", "ada", "gbc", "lda"}
+    loaded = CMP.load_model(str(tmp_path), board["model_id"])
+    assert loaded.transform(df.drop("amount")).count() == 160
+    board = CMP.train(df.drop("kind"), "amount", fold=2, key="id")
+    found = {r.model: r for r in board["leaderboard"].collect()}
+    assert set(found) == {"lr", "dt", "rf", "ridge", "lasso", "ada", "en", "gbr", "br"}
+    assert found["lr"].model_name == "Linear Regression" and found["lr"].r2 > 0.9
