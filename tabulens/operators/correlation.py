@@ -11,54 +11,88 @@ from tabulens import types as TY
 from tabulens.functions.stats import round_to
 from tabulens.operators import kernels as K
 
-# Aggregation-buffer fields per pair: covar_samp 4 (n, x avg, y avg, co-moment),
-# two var_samp 3 each, count 1.
-PAIR_FIELDS = 11
 # regr_count 1, regr_slope 7, regr_intercept 7, regr_r2 6.
 REGR_FIELDS = 21
 
 
-def _pairs(cols, diagonal=False):
-    n = len(cols)
-    return [(i, j) for i in range(n) for j in range(i if diagonal else i + 1, n)]
+BLOCK = 256                      # columns of a block of the product matrices
+SAME = 1e-13                     # a spread below this share of the squares is rounding: the column is constant there
 
 
-def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None) -> DataFrame:
+def column_centres(df: DataFrame, cols: list[str]) -> list[dict]:
+    """Mean, smallest and largest value per column, in one pass."""
+    x = [TY.num(df, c) for c in cols]
+    row = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("a", F.avg), ("l", F.min), ("h", F.max))]).first()
+    return [{"mean": row[f"a{i}"], "low": row[f"l{i}"], "high": row[f"h{i}"]} for i in range(len(cols))]
+
+
+def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None,
+                      centres: list[dict] | None = None) -> DataFrame:
     """Unordered pairs i < j: (i, j, feature1, feature2, n, r) with r unrounded.
 
-    r = covar_samp(x, y) / (std(x|y present) * std(y|x present)): the
-    pairwise-complete Pearson coefficient from Spark's stable co-moment
-    aggregates.  ``try_divide`` gives NULL for a constant column (``corr``
-    would raise under ANSI).  Pairs are evaluated in chunks under the codegen
-    field budget; every chunk is one pass with partial aggregation that reads
-    only the columns of its pairs.
+    The pairwise-complete Pearson coefficient from masked Gram matrices: a first pass gives the columns' means, a
+    second one adds up, per task, the products of the centred values over the rows where both are present, as arrays
+    over blocks of columns; tasks are merged by block pair.  Two scans and a plan of a few nodes, however many columns.
+    r is NULL where a column is constant over the pair's rows or has an infinite value there.
     """
+    import numpy as np
+    import pandas as pd
     cols = TY.numeric_columns(df) if cols is None else cols
     if max_cols is not None:
         cols = cols[:max_cols]
-    spark = df.sparkSession
     schema = "i int, j int, feature1 string, feature2 string, n long, r double"
-    pairs = _pairs(cols)
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    x = {c: TY.num(df, c) for c in cols}
-
-    def build(_, pair):
-        i, j = pair
-        a, c = x[cols[i]], x[cols[j]]
-        both = a.isNotNull() & c.isNotNull()
-        aggs = [F.covar_samp(a, c).alias(f"cv_{i}_{j}"),
-                F.var_samp(F.when(both, a)).alias(f"va_{i}_{j}"),
-                F.var_samp(F.when(both, c)).alias(f"vb_{i}_{j}"),
-                F.count(F.when(both, F.lit(1))).alias(f"n_{i}_{j}")]
-        st = F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature1"),
-            F.lit(cols[j]).alias("feature2"), F.col(f"n_{i}_{j}").alias("n"),
-            F.try_divide(F.col(f"cv_{i}_{j}"),
-                         F.sqrt(F.col(f"va_{i}_{j}")) * F.sqrt(F.col(f"vb_{i}_{j}"))).alias("r"))
-        return aggs, st
-
-    return K.chunked_wide_agg(df, pairs, build, PAIR_FIELDS)
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    centres = column_centres(df, cols) if centres is None else centres
+    # a constant column is centred on its value exactly, so that nothing is left of it
+    centre = np.array([c["low"] if c["low"] == c["high"] else c["mean"] for c in centres], dtype=float)
+    centre = np.where(np.isfinite(centre), centre, 0.0)
+    starts = range(0, len(cols), BLOCK)
+
+    def products(frames):
+        from pyspark import TaskContext
+        sums: dict = {}
+        for frame in frames:
+            x = frame.to_numpy(dtype=float)
+            present, endless = ~np.isnan(x), np.isinf(x)
+            v = np.where(present & ~endless, x - centre, 0.0)
+            present, endless = present.astype(float), endless.astype(float)
+            for a in starts:
+                for b in starts:
+                    one, two = slice(a, a + BLOCK), slice(b, b + BLOCK)
+                    grid = np.stack([present[:, one].T @ present[:, two], v[:, one].T @ present[:, two],
+                                     (v * v)[:, one].T @ present[:, two], v[:, one].T @ v[:, two],
+                                     endless[:, one].T @ present[:, two]])
+                    sums[(a, b)] = sums[(a, b)] + grid if (a, b) in sums else grid
+        part = TaskContext.get().partitionId()
+        rows = [(min(a, b), max(a, b), a > b, part, g.tobytes()) for (a, b), g in sums.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "turned", "part", "grid"])
+
+    def coefficients(key, frame):
+        a, b = key
+        many, wide = min(BLOCK, len(cols) - a), min(BLOCK, len(cols) - b)
+
+        def total(rows, shape):
+            return sum(np.frombuffer(g) for g in rows.sort_values("part")["grid"]).reshape(5, *shape)
+
+        n, sx, sxx, sxy, bad = total(frame[~frame["turned"]], (many, wide))
+        _, sy, syy, _, worse = (n, sx, sxx, sxy, bad) if a == b else total(frame[frame["turned"]], (wide, many))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy = sxx - sx * sx / n, syy.T - sy.T * sy.T / n
+            vx, vy = np.where(vx <= SAME * sxx, 0.0, vx), np.where(vy <= SAME * syy.T, 0.0, vy)
+            r = (sxy - sx * sy.T / n) / (np.sqrt(vx) * np.sqrt(vy))
+        known = (n > 1) & (vx > 0) & (vy > 0)
+        endless = (bad + worse.T) > 0
+        rows = [(a + i, b + j, cols[a + i], cols[b + j], int(n[i, j]),
+                 float(np.clip(r[i, j], -1, 1)) if known[i, j] and not endless[i, j] else None)
+                for i in range(many) for j in range(wide) if a + i < b + j]
+        out = pd.DataFrame(rows, columns=["i", "j", "feature1", "feature2", "n", "r"])
+        out["r"] = out["r"].astype(object)
+        return out
+
+    values = df.select(*[TY.num(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    return values.mapInPandas(products, "a int, b int, turned boolean, part int, grid binary").groupBy(
+        "a", "b").applyInPandas(coefficients, schema)
 
 
 def correlation_matrix(df: DataFrame, max_cols: int | None = None, digits: int = 2) -> DataFrame:
@@ -73,22 +107,17 @@ def correlation_matrix(df: DataFrame, max_cols: int | None = None, digits: int =
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "i int, j int, x string, y string, r double")
-    pc = pair_correlations(df, cols)
-    upper = pc.select("i", "j", F.col("feature1").alias("x"), F.col("feature2").alias("y"), "r")
-    lower = pc.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("feature2").alias("x"),
-                      F.col("feature1").alias("y"), "r")
-    # the diagonal is 1 exactly when a column has positive spread, i.e. two different values:
-    # a min/max pass (2 buffer fields per column) instead of the full moments
-
-    def spread(i, c):
-        x = TY.num(df, c)
-        return ([F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")],
-                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(c).alias("x"), F.lit(c).alias("y"),
-                         F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), F.lit(1.0)).alias("r")))
-
-    diag = K.chunked_wide_agg(df, cols, spread, 2)
-    return (upper.unionByName(lower).unionByName(diag)
-            .select("i", "j", "x", "y", round_to("r", digits).alias("r")))
+    centres = column_centres(df, cols)
+    pairs = pair_correlations(df, cols, centres=centres)
+    # both triangles from one evaluation of the pairs
+    both = pairs.select(F.inline(F.array(
+        F.struct(F.col("i"), F.col("j"), F.col("feature1").alias("x"), F.col("feature2").alias("y"), F.col("r")),
+        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("feature2").alias("x"), F.col("feature1").alias("y"),
+                 F.col("r")))))
+    spread = [c["low"] is not None and c["high"] > c["low"] for c in centres]
+    diagonal = spark.createDataFrame([(i, i, c, c, 1.0 if wide else None) for i, (c, wide) in enumerate(zip(cols, spread))],
+                                     "i int, j int, x string, y string, r double")
+    return both.unionByName(diagonal).select("i", "j", "x", "y", round_to("r", digits).alias("r"))
 
 
 def top_correlations(df: DataFrame, k: int = 10, digits: int = 3) -> DataFrame:

@@ -45,6 +45,30 @@ def q_correlated_pairs(spark, d):
     return C.correlated_pairs(FX.lineitem_corr(spark, d), 0.7)
 
 
+WIDE = 100
+WIDE_BASE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _wide_columns():
+    """SQL of a hundred columns of lineitem: mixtures of four, each missing in another seventh of the rows."""
+    return [f"CASE WHEN (l_orderkey + l_linenumber + {k}) % 7 <> 0 THEN CAST({WIDE_BASE[k % 4]} AS DOUBLE) * {1 + k // 8} "
+            f"+ CAST({WIDE_BASE[(k // 4) % 4]} AS DOUBLE) * CAST({k} AS DOUBLE) END" for k in range(WIDE)]
+
+
+_WIDE_PAIRS = [(i, j) for i in range(WIDE) for j in range(i + 1, WIDE)]
+
+
+@register("correlation_wide", f"""
+WITH w AS (SELECT {', '.join(f'{e} AS c{k}' for k, e in enumerate(_wide_columns()))} FROM lineitem),
+p AS (SELECT unnest([{', '.join(f"{{'i': {i}, 'j': {j}, 'n': regr_count(c{i}, c{j}), 'r': corr(c{i}, c{j})}}" for i, j in _WIDE_PAIRS)}]) AS s FROM w)
+SELECT CAST(s.i AS INT) AS i, CAST(s.j AS INT) AS j, s.n AS n, {O.r('s.r', 4)} AS r FROM p""")
+def q_correlation_wide(spark, d):
+    """All pairs of a hundred columns with missing values, from two scans."""
+    from tabulens.functions.stats import round_to
+    wide = FX.table(spark, d, "lineitem").select(*[F.expr(e).alias(f"c{k}") for k, e in enumerate(_wide_columns())])
+    return C.pair_correlations(wide).select("i", "j", "n", round_to("r", 4).alias("r"))
+
+
 def _scatter_sql():
     parts = []
     for i in range(3):

@@ -185,3 +185,31 @@ def test_all_learners_stand_on_both_boards_and_the_best_is_saved(spark, tmp_path
     found = {r.model: r for r in board["leaderboard"].collect()}
     assert set(found) == {"lr", "dt", "rf", "ridge", "lasso", "ada", "en", "gbr", "br"}
     assert found["lr"].model_name == "Linear Regression" and found["lr"].r2 > 0.9
+
+
+def test_correlations_of_awkward_columns(spark, monkeypatch):
+    import pandas as pd
+    from tabulens.operators import correlation as C
+    monkeypatch.setattr(C, "BLOCK", 2)                           # several blocks of columns
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 5)) + [1e9, 0, 3, 0, 0]
+    x[:, 2] = 0.1                                                # constant
+    x[rng.random((300, 5)) < 0.2] = np.nan
+    x[:, 4] = np.where(np.isnan(x[:, 1]), x[:, 4], 0.3)          # constant wherever column 1 is present
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    names = ["a.b", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(4)
+    got = {(r.i, r.j): r for r in C.pair_correlations(df).collect()}
+    want = pd.DataFrame(x).corr()
+    assert len(got) == 10
+    for (i, j), r in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert r.n == both.sum() and (r.feature1, r.feature2) == (names[i], names[j])
+        constant = len(set(x[both, i])) == 1 or len(set(x[both, j])) == 1
+        assert r.r is None if constant else abs(r.r - want.iloc[i, j]) < 1e-6
+    endless = spark.createDataFrame([(1.0, 2.0, 5.0), (float("inf"), 3.0, None), (2.0, 5.0, 9.0), (4.0, 1.0, 2.0)], "p double, q double, s double")
+    r = {(r.i, r.j): r.r for r in C.pair_correlations(endless).collect()}
+    assert r[(0, 1)] is None and abs(r[(0, 2)] - np.corrcoef([1, 2, 4], [5, 9, 2])[0, 1]) < 1e-9
+    assert C.pair_correlations(endless.select("p")).collect() == []
+    assert {r.r for r in C.pair_correlations(endless.limit(0)).collect()} <= {None}
+    assert C.correlation_matrix(endless.limit(0)).count() >= 3
