@@ -7,9 +7,13 @@ label themselves) on top of fixed priors.  One linear scan finds the contiguous
 region with the best total; its text, block by block, is the result.  Elements
 that are never main text (menus, forms, adverts, comments, scripts, ...) score
 negative and are left out where they lie inside the region.  Inside a marked
-article, headings and paragraphs are never furniture by their class or id, and
-other elements only if a whole class or id says so; an id that repeats the words
-of the element's own heading is a link target and says nothing.
+article, headings and paragraphs are never furniture by their class or id; other
+elements are scored by the words of each class or id, with fixed priors plus the
+log odds of standing outside the article of labelled pages; an id that repeats
+the words of the element's own heading is a link target and says nothing.
+Tags are read as browsers read them: a quote opens a value only right after an
+equals sign; a quote that nothing closes belongs to the value up to the next
+white space or end of the tag.  Time is linear in the page, however deep.
 
 The labelled sample is the only bounded input (``sample_pages``, spread evenly
 by a hash of the id); extraction reads every page whole.
@@ -51,22 +55,33 @@ subscription signup login register form search comment comments commentlist resp
 skip copyright""".split())
 WEAK_WORDS = frozenset("header topbar meta tags".split())
 CONTENT_WORDS = frozenset("article post entry content story body main text".split())
-KEPT_TAGS = frozenset("html body article main".split())
-# Inside an article a class or id names furniture only as a whole: one of its words, alone or with layout words.
+KEPT_TAGS = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ARTICLE_FURNITURE_WORDS = (FURNITURE_WORDS | WEAK_WORDS) - {"header"}
-LAYOUT_WORDS = frozenset("""area bar block box button buttons container group inner item items link links list outer panel
-posts row slot unit wrap wrapper""".split())
-
+# Words of classes and ids that furniture bears alone, that it shares with ordinary subjects, and that
+# speak of layout only.
+OWN_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense adbox adsbygoogle sponsored sponsors
+gdpr popup modal overlay sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager
+footer masthead toolbar newsletter signup comment comments commentlist disqus topbar""".split())
+SHARED_WORDS = (FURNITURE_WORDS | WEAK_WORDS) - OWN_WORDS - {"header"}
+LAYOUT_WORDS = frozenset("""area articles bar block box button buttons col column container floating group icon icons
+inline inner item items left link links list outer page panel post posts right row section site slot sticky unit user
+users wrap wrapper""".split())
+CLASS_PRIORS = (("own", 2.0), ("shared", 1.0), ("layout", 0.0))
+FOREIGN_WORD = -1.5                              # once for a value with other words
+CLASS_LIMIT = 1.0                                # learned weights move a word by at most this
+
+# The inside of a start tag, state by state: space or slash, or a name with an optional value.
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
 NODE = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<rawattr>" + ATTRIBUTES + r")"
+    r"(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attr>" + ATTRIBUTES + r")(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 FIRST_HEADING = re.compile(r"(?>\s+|<!--.*?-->|<(?!/?h[1-6]\b|!--)[^>]*>)*+<(h[1-6])\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 
 WORD_PRIOR, TAG_PRIOR, FURNITURE_PRIOR, WEIGHT_LIMIT = 0.5, -0.5, -1.0, 2.0
 PRIORS = {"word in article": 0.5, "word outside article": -1.5}
@@ -86,31 +101,49 @@ def _repeats_heading(slug: str, page: str, at: int) -> bool:
     return set(_words(slug)) <= words
 
 
-def _is_furniture(name: str, attr: str, in_article: bool, page: str = "", at: int = 0) -> bool:
+def _attributes(attr: str) -> dict[str, str]:
+    """Names in lower case and decoded values of a start tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attr):
+        value = next((g for g in m.groups()[1:] if g is not None), "")
+        found.setdefault(m[1].lower(), html_lib.unescape(value) if "&" in value else value)
+    return found
+
+
+def class_score(value: str, weights: dict[str, float]) -> float:
+    """How far one class or id speaks for furniture: above 0 it does."""
+    words = {w for w in _words(value) if len(w) > 1}
+    kinds = {"own": words & OWN_WORDS, "shared": words & SHARED_WORDS}
+    if not kinds["own"] and not kinds["shared"]:
+        return min(0.0, sum(weights.get(f"class {w}", 0.0) for w in words))
+    kinds["layout"] = words & LAYOUT_WORDS - kinds["own"] - kinds["shared"]
+    foreign = words - kinds["own"] - kinds["shared"] - kinds["layout"]
+    score = sum(prior * len(kinds[k]) for k, prior in CLASS_PRIORS) + (FOREIGN_WORD if foreign else 0.0)
+    return score + sum(weights.get(f"class {w}", 0.0) for w in words)
+
+
+def _is_furniture(name: str, attr: str, in_article: bool, page: str = "", at: int = 0,
+                  weights: dict[str, float] | None = None) -> bool:
     if name in FURNITURE_TAGS:
         return True
     if name == "header":
         return not in_article
-    if name in KEPT_TAGS or not attr:
+    if name in KEPT_TAGS or not attr or attr.isspace():
         return False
-    found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attr)}
+    found = _attributes(attr)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
     if found.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    if in_article:
+    if in_article or name == "article":          # an article element may be a reader's comment or a teaser
         if name in HEADINGS or name == "p":
             return False
-        values = found.get("class", "").split()
+        if any(class_score(value, weights or {}) > 0 for value in found.get("class", "").split()):
+            return True
         slug = found.get("id", "")
-        for value in [*values, slug]:
-            words = set(_words(value))
-            if words & ARTICLE_FURNITURE_WORDS and words <= ARTICLE_FURNITURE_WORDS | LAYOUT_WORDS:
-                if value in values or not _repeats_heading(slug, page, at):
-                    return True
-        return False
+        return class_score(slug, weights or {}) > 0 and not _repeats_heading(slug, page, at)
     for value in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = set(_words(value))
         if words & FURNITURE_WORDS or (words & WEAK_WORDS and not words & CONTENT_WORDS):
@@ -118,50 +151,108 @@ def _is_furniture(name: str, attr: str, in_article: bool, page: str = "", at: in
     return False
 
 
-def page_nodes(page: str):
+class OpenElements:
+    """The open elements that matter: blocks and furniture.
+
+    Counters by name answer whether an element is open, and every entry knows its block, so no step walks the stack
+    but to close elements.  ``forget_furniture`` leaves its entries behind; they are void by their ``era``.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, str, int]] = []      # name, furniture, article, block, era
+        self.count: dict[str, int] = {}
+        self.own: dict[str, int] = {}                                # furniture of this era by name
+        self.article = self.furniture = self.era = 0
+
+    def push(self, name: str, own: bool, article: bool):
+        block = name if name in BLOCKS else self.block()
+        self.stack.append((name, own, article, block, self.era))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.article += article
+        if own:
+            self.own[name] = self.own.get(name, 0) + 1
+            self.furniture += 1
+
+    def pop(self) -> str | None:
+        """Name of the element that was closed; None for a void entry."""
+        name, own, article, _, era = self.stack.pop()
+        if own and era != self.era:
+            return None
+        self.count[name] -= 1
+        self.article -= article
+        if own:
+            self.own[name] -= 1
+            self.furniture -= 1
+        return name
+
+    def top(self) -> str | None:
+        while self.stack and self.stack[-1][1] and self.stack[-1][4] != self.era:
+            self.stack.pop()
+        return self.stack[-1][0] if self.stack else None
+
+    def block(self) -> str:
+        return self.stack[-1][3] if self.top() else "body"
+
+    def forget_furniture(self):
+        for name, n in self.own.items():
+            self.count[name] -= n
+        self.own, self.furniture, self.era = {}, 0, self.era + 1
+
+    def close(self, name: str):
+        if self.count.get(name):
+            while self.pop() != name:
+                pass
+
+
+def page_nodes(page: str, weights: dict[str, float] | None = None):
     """Nodes of a page: (kind, name or text, block name, article flag, furniture flag), in page order.
 
     ``kind`` is "open", "close" or "text".  The article flag is True inside ``article`` or ``main``.  A furniture
     element reaches to its end tag; one that is never closed reaches to the next article or main heading.
     """
-    stack: list[tuple[str, bool]] = []           # open elements that matter and whether they are furniture
-    article = furniture = 0
+    opened = OpenElements()
     for m in NODE.finditer(page):
         if m["text"] is not None:
-            block = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
-            yield "text", m["text"], block, article > 0, furniture > 0
+            yield "text", m["text"], opened.block(), opened.article > 0, opened.furniture > 0
             continue
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if not m["close"]:
-            if name in ("article", "main") and not article and furniture:
-                stack = [x for x in stack if not x[1]]
-                furniture = 0
-            if name in VOID or m["attr"].rstrip().endswith("/"):
-                yield "open", name, "", article > 0, furniture > 0
+            if name in VOID or m["attr"].endswith("/") and not m["attr"].endswith("=/"):
+                yield "open", name, "", opened.article > 0, opened.furniture > 0
                 continue
+            own = _is_furniture(name, m["attr"], opened.article > 0, page, m.end(), weights)
+            if name in ("article", "main") and not own and not opened.article and opened.furniture:
+                opened.forget_furniture()
             if name == "p" or name == "li":      # an open paragraph or item ends where the next begins
-                while stack and stack[-1][0] == "p":
-                    furniture -= stack.pop()[1]
-                if name == "li" and stack and stack[-1][0] == "li":
-                    furniture -= stack.pop()[1]
-            own = _is_furniture(name, m["attr"], article > 0, page, m.end())
+                while opened.top() == "p":
+                    opened.pop()
+                if name == "li" and opened.top() == "li":
+                    opened.pop()
             if name in BLOCKS or own:
-                stack.append((name, own))
-                furniture += own
-                article += name in ("article", "main")
-            yield "open", name, "", article > 0, furniture > 0
+                opened.push(name, own, name in ("article", "main") and not own)
+            yield "open", name, "", opened.article > 0, opened.furniture > 0
+        else:
+            yield "close", name, "", opened.article > 0, opened.furniture > 0
+            opened.close(name)
+
+
+def class_places(page: str):
+    """(word, inside the article) of the classes and ids of a page's elements."""
+    depth = 0
+    for m in NODE.finditer(page):
+        name = (m["name"] or "").lower()
+        if not name:
+            continue
+        if m["close"]:
+            depth = max(0, depth - (name in ("article", "main")))
         else:
-            yield "close", name, "", article > 0, furniture > 0
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, own = stack.pop()
-                    furniture -= own
-                    article -= n in ("article", "main")
-                    if n == name:
-                        break
+            found = _attributes(m["attr"]) if m["attr"] else {}
+            for w in set(_words(f"{found.get('class', '')} {found.get('id', '')}")):
+                yield w, depth > 0
+            depth += name in ("article", "main")
 
 
 def node_features(kind: str, name: str, block: str, article: bool, furniture: bool, marked: bool) -> list[str]:
@@ -208,7 +299,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: dict[str, float], cache: dict | None = None) -> str:
     """The blocks of the best region, joined by one line feed."""
-    nodes = list(page_nodes(page))
+    nodes = list(page_nodes(page, weights))
     lo, hi = best_region(node_scores(nodes, weights, {} if cache is None else cache))
     blocks, run = [], []
 
@@ -242,7 +333,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_
     if not total:
         return {}
     share = min(1.0, sample_pages / total)
-    sample = marked.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = marked.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
 
     def count(frames):
         for frame in frames:
@@ -254,14 +345,20 @@ def learn_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_
                     n = len(node[1].split()) if node[0] == "text" else 1
                     for f in node_features(*node, True):
                         seen.setdefault(f, [0, 0])[0 if node[3] else 1] += n
+                for word, inside in class_places(text):
+                    seen.setdefault(f"class {word}", [0, 0])[0 if inside else 1] += 1
             yield pd.DataFrame([(f, a, b) for f, (a, b) in seen.items()], columns=["feature", "inside", "outside"])
 
     rows = (sample.select(page.alias("page")).mapInPandas(count, "feature string, inside long, outside long")
             .groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
             .where(F.col("i") + F.col("o") >= least).collect())
     words = [r for r in rows if r["feature"].startswith("word")]
-    tags = [r for r in rows if not r["feature"].startswith("word")]
+    classes = [r for r in rows if r["feature"].startswith("class ")]
+    tags = [r for r in rows if not r["feature"].startswith(("word", "class "))]
     weights = {}
+    for r in classes:                            # log odds of standing outside, even odds as the prior
+        odds = math.log((r["o"] + 1) / (r["i"] + 1))
+        weights[r["feature"]] = max(-CLASS_LIMIT, min(CLASS_LIMIT, odds))
     for group in (words, tags):
         inside, outside = sum(r["i"] for r in group) + 2, sum(r["o"] for r in group) + 2
         for r in group:
@@ -269,6 +366,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_
             weights[r["feature"]] = max(-WEIGHT_LIMIT, min(WEIGHT_LIMIT, odds))
     # a tag costs at most twice its prior; the blocks words stand in only shade their base score; where the article is marked, the mark decides
     for f in weights:
+        if f.startswith("class "):
+            continue
         if not f.startswith("word"):
             weights[f] = max(TAG_PRIOR, weights[f])
         elif f.startswith("word in ") and f != "word in article":
