@@ -5,13 +5,18 @@ table; its log likelihood is scaled to at most ``SHARPNESS`` words, so that shor
 or mixed texts keep soft memberships.  Every document gets a rate (the expected
 number of times it is taken).  The rates are the projected-gradient solution of
 
-    minimise  sum over domains of (expected tokens - target tokens)**2 / present tokens
-
-with rates of at least ``min_rate``, starting from 1 everywhere.  A step needs
-the expected totals only: one aggregation over a written table of memberships,
-one row of totals to the driver.  In the scaled form the step size is 1 and the
-residual shrinks by a stochastic matrix, so no line search is needed.  Rates are
-a function of the memberships and the few steps taken, and are never stored.
+    minimise  m' A^-1 m,  m = expected tokens - target tokens by domain,
+
+with rates of at least ``min_rate``, starting from 1 everywhere; A holds, for each
+two domains, the tokens weighted by both memberships, so overlapping domains do
+not slow the steps down.  In the metric that weighs a rate by its tokens the step
+size is 1, so no line search is needed; steps are accelerated, and start afresh
+where the miss grows.  A step needs the expected totals only: one aggregation over
+a written table of memberships, one row of totals to the driver.  It goes on until
+the targets are met or the projected gradient vanishes, that is, until a step
+moves next to no rate; the miss that remains then is out of reach of any
+nonnegative rates, is returned with the rates and logged.  Rates are a function of
+the memberships and the steps taken; every ``FOLDED`` steps those so far are written.
 
 The classifier is the only thing fitted on a sample: about ``sample_rows``
 labelled rows, spread evenly by a hash of the id; the model is a table of
@@ -26,8 +31,10 @@ and copies; an empty table gives no rows; other columns pass through
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ from tabulens.llm.common import col, spare_name
 from tabulens.session import written_table
 
 SHARPNESS = 20.0
+FOLDED = 16                        # steps kept as a fold over the table before rates are written
+LOG = logging.getLogger(__name__)
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -53,7 +62,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     usable = labelled.where(F.col("id").isNotNull() & F.col("domain").isin(domains)).dropDuplicates(["id"])
     total = usable.count()
     share = min(1.0, sample_rows / max(1, total))
-    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
     # about sample_rows ids by construction, so they are sent to the scan instead of moving texts
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     counts = (texts.select("domain", F.explode(words_of(F.col("text"))).alias("w"))
@@ -88,53 +97,88 @@ def memberships(docs: DataFrame, model: dict, text_col: str, tokens: str, probs:
     return out.withColumns(dict(zip(probs, [p / whole for p in parts]))).drop(ids, *scores)
 
 
-def rate_of(probs: list[Column], steps: list[list[float]], min_rate: float) -> Column:
-    """The rate after the given projected steps: a fold over them, from 1."""
+def stepped(probs: list[Column], steps: list[list[float]], min_rate: float, start: Column | None = None) -> Column:
+    """[rate, point of the next gradient] after accelerated projected steps from such a pair, or from rates of 1.
+
+    A step is [momentum, one move a domain].
+    """
+    one = F.lit(max(1.0, float(min_rate)))
+    start = F.array(one, one) if start is None else start
     if not steps:
-        return F.greatest(F.lit(1.0), F.lit(min_rate))
-    start = F.greatest(F.lit(1.0), F.lit(min_rate))
+        return start
     each = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
-    def step(rate, s):
-        terms = [p * F.get(s, F.lit(i)) for i, p in enumerate(probs)]
-        return F.greatest(F.lit(float(min_rate)), rate - sum(terms[1:], terms[0]))
+    def step(pair, s):
+        terms = [p * F.get(s, F.lit(i + 1)) for i, p in enumerate(probs)]
+        rate = F.greatest(F.lit(float(min_rate)), F.get(pair, F.lit(1)) - sum(terms[1:], terms[0]))
+        return F.get(F.transform(F.array(rate), lambda r: F.array(
+            r, r + F.get(s, F.lit(0)) * (r - F.get(pair, F.lit(0))))), F.lit(0))
 
     return F.aggregate(each, start, step)
 
 
-def fit_rates(table: DataFrame, tokens: str, probs: list[str], weights: list[float], total_tokens: float | None,
-              min_rate: float, tolerance: float, max_steps: int) -> list[list[float]]:
-    """Steps of the projected gradient until the scaled miss is at most ``tolerance`` or no longer shrinks.
+def rate_of(probs: list[Column], steps: list[list[float]], min_rate: float) -> Column:
+    """The rate after the given steps, from 1."""
+    return F.get(stepped(probs, steps, min_rate), F.lit(0))
 
-    ``total_tokens``: tokens after mixing; None for the least total that needs no rate below ``min_rate``, or the
-    present total where that is 0.
-    """
-    p = [F.col(c) for c in probs]
 
-    def totals(steps):
-        taken = table.select(*probs, (F.col(tokens) * rate_of(p, steps, min_rate)).alias("expected_tokens"))
-        row = taken.agg(*[F.sum(x * F.col("expected_tokens")).alias(f"total_{i}") for i, x in enumerate(p)]).first()
-        return [x or 0.0 for x in row]
+def fit_rates(table: DataFrame, tokens: str, probs: list[str], weights: list[float], total_tokens: float | None,
+              min_rate: float, tolerance: float, precision: float) -> tuple[list[list[float]], float]:
+    """Steps of the projected gradient, and the miss that remains: the largest one of a domain, as a share of all tokens.
 
-    present = totals([])
-    whole = sum(present)
+    They end where that is at most ``tolerance``, or where a plain projected step from the rates would change them by
+    less than ``precision`` a token.  ``total_tokens``: tokens after mixing; None for the least total that needs no
+    rate below ``min_rate``, or the present total where that is 0.
+    """
+    p, k = [F.col(c) for c in probs], len(probs)
+    named = [c for c in table.columns if c in (tokens, *probs)]
+    tok, pair, last = F.col(tokens).cast("double"), spare_name(table, "pair"), spare_name(table, "last")
+    first = table.agg(*[F.sum(tok * x).alias(f"t{i}") for i, x in enumerate(p)],
+                      *[F.sum(tok * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    present = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
+    whole = present.sum()
     if not whole:
-        return []
+        return [], 0.0
+    shared = np.array([[first[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inverse = np.linalg.pinv(shared / whole, rcond=1e-9, hermitian=True) / whole
     if total_tokens is None:
         total_tokens = max(min_rate * t / w for t, w in zip(present, weights)) if min_rate else whole
-    target = [w * total_tokens for w in weights]
-    steps: list[list[float]] = []
-    now, last = present, math.inf
+    target = np.array([w * total_tokens for w in weights])
 
-    def miss(now):
-        return math.sqrt(sum((a - b) ** 2 / max(t, 1e-9 * whole) for a, b, t in zip(now, target, present)) / whole)
+    def miss(totals):
+        return float(np.max(np.abs(totals - target)) / total_tokens)
 
-    # at the bound of the rates the targets may be out of reach: stop where a step gains next to nothing
-    while len(steps) < max_steps and miss(now) > tolerance and miss(now) < 0.98 * last:
-        last = miss(now)
-        steps.append([(a - b) / max(t, 1e-9 * whole) for a, b, t in zip(now, target, present)])
-        now = totals(steps)
-    return steps
+    one = F.lit(max(1.0, float(min_rate)))
+    base, folded = table.select(*named, F.array(one, one).alias(pair)), 0
+    steps: list[list[float]] = []
+    rates = point = present * max(1.0, min_rate)
+    worth, pace = math.inf, 1.0
+    while miss(rates) > tolerance:
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append([(pace - 1) / faster, *(inverse @ (point - target)).tolist()])
+        if len(steps) - folded > FOLDED:
+            done = steps[folded:-1]
+            base = written_table(base.select(*named, stepped(p, done, min_rate, F.col(pair)).alias(pair)))
+            folded = len(steps) - 1
+        # the pair before and after the newest step
+        before = base.select(*named, stepped(p, steps[folded:-1], min_rate, F.col(pair)).alias(last))
+        after = before.select(*named, last, stepped(p, steps[-1:], min_rate, F.col(last)).alias(pair))
+        rate, ahead, was = F.col(pair)[0], F.col(pair)[1], F.col(last)[1]
+        row = after.agg(*[F.sum(tok * x * rate).alias(f"r{i}") for i, x in enumerate(p)],
+                        *[F.sum(tok * x * ahead).alias(f"y{i}") for i, x in enumerate(p)],
+                        F.sum(tok * F.abs(rate - was)).alias("moved")).first()
+        rates = np.array([row[f"r{i}"] for i in range(k)])
+        now = float((rates - target) @ inverse @ (rates - target))
+        if now > worth:                          # momentum overshot: go on from the rates themselves
+            steps[-1][0], point, pace = 0.0, rates, 1.0
+        else:
+            point, pace = np.array([row[f"y{i}"] for i in range(k)]), faster
+        worth = now
+        if row["moved"] <= precision * whole:
+            break
+    if miss(rates) > tolerance:
+        LOG.warning("targets out of reach: a miss of %.4f of all tokens remains after %d steps", miss(rates), len(steps))
+    return steps, miss(rates)
 
 
 def copies_of(rate: Column, key: list[Column]) -> Column:
@@ -145,9 +189,9 @@ def copies_of(rate: Column, key: list[Column]) -> Column:
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
                   text_col: str = "text", total_tokens: float | None = None, min_rate: float = 0.0,
-                  tolerance: float = 1e-3, max_steps: int = 40, buckets: int = 1024,
+                  tolerance: float = 1e-3, precision: float = 1e-4, buckets: int = 1024,
                   sample_rows: int = 4000) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> of every document, its rate and its number of copies.
+    """doc_id, n_tokens, p_<domain> of every document, its rate, its number of copies and the remaining miss.
 
     ``labelled`` has the columns id and domain; ``targets`` are the domains' shares of the tokens.
     """
@@ -157,14 +201,15 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     model = learn_domains(docs, labelled, domains, id_col, text_col, buckets, sample_rows)
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("_text"))
     table = written_table(memberships(rows, model, "_text", "n_tokens", probs).drop("_text"))
-    steps = fit_rates(table, "n_tokens", probs, share, total_tokens, min_rate, tolerance, max_steps)
+    steps, missed = fit_rates(table, "n_tokens", probs, share, total_tokens, min_rate, tolerance, precision)
     rate = rate_of([F.col(c) for c in probs], steps, min_rate)
-    return table.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), [F.col("doc_id")]))
+    return (table.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), [F.col("doc_id")]))
+            .withColumn("target_miss", F.lit(missed)))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
              text_col: str = "text", total_tokens: float | None = None, min_rate: float = 1.0,
-             tolerance: float = 1e-3, max_steps: int = 40, buckets: int = 1024, sample_rows: int = 4000) -> DataFrame:
+             tolerance: float = 1e-3, precision: float = 1e-3, buckets: int = 1024, sample_rows: int = 4000) -> DataFrame:
     """The rows of ``docs``, each as often as its number of copies says, all columns as they were.
 
     With the default ``min_rate`` no document is lost: domains that are short repeat theirs.
@@ -176,7 +221,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id
     probs = [spare_name(docs, f"p{i}") for i in range(len(domains))]
     scored = memberships(docs, model, text_col, tokens, probs)
     table = written_table(scored.select(tokens, *probs))
-    steps = fit_rates(table, tokens, probs, share, total_tokens, min_rate, tolerance, max_steps)
+    steps, _ = fit_rates(table, tokens, probs, share, total_tokens, min_rate, tolerance, precision)
     rate, row = spare_name(scored, "rate"), spare_name(scored, "row")
     out = scored.withColumn(rate, rate_of([col(c) for c in probs], steps, min_rate))
     # the row number keeps the optimizer from moving the test for rows without a copy below the classifier, which it
