@@ -3,11 +3,17 @@
 Every text gets a few exact statistics.  Per (language, source) a mergeable
 quantile sketch of each derived feature is kept: counts of logarithmic buckets,
 1 % wide, which merge by adding counts, so Spark's partial aggregation builds
-them and language-wide or global sketches are sums of the finer ones.  The
-median and the spread of the lower half set the fences; the upper half may be
-polluted by the very documents to be rejected.  Groups with too few rows use the
-sketch of their language, then that of everything.  Statistics and fences are
-then joined and filtered.
+them and language-wide or global sketches are sums of the finer ones.
+
+Every feature is a rate (symbols a word, characters a word, ...), so fences are
+set on its square root, on which the error of a rate counted over n units is
+1 / (2 * sqrt(n)) whatever the rate (times the
+root of what one event counts).  A group's fence is its median plus ``REACH``
+times the distance to its tail quantile (``TAIL``), shrunk towards its language's,
+and that towards everything's, as if those added ``shrink`` rows.  A document may
+pass the fence by ``ERRORS`` errors: its own over its units, and that of the
+group's documents of middle length.  No threshold is a constant of a feature.
+Statistics and fences are then joined and filtered.
 
 Nothing is sampled.  A sketch has a few hundred buckets a feature; fences are
 joined to the rows without a hint, so any number of groups will do.
@@ -36,13 +42,18 @@ SPACES = " \t\n\r\x0b\x0c"
 WIDTH = 1.01                       # ratio of neighbouring bucket bounds
 ZERO_BUCKET = -(1 << 30)
 
-#: feature -> (least margin above the median, least margin below, spreads above, spreads below); None: no fence there
-FENCES = {
-    "mean_word": (1.6, 1.6, 8.0, 8.0),
-    "symbols_per_word": (0.1, None, 8.0, None),
-    "dup_lines_per_line": (0.5, None, 8.0, None),
-    "repeats_per_word": (0.4, None, 8.0, None),
+TAIL, REACH, ERRORS = 0.8, 6.0, 4.0
+
+#: feature -> (what is counted, units it is counted over, least that one event counts, whether low rates are judged too);
+#: a repeat is two windows of three words, so six words at a time
+RATES = {
+    "mean_word": ("word_chars", "n_words", 1, True),
+    "symbols_per_word": ("n_symbols", "n_words", 1, False),
+    "dup_lines_per_line": ("n_dup_lines", "n_lines", 1, False),
+    "repeats_per_word": ("n_repeat_words", "n_words", 6, False),
 }
+UNITS = ("n_words", "n_lines")
+FENCE_NAMES = [*(f"high_{k}" for k in RATES), *(f"low_{k}" for k, v in RATES.items() if v[3]), *UNITS]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -93,9 +104,9 @@ def base_failed(s: Column) -> Column:
 
 
 def features(s: Column) -> dict[str, Column]:
-    words, lines = F.greatest(s["n_words"], F.lit(1)), F.greatest(s["n_lines"], F.lit(1))
-    return {"mean_word": s["word_chars"] / words, "symbols_per_word": s["n_symbols"] / words,
-            "dup_lines_per_line": s["n_dup_lines"] / lines, "repeats_per_word": s["n_repeat_words"] / words}
+    """The rates, and the units they are counted over."""
+    rates = {k: s[count] / F.greatest(s[units], F.lit(1)) for k, (count, units, _, _) in RATES.items()}
+    return rates | {u: s[u].cast("double") for u in UNITS}
 
 
 def bucket(value: Column) -> Column:
@@ -112,46 +123,43 @@ def sketch(stats: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "feature", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
-def sketch_fences(sketches: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """Per key: one (low, high) pair a feature, from the merged sketches of the rows with that key."""
+def sketch_fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: its rows and its fences, from the merged sketches of the rows with that key."""
     merged = sketches.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
     within = Window.partitionBy(*keys, "feature")
     upto = F.sum("n").over(within.orderBy("bucket"))
     total = F.sum("n").over(within)
     value = F.when(F.col("bucket") == ZERO_BUCKET, 0.0).otherwise(
         F.pow(F.lit(WIDTH), F.col("bucket").cast("double") - 0.5))
+    quantiles = {"low": 1 - TAIL, "mid": 0.5, "high": TAIL}
     q = (merged.select(*keys, "feature", value.alias("v"), upto.alias("upto"), total.alias("total"))
          .groupBy(*keys, "feature")
          .agg(F.max("total").alias("rows"),
-              F.min(F.when(F.col("upto") >= 0.25 * F.col("total"), F.col("v"))).alias("q1"),
-              F.min(F.when(F.col("upto") >= 0.5 * F.col("total"), F.col("v"))).alias("q2"))
-         .where(F.col("rows") >= min_rows))
-    spread = F.col("q2") - F.col("q1")
-    out = []
-    for name, (above, below, k_above, k_below) in FENCES.items():
-        mine = F.col("feature") == name
-        if above is not None:
-            out.append(F.max(F.when(mine, F.col("q2") + F.greatest(F.lit(above), k_above * spread))).alias(f"high_{name}"))
-        if below is not None:
-            out.append(F.max(F.when(mine, F.col("q2") - F.greatest(F.lit(below), k_below * spread))).alias(f"low_{name}"))
-    return q.groupBy(*keys).agg(*out)
-
-
-def learn_fences(stats: DataFrame, min_rows: int = 200) -> DataFrame:
+              *[F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("v"))).alias(k) for k, p in quantiles.items()]))
+    mid, out = F.sqrt("mid"), []
+    for name in FENCE_NAMES:
+        side, _, feature = name.partition("_")
+        mine = F.col("feature") == (name if name in UNITS else feature)
+        at = F.col("mid") if name in UNITS else mid + REACH * (F.sqrt(side) - mid)
+        out.append(F.max(F.when(mine, at)).alias(name))
+    return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *out)
+
+
+def shrunk(rows: Column, own: Column, wider: Column, shrink: float) -> Column:
+    """A group's fence drawn towards that of the wider group, as if the latter added ``shrink`` rows."""
+    return F.when(own.isNull(), wider).otherwise((rows * own + shrink * wider) / (rows + shrink))
+
+
+def learn_fences(stats: DataFrame, shrink: float = 20.0) -> DataFrame:
     """Fences of every (lang, source) of ``stats`` (columns lang, source, stats), in the struct column ``fences``."""
     sketches = written_table(sketch(stats))
-    names = [f"{side}_{k}" for k, v in FENCES.items() for side, m in (("high", v[0]), ("low", v[1])) if m is not None]
-    groups = sketches.select("lang", "source").distinct()
-    own, lang, every = (sketch_fences(sketches, keys, rows) for keys, rows in
-                        ((["lang", "source"], min_rows), (["lang"], min_rows), ([], 1)))
-    pack = F.struct(*names)
-    own = own.select(F.col("lang").alias("ol"), F.col("source").alias("os"), pack.alias("own"))
-    lang = lang.select(F.col("lang").alias("ll"), pack.alias("by_lang"))
-    global_fences = every.select(pack.alias("f")).collect()      # one row
-    whole = F.struct(*[F.lit(global_fences[0]["f"][n] if global_fences else None).cast("double").alias(n) for n in names])
-    return (groups.join(own, groups["lang"].eqNullSafe(F.col("ol")) & groups["source"].eqNullSafe(F.col("os")), "left")
-            .join(lang, groups["lang"].eqNullSafe(F.col("ll")), "left")
-            .select("lang", "source", F.coalesce("own", "by_lang", whole).alias("fences")))
+    own, lang, every = (sketch_fences(sketches, keys) for keys in (["lang", "source"], ["lang"], []))
+    found = every.collect()                                      # one row
+    whole = {n: F.lit(found[0][n] if found else None).cast("double") for n in FENCE_NAMES}
+    lang = lang.select(F.col("lang").alias("ll"), *[
+        shrunk(F.col("rows"), F.col(n), whole[n], shrink).alias(f"lang_{n}") for n in FENCE_NAMES])
+    fences = F.struct(*[shrunk(F.col("rows"), F.col(n), F.col(f"lang_{n}"), shrink).alias(n) for n in FENCE_NAMES])
+    return own.join(lang, own["lang"].eqNullSafe(F.col("ll")), "left").select("lang", "source", fences.alias("fences"))
 
 
 def judged(rows: DataFrame, fences: DataFrame, stats: str, lang: str, source: str, verdict: str) -> DataFrame:
@@ -160,31 +168,35 @@ def judged(rows: DataFrame, fences: DataFrame, stats: str, lang: str, source: st
     fences = fences.select(F.col("lang").alias(fl), F.col("source").alias(fs), F.col("fences").alias(ff))
     joined = rows.join(fences, col(lang).eqNullSafe(col(fl)) & col(source).eqNullSafe(col(fs)), "left")
     s, kept = col(stats), ~base_failed(col(stats))
-    for name, value in features(s).items():
-        above, below = FENCES[name][:2]
-        if above is not None:
-            kept = kept & F.coalesce(value <= col(ff)[f"high_{name}"], F.lit(True))
-        if below is not None:
-            kept = kept & F.coalesce(value >= col(ff)[f"low_{name}"], F.lit(True))
+    values = features(s)
+    for name, (_, units, lump, both) in RATES.items():
+        error = 0.5 * math.sqrt(lump) * F.sqrt(1.0 / F.greatest(s[units], F.lit(1)) + 1.0 / F.greatest(col(ff)[units], F.lit(1.0)))
+        root = F.sqrt(values[name])
+        kept = kept & F.coalesce(root <= col(ff)[f"high_{name}"] + ERRORS * error, F.lit(True))
+        if both:
+            kept = kept & F.coalesce(root >= col(ff)[f"low_{name}"] - ERRORS * error, F.lit(True))
     return joined.withColumn(verdict, kept).drop(fl, fs, ff)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  source_col: str = "source", min_rows: int = 200) -> DataFrame:
+                  source_col: str = "source", shrink: float = 20.0) -> DataFrame:
     """doc_id, base statistics, base_failed and kept of every document."""
     stats = written_table(docs.select(col(id_col).alias("doc_id"), col(lang_col).alias("lang"),
                                       col(source_col).alias("source"), stats_of(col(text_col)).alias("stats")))
-    out = judged(stats, learn_fences(stats, min_rows), "stats", "lang", "source", "kept")
+    out = judged(stats, learn_fences(stats, shrink), "stats", "lang", "source", "kept")
     return out.select("doc_id", *[F.col("stats")[c].alias(c) for c in BASE_STATS],
                       base_failed(F.col("stats")).alias("base_failed"), "kept")
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                   min_rows: int = 200) -> DataFrame:
+                   shrink: float = 20.0) -> DataFrame:
     """The rows of ``docs`` that keep to the rules, all columns as they were."""
     light = written_table(docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"),
                                       stats_of(col(text_col)).alias("stats")))
-    fences = written_table(learn_fences(light, min_rows))
+    fences = written_table(learn_fences(light, shrink))
     stats, verdict = spare_name(docs, "stats"), spare_name(docs, "kept")
-    out = judged(docs.withColumn(stats, stats_of(col(text_col))), fences, stats, lang_col, source_col, verdict)
+    # the row number keeps the optimizer from testing the base rules below the statistics, computing them once more
+    row = spare_name(docs, "row")
+    counted = docs.select("*", stats_of(col(text_col)).alias(stats), F.monotonically_increasing_id().alias(row))
+    out = judged(counted, fences, stats, lang_col, source_col, verdict)
     return out.where(col(verdict)).select(*[col(c) for c in docs.columns])

@@ -4,7 +4,9 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +80,58 @@ def test_extraction_keeps_article_parts_whose_ids_hold_furniture_words(spark):
     assert main_text(SLUGS, {}).split("\n") == want and main_text(SLUGS, weights).split("\n") == want
 
 
+FILL = "<p>" + "Plain words of the article go on and on here. " * 3 + "</p>"
+
+
+def article(inside):
+    return f"<html><body><nav>menu</nav><article><h1>Head of the page</h1>{FILL}{inside}{FILL}</article><footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("tag,text", [
+    ("<p title=it's>we don't go</p><p>it isn't far</p>", "we don't go\nit isn't far"),
+    ("<p class=\"x'>open to the end</p>", "open to the end"), ("<p a=\"1\"b='2>3'>close together</p>", "close together"),
+    ("<p =x>odd sign</p>", "odd sign"), ("<p>see <a href=http://x.y/>the link</a></p>", "see the link"),
+    ("<p data-x = '<b>'>spaced out</p>", "spaced out"), ("<svg width=1/><p>after a drawing</p>", "after a drawing"),
+    ("<!--><p>after a short comment</p>", "after a short comment"),
+    ("<div data-v='&quot;' class='search-results-table'>results stay</div>", "results stay")])
+def test_start_tags_are_read_by_the_states_of_html(tag, text):
+    from tabulens.llm.html_extract import main_text
+    fill = re.sub("<.*?>", "", FILL).strip()
+    assert main_text(article(tag), {}) == f"Head of the page\n{fill}\n{text}\n{fill}"
+
+
+@pytest.mark.parametrize("name", """comments-section comment-body post-comments user-comments reader-comments ad-300x250
+cookie-policy-banner page-footer sidebar-left related-articles social-icons""".split())
+@pytest.mark.parametrize("element", ["div class", "section id", "article class"])
+def test_comments_and_adverts_inside_the_article_go(spark, name, element):
+    from tabulens.llm.html_extract import main_text
+    tag = element.split()[0]
+    assert "said" not in main_text(article(f'<{element}="{name}"><p>what a reader said</p></{tag}>'), {})
+
+
+def test_class_words_learn_from_labelled_pages(spark):
+    """A shared word that labelled articles use inside stays; the same word used outside only goes."""
+    from tabulens.llm.html_extract import learn_weights, main_text
+    part = article('<div class="social">on society</div>')
+    inside = article('<div class="social">on society</div>' * 2)
+    outside = '<div class="social">follow us</div>' + article("")
+    learned = {k: learn_weights(spark.createDataFrame([(i, "u", page) for i in range(60)],
+                                                      "page_id long, url string, html string"))
+               for k, page in (("in", inside), ("out", outside))}
+    assert learned["in"]["class social"] < 0 < learned["out"]["class social"]
+    assert "society" in main_text(part, learned["in"]) and "society" not in main_text(part, learned["out"])
+
+
+def test_deep_pages_take_linear_time():
+    from tabulens.llm.html_extract import main_text
+    n = 100_000
+    page = "<article>" + "<div>" * n + "<p>words far down the page</p>" + "</div>" * n + "</article>"
+    began = time.time()
+    assert main_text(page, {}) == "words far down the page"
+    main_text("<div>" * n + "<nav><article>x</article>" * n, {})
+    assert time.time() - began < 30
+
+
 def test_extraction_edge_cases(spark):
     from tabulens.llm.html_extract import extract_main_text
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>only"), (2, "u", "<p>only"),
@@ -203,6 +257,80 @@ def test_quality_verdict_follows_the_labels(spark):
     assert all(r.kept for r in rows if labels[r.doc_id] == 1 and not r.base_failed)
 
 
+def plain_fences(rows, shrink):
+    """(lang, source) -> fences, by sorting; ``rows``: (lang, source, stats, n_lines) of texts that pass the base rules."""
+    from tabulens.llm.quality_rules import RATES, REACH, TAIL, UNITS
+
+    def own(members):
+        out = {}
+        for name, (count, units, _, both) in RATES.items():
+            v = sorted(r[count] / max(1, r[units]) for r in members)
+            at = lambda q: math.sqrt(v[max(0, math.ceil(q * len(v) - 1e-9) - 1)])
+            out[f"high_{name}"] = at(0.5) + REACH * (at(TAIL) - at(0.5))
+            if both:
+                out[f"low_{name}"] = at(0.5) + REACH * (at(1 - TAIL) - at(0.5))
+        for u in UNITS:
+            out[u] = sorted(r[u] for r in members)[math.ceil(0.5 * len(members)) - 1]
+        return out
+
+    def draw(n, a, b):
+        return {k: (n * a[k] + shrink * b[k]) / (n + shrink) for k in a}
+
+    by_lang, by_pair = collections.defaultdict(list), collections.defaultdict(list)
+    for lang, source, r in rows:
+        by_lang[lang].append(r)
+        by_pair[lang, source].append(r)
+    whole = own([r for _, _, r in rows])
+    langs = {k: draw(len(v), own(v), whole) for k, v in by_lang.items()}
+    return {k: draw(len(v), own(v), langs[k[0]]) for k, v in by_pair.items()}
+
+
+def test_fences_and_verdicts_equal_a_plain_version(spark):
+    from tabulens.llm.quality_rules import ERRORS, RATES, learn_fences, quality_rules, stats_of
+    docs = frame("documents", "/root/testdata/sf0.01")
+    rows = []
+    for lang, source, text, i in zip(docs.lang, docs.source, docs.text, docs.doc_id):
+        s = plain_stats(text)
+        r = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), s))
+        r["n_lines"] = sum(bool(x.strip(SPACES)) for x in (text or "").split("\n"))
+        rows.append((lang, source, r, i))
+    fine = [(a, b, r) for a, b, r, _ in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    want = plain_fences(fine, 20.0)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(f.lang, f.source): f.fences for f in
+           learn_fences(table.select("lang", "source", stats_of("text").alias("stats"))).collect()}
+    assert got.keys() == want.keys()
+    for k, fences in want.items():
+        for name, x in fences.items():          # buckets are 1 % wide, reaches multiply their error
+            assert got[k][name] == pytest.approx(x, rel=0.04, abs=0.02), (k, name)
+    kept, near = {r.doc_id: r.kept for r in quality_rules(table).collect()}, 0
+    for lang, source, r, i in rows:
+        verdict = r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]
+        f = want.get((lang, source))
+        for name, (count, units, lump, both) in RATES.items():
+            if verdict:
+                x = math.sqrt(r[count] / max(1, r[units]))
+                slack = ERRORS * 0.5 * math.sqrt(lump) * math.sqrt(1 / max(1, r[units]) + 1 / max(1, f[units]))
+                verdict = x <= f[f"high_{name}"] + slack and (not both or x >= f[f"low_{name}"] - slack)
+        near += kept[i] != verdict
+    assert near <= 0.005 * len(rows)             # rates within a bucket of their fence
+
+
+def test_sources_with_other_rates_get_other_verdicts(spark):
+    """40 symbols in 200 words are usual in one source and far out in another."""
+    from tabulens.llm.quality_rules import quality_rules
+    rows = []
+    for source, usual in (("code", 40), ("prose", 0)):
+        for i in range(400):
+            signs = 40 if i == 0 else max(0, usual + i % 21 - 10 if usual else 0)
+            words = [f"w{(i * 7919 + j * 104729) % 100003:05d}" + ("#" if j < signs else "") for j in range(200)]
+            rows.append((len(rows), " ".join(words), "en", source))
+    out = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[0] and not out[400]
+    assert all(out[i] for i in range(400)) and all(out[i] for i in range(401, 800))
+
+
 def test_quality_sketches_merge(spark):
     from tabulens.llm.quality_rules import sketch, stats_of
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "source", stats_of("text").alias("stats"))
