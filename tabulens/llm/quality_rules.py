@@ -150,7 +150,7 @@ def shrunk(rows: Column, own: Column, wider: Column, shrink: float) -> Column:
     return F.when(own.isNull(), wider).otherwise((rows * own + shrink * wider) / (rows + shrink))
 
 
-def learn_fences(stats: DataFrame, shrink: float = 20.0) -> DataFrame:
+def learn_fences(stats: DataFrame, shrink: float = 200.0) -> DataFrame:
     """Fences of every (lang, source) of ``stats`` (columns lang, source, stats), in the struct column ``fences``."""
     sketches = written_table(sketch(stats))
     own, lang, every = (sketch_fences(sketches, keys) for keys in (["lang", "source"], ["lang"], []))
@@ -179,7 +179,7 @@ def judged(rows: DataFrame, fences: DataFrame, stats: str, lang: str, source: st
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  source_col: str = "source", shrink: float = 20.0) -> DataFrame:
+                  source_col: str = "source", shrink: float = 200.0) -> DataFrame:
     """doc_id, base statistics, base_failed and kept of every document."""
     stats = written_table(docs.select(col(id_col).alias("doc_id"), col(lang_col).alias("lang"),
                                       col(source_col).alias("source"), stats_of(col(text_col)).alias("stats")))
@@ -189,7 +189,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                   shrink: float = 20.0) -> DataFrame:
+                   shrink: float = 200.0) -> DataFrame:
     """The rows of ``docs`` that keep to the rules, all columns as they were."""
     light = written_table(docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"),
                                       stats_of(col(text_col)).alias("stats")))
