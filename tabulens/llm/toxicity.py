@@ -5,7 +5,9 @@ reporting word, other).  Small transducers mark insults and threats that are
 aimed at a target, negated or reported; they are composed into one machine that
 reads a clause once in each direction.  What it outputs are matched clauses:
 marked insults with the strength of their words, and marked threats; a text
-scores by those, never by isolated words.
+scores by those.  Insults and threats themselves are word classes, not machines:
+a lone insult without a target is a match too, a word that is only named
+("the word idiot") included, and threats need one of the listed forms.
 
 The insult class is learned: stems and whole words that stand in toxic labelled
 texts more often than in clean ones *and* in many different contexts (a word
