@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from tabulens.plans import fixtures as FX
 from tabulens.plans.registry import register
 from tabulens.session import checkpoint_dir
@@ -40,3 +42,16 @@ def q_snapshot_roundtrip(spark, d):
     path = _scratch(spark, "snapshot")
     save_dataset(FX.table(spark, d, "customer"), path)
     return load_snapshot(spark, path)
+
+
+@register("csv_split_quoted", """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       l_linestatus || chr(10) || '"' || l_returnflag || '", ' || l_linestatus AS note FROM lineitem""")
+def q_csv_split_quoted(spark, d):
+    """All of lineitem with a line break, quotes and a comma in every row, in one file (a file a task of the writer)."""
+    path = _scratch(spark, "csv")
+    rows = FX.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice",
+        F.concat("l_linestatus", F.lit('\n"'), "l_returnflag", F.lit('", '), "l_linestatus").alias("note"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path)

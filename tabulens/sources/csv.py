@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulens.sources.csv_split import read_quoted
+
 # Fixed null tokens recognised when reading text tables (the pandas defaults).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+#: Encodings whose line breaks, quotes and commas are single ASCII bytes, and how lines are decoded (None: as they are).
+SPLITTABLE = {"utf-8": None, "utf8": None, "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252"}
+
 
 def _read_strings(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
@@ -25,8 +30,9 @@ def read_csv(spark: SparkSession, path: str, encodings=("utf-8", "latin1", "cp12
              null_tokens=None, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Read a CSV with a header; types are inferred after null tokens are removed.
 
-    Quoted fields may hold line breaks and doubled quotes.  With ``multi_line`` off, line breaks inside quotes are
-    not understood and one large file is read by many tasks.  Bytes that are no UTF-8 make the reader take the next
+    Quoted fields may hold line breaks and doubled quotes; one large file is read by many tasks all the same
+    (:mod:`tabulens.sources.csv_split`), unless its encoding does not keep ASCII bytes.  With ``multi_line`` off, line
+    breaks inside quotes are not understood and the pass over the quotes is saved.  Bytes that are no UTF-8 make the reader take the next
     encoding (Latin-1 accepts every byte, so the third is only reached if named first); a valid file that holds
     U+FFFD stays UTF-8.  An empty table is an error.  Type inference is one aggregate: for every column, how many
     non-null values cast cleanly to long / double / timestamp.
@@ -39,6 +45,8 @@ def read_csv(spark: SparkSession, path: str, encodings=("utf-8", "latin1", "cp12
     df = _read_strings(spark, path, encoding, multi_line)
     if not df.columns:
         raise ValueError("empty CSV")
+    if multi_line and encoding.lower() in SPLITTABLE:
+        df = read_quoted(spark, path, df.columns, SPLITTABLE[encoding.lower()])
     cleaned = df.select(*[F.when(F.trim(F.col(f"`{c}`")).isin(tokens), F.lit(None)).otherwise(F.col(f"`{c}`"))
                           .alias(c) for c in df.columns])
     if cleaned.isEmpty():
