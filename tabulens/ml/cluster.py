@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens import types as TY
+from tabulens.ml.kmeans_runs import least_inertias
 from tabulens.operators.relational import complete_cases
 from tabulens.session import reliable_checkpoint
 
@@ -20,25 +19,11 @@ def _standardised(df: DataFrame, cols: list[str]) -> DataFrame:
     return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec).transform(vec)
 
 
-def least_inertias(data: DataFrame, ks: list[int], seed: int, starts: int, parallelism: int = 4) -> list[float]:
-    """For each k the smallest inertia of k-means from ``starts`` seeds, each run until its centres stand still.
-
-    The fits are chains of small jobs, so ``parallelism`` of them are submitted at once.
-    """
-    def cost(task: tuple[int, int]) -> float:
-        k, i = task
-        model = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(data)
-        return model.summary.trainingCost
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        costs = list(pool.map(cost, [(k, i) for k in ks for i in range(starts)]))
-    return [min(costs[j * starts:(j + 1) * starts]) for j in range(len(ks))]
-
-
 def elbow(df: DataFrame, max_cols: int | None = None, min_rows: int = 50, k_max: int = 7, seed: int = 42,
-          starts: int = 10) -> dict | None:
+          starts: int = 10, seeding: str = "parallel") -> dict | None:
     """Inertia of k-means (the best of ``starts`` seeds) for k = 2..min(k_max, n//10 - 1) on standardised complete cases of the
-    numeric columns (the first ``max_cols`` if given); chosen k = argmin(first differences) + 2.  Returns None under ``min_rows`` rows."""
+    numeric columns (the first ``max_cols`` if given); chosen k = argmin(first differences) + 2.  All runs share one scan an
+    iteration; ``seeding`` as in :func:`least_inertias`.  Returns None under ``min_rows`` rows."""
     cols = TY.numeric_columns(df)[:max_cols]
     if len(cols) < 2:
         return None
@@ -47,7 +32,7 @@ def elbow(df: DataFrame, max_cols: int | None = None, min_rows: int = 50, k_max:
     if n < min_rows:
         return None
     ks = list(range(2, min(k_max + 1, n // 10)))
-    inertia = least_inertias(data, ks, seed, starts)
+    inertia = least_inertias(data, ks, seed, starts, seeding)
     diffs = [b - a for a, b in zip(inertia, inertia[1:])]
     chosen = (diffs.index(min(diffs)) + 2) if diffs else (2 if inertia else None)
     table = df.sparkSession.createDataFrame(list(zip(ks, inertia)), "k int, inertia double")
