@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabulens.ml import cluster as CU
@@ -153,3 +154,18 @@ def q_linear_learners(spark, d):
     found = spark.createDataFrame(out, "fold int, learner string, b1 double, b2 double, c double")
     return found.select("fold", "learner", round_to("b1", 4).alias("b_quantity"), round_to("b2", 4).alias("b_discount"),
                         round_to("c", 3).alias("intercept"))
+
+
+@register("outlier_removal", """
+WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS vx,
+             var_samp(l_extendedprice) AS vy, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem),
+d AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+        ((l_quantity - mx) * (l_quantity - mx) * vy - 2 * (l_quantity - mx) * (l_extendedprice - my) * c
+         + (l_extendedprice - my) * (l_extendedprice - my) * vx) / (vx * vy - c * c) AS d2 FROM lineitem, m)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM d
+WHERE d2 <= (SELECT quantile_cont(d2, 0.95) FROM d)""")
+def q_outlier_removal(spark, d):
+    cols = ["l_quantity", "l_extendedprice"]
+    rows = FX.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
+    return CMP.remove_outliers(vec).drop("features")
