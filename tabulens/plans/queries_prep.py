@@ -73,6 +73,24 @@ def q_stratified_sample(spark, d):
     return SM.stratified_sample(FX.orders(spark, d), "o_orderstatus", 500, seed=42, key="o_orderkey")
 
 
+_KEYLIKE = "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE 'k' || o_orderkey END"
+
+
+@register("stratified_keylike", f"""
+WITH o AS (SELECT o_orderkey, {_KEYLIKE} AS "class.of" FROM orders),
+c AS (SELECT "class.of" AS cls, count(*) AS n_class FROM o GROUP BY 1),
+t AS (SELECT sum(n_class) AS N FROM c),
+b AS (SELECT cls, floor(500 * n_class / N) AS base, 500 * n_class / N - floor(500 * n_class / N) AS rem FROM c, t),
+q AS (SELECT cls, CAST(base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls)
+        <= 500 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY "class.of" ORDER BY {MD5_ORD}) AS rn FROM o)
+SELECT r.o_orderkey, r."class.of" FROM r JOIN q ON r."class.of" = q.cls WHERE rn <= quota""")
+def q_stratified_keylike(spark, d):
+    """A text target with nearly as many classes as rows, one of them a third of all rows, and a dot in its name."""
+    o = FX.orders(spark, d).select("o_orderkey", F.expr(_KEYLIKE).alias("class.of"))
+    return SM.stratified_sample(o, "class.of", 500, seed=42, key="o_orderkey")
+
+
 @register("train_test_split", f"""
 SELECT CASE WHEN {BUCKET} < {int(0.8 * 16 ** 6)} THEN 'train' ELSE 'test' END AS split, count(*) AS rows,
   round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
