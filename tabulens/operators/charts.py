@@ -146,11 +146,11 @@ def parallel_coordinates(df: DataFrame, n: int | None = None, key=None, seed: in
     if not 3 <= len(num) <= 10:
         return spark.createDataFrame([], "empty string")
     key = [key] if isinstance(key, str) else list(key or num)
-    base = complete_cases(df, num).select(*dict.fromkeys(num + key))
-    s = scalars(base.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(num)],
-                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(num)]))
+    base = complete_cases(df, num).select(*[TY.column(c) for c in dict.fromkeys(num + key)])
+    s = scalars(base.agg(*[F.min(TY.column(c)).alias(f"lo{i}") for i, c in enumerate(num)],
+                         *[F.max(TY.column(c)).alias(f"hi{i}") for i, c in enumerate(num)]))
     pts = base if n is None else sample_rows(base, n, seed, key)
-    return pts.select(*[round_to(F.try_divide(F.col(c) - s[f"lo{i}"], s[f"hi{i}"] - s[f"lo{i}"]), 6)
+    return pts.select(*[round_to(F.try_divide(TY.column(c) - s[f"lo{i}"], s[f"hi{i}"] - s[f"lo{i}"]), 6)
                         .alias(c) for i, c in enumerate(num)])
 
 
