@@ -1,9 +1,10 @@
 """Many k-means runs at once: every iteration of all of them is one scan of the rows.
 
-Rows are packed once into matrices.  A scan assigns each matrix to the centres of all runs that still move by one product
-and returns sums by centre; Spark adds these up with a partial sum in every task, so what is exchanged and collected
-goes with runs, centres and columns, never with rows.  Runs whose centres stand still are retired.  A k-means++ draw, weighted
-by squared distance, is a race of exponential times, whose winner is a minimum that tasks can merge.
+Rows are packed once into matrices, which stay cached.  A scan compares each matrix with the centres of all runs that still
+move by one product and adds its rows to the nearest centres by another; a task returns one array of sums, so what reaches
+the driver goes with tasks, runs, centres and columns, never with rows.  Runs whose centres stand still are retired.  A
+k-means++ draw, weighted by squared distance, is a race of exponential times, whose winner is a minimum that tasks can
+merge.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ from tabulens.session import written_table
 
 #: Rows of a packed matrix at most.
 BLOCK = 4096
-#: Rows times centres that a task compares at once (8 bytes each).
-COMPARED = 1_000_000
+#: Rows times centres that a task compares at once (8 bytes each): they stay in the processor's cache.
+COMPARED = 100_000
 
 
 def pack(features: DataFrame) -> DataFrame:
@@ -31,29 +33,49 @@ def pack(features: DataFrame) -> DataFrame:
     They are spread over the cores once, evenly, because every iteration of every run reads them.
     """
     def packed(batches, block=BLOCK):
-        for pdf in batches:
-            m = np.array(pdf["x"].tolist(), dtype=np.float64)
-            for lo in range(0, len(m), block):
-                yield pd.DataFrame({"rows": [len(m[lo:lo + block])], "data": [m[lo:lo + block].tobytes()]})
-
-    blocks = features.select(vector_to_array("features").alias("x")).mapInPandas(packed, "rows int, data binary")
+        for batch in batches:
+            x = batch.column(0)
+            m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            parts = [m[lo:lo + block] for lo in range(0, len(m), block)]
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(p) for p in parts], pa.int32()),
+                                              "data": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    blocks = features.select(vector_to_array("features").alias("x")).mapInArrow(packed, "rows int, data binary")
     cores = features.sparkSession.sparkContext.defaultParallelism
     return written_table(blocks.withColumn("block", F.monotonically_increasing_id()).repartition(cores))
 
 
-def _nearest(m: np.ndarray, runs: list[np.ndarray]):
-    """(first row, run, nearest centre, squared distance) for slices of the rows; distances from the differences."""
-    centres = np.concatenate(runs)
-    half = 0.5 * np.einsum("ij,ij->i", centres, centres)
-    at = np.cumsum([0] + [len(r) for r in runs])
-    step = max(COMPARED // len(centres), 1)
+def _assigned(m: np.ndarray, runs: list[np.ndarray]):
+    """(first row, rows, [(first run, owners)]) for slices of the rows; runs of one size have to lie side by side.
+
+    Owners are centres x runs x rows: whether the centre is the row's nearest one (the first of equally near ones).
+    """
+    alike = [j for j in range(len(runs)) if j == 0 or len(runs[j]) != len(runs[j - 1])] + [len(runs)]
+    stacks = [np.stack(runs[a:b], axis=1) for a, b in zip(alike, alike[1:])]            # centres x runs x columns
+    halves = [0.5 * np.einsum("ijk,ijk->ij", c, c).reshape(-1, 1) for c in stacks]
+    step = max(COMPARED // sum(len(r) for r in runs), 1)
     for lo in range(0, len(m), step):
         x = m[lo:lo + step]
-        score = half - x @ centres.T
-        for j, c in enumerate(runs):
-            near = score[:, at[j]:at[j + 1]].argmin(axis=1)
-            gap = x - c[near]
-            yield lo, j, near, np.einsum("ij,ij->i", gap, gap)
+        turned, found = np.ascontiguousarray(x.T), []
+        for first, c, half in zip(alike, stacks, halves):
+            score = (half - c.reshape(-1, c.shape[2]) @ turned).reshape(*c.shape[:2], len(x))
+            best = score[0]
+            for other in score[1:]:
+                best = np.minimum(best, other)
+            own = score == best
+            if np.count_nonzero(own) != best.size:                      # equally near centres
+                own &= np.cumsum(own, axis=0) == 1
+            found.append((first, own))
+        yield lo, x, found
+
+
+def _nearest(m: np.ndarray, runs: list[np.ndarray]):
+    """(first row, run, nearest centre, squared distance) for slices of the rows; distances from the differences."""
+    for lo, x, found in _assigned(m, runs):
+        for first, own in found:
+            for j, near in enumerate(own.argmax(axis=0), first):
+                gap = x - runs[j][near]
+                yield lo, j, near, np.einsum("ij,ij->i", gap, gap)
 
 
 def plus_plus(blocks: DataFrame, k: int, starts: int, seed: int, d: int) -> list[np.ndarray]:
@@ -88,30 +110,55 @@ def plus_plus(blocks: DataFrame, k: int, starts: int, seed: int, d: int) -> list
     return chains
 
 
-def _scan(blocks: DataFrame, runs: dict[int, np.ndarray], d: int) -> dict[int, np.ndarray]:
-    """{run: centres x (sums, rows, squared distances)} of one assignment of all rows to the centres of every run."""
-    ids, centres = list(runs), list(runs.values())
-
-    def sums(batches):
-        total = [np.zeros((len(c), d + 2)) for c in centres]
+def _summed(blocks: DataFrame, size: int, add) -> np.ndarray:
+    """The sum of ``size`` numbers over all blocks: ``add(total, matrix's bytes)`` in tasks, one array a task returned."""
+    def run(batches):
+        from pyspark import TaskContext
+        total = np.zeros(size)
         for pdf in batches:
             for data in pdf["data"]:
-                m = np.frombuffer(data).reshape(-1, d)
-                for lo, j, near, gap in _nearest(m, centres):
-                    x, k = m[lo:lo + len(near)], len(centres[j])
-                    for a in range(d):
-                        total[j][:, a] += np.bincount(near, weights=x[:, a], minlength=k)
-                    total[j][:, d] += np.bincount(near, minlength=k)
-                    total[j][:, d + 1] += np.bincount(near, weights=gap, minlength=k)
-        flat = np.concatenate([t.ravel() for t in total])
-        yield pd.DataFrame({"pos": np.arange(len(flat), dtype=np.int32), "v": flat})
-
-    merged = blocks.select("data").mapInPandas(sums, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
-    flat = np.zeros(sum(c.size + 2 * len(c) for c in centres))
-    for r in merged.collect():                              # runs x centres x (columns + 2) rows
-        flat[r["pos"]] = r["v"]
-    at = np.cumsum([0] + [len(c) * (d + 2) for c in centres])
-    return {run: flat[at[j]:at[j + 1]].reshape(-1, d + 2) for j, run in enumerate(ids)}
+                add(total, data)
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
+
+    got = blocks.select("data").mapInPandas(run, "part int, sums binary").collect()
+    return sum((np.frombuffer(r["sums"]) for r in sorted(got, key=lambda r: r["part"])), np.zeros(size))
+
+
+def _scan(blocks: DataFrame, runs: dict, d: int) -> dict:
+    """{run: centres x (sums, rows)} of one assignment of all rows to the centres of every run."""
+    ids = sorted(runs, key=lambda run: len(runs[run]))
+    centres = [runs[run] for run in ids]
+    at = np.cumsum([0] + [len(c) for c in centres])
+
+    def add(total, data):
+        sums, m = total.reshape(-1, d + 1), np.frombuffer(data).reshape(-1, d)
+        for _, x, found in _assigned(m, centres):
+            counted = np.column_stack([x, np.ones(len(x))])
+            for first, own in found:
+                own = own.reshape(-1, len(x))
+                sums[at[first]:at[first] + len(own)] += own.astype(float) @ counted
+
+    flat = _summed(blocks, int(at[-1]) * (d + 1), add).reshape(-1, d + 1)
+    out, lo = {}, 0
+    while lo < len(ids):                                    # runs of one size lie as centres x runs
+        k = len(centres[lo])
+        many = sum(len(c) == k for c in centres)
+        part = flat[at[lo]:at[lo] + k * many].reshape(k, many, d + 1)
+        out.update((ids[lo + j], part[:, j]) for j in range(many))
+        lo += many
+    return out
+
+
+def _inertias(blocks: DataFrame, runs: dict, d: int) -> dict:
+    """{run: squared distances of all rows from their nearest centres}, one scan for all runs."""
+    ids = sorted(runs, key=lambda run: len(runs[run]))
+    centres = [runs[run] for run in ids]
+
+    def add(total, data):
+        for _, j, _, gap in _nearest(np.frombuffer(data).reshape(-1, d), centres):
+            total[j] += gap.sum()
+
+    return dict(zip(ids, _summed(blocks, len(ids), add).tolist()))
 
 
 def lloyd(blocks: DataFrame, centres: dict, tol: float = 1e-4, max_iter: int = 300) -> dict:
@@ -122,21 +169,25 @@ def lloyd(blocks: DataFrame, centres: dict, tol: float = 1e-4, max_iter: int = 3
     """
     d = next(iter(centres.values())).shape[1]
     moving, done = dict(centres), {}
-    for step in range(max_iter):
-        found = _scan(blocks, moving, d)
-        still = {}
-        for run, old in moving.items():
-            s = found[run]
-            new = np.where(s[:, d:d + 1] > 0, s[:, :d] / np.maximum(s[:, d:d + 1], 1), old)
-            inertia = float(s[:, d + 1].sum())
-            if step + 1 < max_iter and ((new - old) ** 2).sum(axis=1).max() > tol * tol:
-                still[run] = new
-            else:
-                done[run] = (inertia, old)
-        moving = still
-        if not moving:
-            break
-    return done
+    blocks = blocks.persist()
+    try:
+        for step in range(max_iter):
+            found = _scan(blocks, moving, d)
+            still = {}
+            for run, old in moving.items():
+                s = found[run]
+                new = np.where(s[:, d:] > 0, s[:, :d] / np.maximum(s[:, d:], 1), old)
+                if step + 1 < max_iter and ((new - old) ** 2).sum(axis=1).max() > tol * tol:
+                    still[run] = new
+                else:
+                    done[run] = old
+            moving = still
+            if not moving:
+                break
+        inertia = _inertias(blocks, done, d) if done else {}
+    finally:
+        blocks.unpersist()
+    return {run: (inertia[run], c) for run, c in done.items()}
 
 
 def parallel_seeds(features: DataFrame, runs: list[tuple[int, int]], seed: int, parallelism: int = 8) -> dict:

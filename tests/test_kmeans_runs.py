@@ -55,3 +55,19 @@ def test_equal_rows_fewer_values_than_centres_and_repeated_runs(spark):
     from pyspark.ml.clustering import KMeans
     best = min(KMeans(k=3, seed=s, maxIter=300).fit(frame).summary.trainingCost for s in range(6))
     assert a[1] <= best * 1.001
+
+
+def test_runs_of_mixed_sizes_and_equal_centres():
+    from tabulens.ml.kmeans_runs import _assigned, _nearest
+    x = np.random.default_rng(4).normal(size=(3000, 3))
+    runs = [x[:2], np.vstack([x[5], x[5]]), x[10:14], x[20:24], x[30:33]]          # the second holds one centre twice
+    seen = {j: [] for j in range(len(runs))}
+    for _, j, near, gap in _nearest(x, runs):
+        seen[j].append((near, gap))
+    for j, c in enumerate(runs):
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        assert (np.concatenate([n for n, _ in seen[j]]) == d2.argmin(axis=1)).all()
+        assert np.allclose(np.concatenate([g for _, g in seen[j]]), d2.min(axis=1))
+    for _, rows, found in _assigned(x, runs):
+        assert all((own.sum(axis=0) == 1).all() for _, own in found) and len(rows) <= 3000
+    assert [first for first, _ in found] == [0, 2, 4]
