@@ -4,7 +4,8 @@ A line break inside quotes does not end a record, so a task that starts in the m
 starts inside a quoted field.  Every line is a map on the two states (outside, inside quotes); two patterns say where
 it leads from either.  A first pass composes the maps of each split, a prefix over the splits of a file gives the state
 each one starts in, and a second pass puts lines together to records.  Only the pieces of records that cross a split's
-border, at most two a split, are exchanged.
+border, at most two a split, are exchanged.  Both passes take lines by the batch; the pieces are written once, so that
+later reads of the table do not put them together again.
 
 A quote opens a field only at the start of it and closes it only before a comma or the line's end; any other stays a
 character.  Lines end in \\n or \\r\\n.  Blank lines outside quotes are no records.
@@ -12,7 +13,9 @@ character.  Lines end in \\n or \\r\\n.  Blank lines outside quotes are no recor
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,19 +42,41 @@ def _lines(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
             .withColumn("opens", F.col("text").rlike(OPENS)).withColumn("stays", F.col("text").rlike(STAYS)))
 
 
+def _runs(batch):
+    """(file, block, first row, end) of the runs of a batch's rows that lie in one split."""
+    files = pc.dictionary_encode(batch.column(0))
+    names, blocks = files.indices.to_numpy(), batch.column(1).to_numpy()
+    cuts = np.flatnonzero((names[1:] != names[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+        if hi > lo:
+            yield files.dictionary[int(names[lo])].as_py(), int(blocks[lo]), lo, hi
+
+
+def _flags(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _states(opens: np.ndarray, stays: np.ndarray, start: bool) -> np.ndarray:
+    """Whether each line ends inside quotes: the last line that leads to one state from both, then the swaps since."""
+    fixes, swaps = opens == stays, np.cumsum(opens & ~stays)
+    last = np.maximum.accumulate(np.where(fixes, np.arange(len(opens)), -1))
+    known = last >= 0
+    return np.where(known, opens[last], start) ^ ((swaps - np.where(known, swaps[last], 0)) % 2 == 1)
+
+
 def _summarise_fn():
     def summarise(batches):
         """Compose the maps of each split's lines; a task reads its splits one after the other, in file order."""
         key, out, inn = None, False, True
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for file, block, opens, stays in zip(*cols):
+            opens, stays = _flags(batch.column(2)), _flags(batch.column(3))
+            for file, block, lo, hi in _runs(batch):
                 if key != (file, block):
                     if key is not None:
                         yield pa.RecordBatch.from_pydict({"file": [key[0]], "block": [key[1]], "from_out": [out],
                                                           "from_in": [inn]})
                     key, out, inn = (file, block), False, True
-                out, inn = (stays if out else opens), (stays if inn else opens)
+                out, inn = (bool(_states(opens[lo:hi], stays[lo:hi], s)[-1]) for s in (out, inn))
         if key is not None:
             yield pa.RecordBatch.from_pydict({"file": [key[0]], "block": [key[1]], "from_out": [out], "from_in": [inn]})
     return summarise
@@ -75,50 +100,60 @@ def start_states(lines: DataFrame) -> DataFrame:
 
 
 def _assemble_fn():
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()),
+                        ("first", pa.bool_()), ("text", pa.string())])
+
     def assemble(batches):
         """Records of each split.  ``whole`` ones are ready; ``head`` closes a record of an earlier split, ``tail`` begins
         one that a later split closes, ``mid`` is a split inside one record.  ``first`` marks the file's header."""
         key, state, seq, buffer, kind, header = None, False, 0, [], "whole", False
-        rows = {"file": [], "block": [], "seq": [], "kind": [], "first": [], "text": []}
 
-        def put(kind, text):
+        def pieces(texts, kinds):
+            """A batch of the split's records, blank ones left out (``texts``: Arrow strings)."""
             nonlocal seq, header
-            if kind == "whole" and not text.strip():
-                return
-            first = header and kind in ("whole", "tail")
-            header = header and not first
-            for name, value in zip(rows, (key[0], key[1], seq, kind, first, text)):
-                rows[name].append(value)
-            seq += 1
+            kept = np.ones(len(texts), dtype=bool)
+            plain = _flags(pc.match_substring_regex(texts, "[!-~]"))
+            for i in np.flatnonzero(~plain):
+                kept[i] = kinds[i] != "whole" or bool(texts[int(i)].as_py().strip())
+            if not kept.all():
+                texts, kinds = texts.filter(pa.array(kept)), [k for k, keep in zip(kinds, kept) if keep]
+            first = np.zeros(len(texts), dtype=bool)
+            if header:
+                begins = [i for i, k in enumerate(kinds[:2]) if k in ("whole", "tail")]      # only the first is a head
+                if begins:
+                    first[begins[0]], header = True, False
+            n, seq = len(texts), seq + len(texts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * n, pa.string()), pa.array(np.full(n, key[1], dtype=np.int64)),
+                 pa.array(np.arange(seq - n, seq)), pa.array(kinds, pa.string()), pa.array(first),
+                 texts.cast(pa.string())], schema=schema)
 
         def finish():
             if buffer:
-                put("mid" if kind == "head" else "tail", "\n".join(buffer))
+                text = pa.array(["\n".join(t for part in buffer for t in part.to_pylist())], pa.string())
+                yield pieces(text, ["mid" if kind == "head" else "tail"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for file, block, text, opens, stays, inside in zip(*cols):
+            opens, stays, inside = (_flags(batch.column(i)) for i in (3, 4, 5))
+            for file, block, lo, hi in _runs(batch):
                 if key != (file, block):
-                    finish()
-                    key, state, seq, buffer = (file, block), inside, 0, []
-                    kind, header = "head" if inside else "whole", block == 0
-                state = stays if state else opens
-                if buffer or state or kind == "head":
-                    buffer.append(text)
-                    if not state:
-                        put(kind, "\n".join(buffer))
-                        buffer, kind = [], "whole"
-                else:
-                    put("whole", text)
-            if rows["file"]:
-                yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
-                rows = {name: [] for name in rows}
-        finish()
-        if rows["file"]:
-            yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
-
-    _ARROW = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()),
-                        ("first", pa.bool_()), ("text", pa.string())])
+                    yield from finish()
+                    key, state, seq, buffer = (file, block), bool(inside[lo]), 0, []
+                    kind, header = "head" if state else "whole", block == 0
+                after = _states(opens[lo:hi], stays[lo:hi], state)
+                state = bool(after[-1])
+                ends = np.flatnonzero(~after) + 1                       # behind the last line of every closed record
+                if not len(ends):
+                    buffer.append(batch.column(2).slice(lo, hi - lo))
+                    continue
+                early = sum(len(part) for part in buffer)
+                lines = pa.concat_arrays([*buffer, batch.column(2).slice(lo, int(ends[-1]))])
+                at = pa.array(np.concatenate([[0], ends + early]).astype(np.int32))
+                yield pieces(pc.binary_join(pa.ListArray.from_arrays(at, lines), "\n"),
+                             [kind] + ["whole"] * (len(ends) - 1))
+                rest = batch.column(2).slice(lo + int(ends[-1]), hi - lo - int(ends[-1]))
+                buffer, kind = [rest] if len(rest) else [], "whole"
+        yield from finish()
     return assemble
 
 
@@ -143,8 +178,8 @@ def records(spark: SparkSession, path: str, encoding: str | None = None,
     checked = F.when(F.col("inside").isNotNull(), F.col("inside")).otherwise(
         F.raise_error(F.lit("byte splits changed between the passes over the CSV; fix spark.sql.files.minPartitionNum"))
         .cast("boolean"))
-    pieces = (tagged.select("file", "block", "text", "opens", "stays", checked.alias("inside"))
-              .mapInArrow(_assemble_fn(), _PIECES))
+    pieces = written_table(tagged.select("file", "block", "text", "opens", "stays", checked.alias("inside"))
+                           .mapInArrow(_assemble_fn(), _PIECES))
     crossing = pieces.where(F.col("kind") != "whole")                       # at most two a split
     order = Window.partitionBy("file").orderBy("block", "seq")
     joined = (crossing.withColumn("rec", F.count(F.when(F.col("kind") == "tail", 1)).over(order))

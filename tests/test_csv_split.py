@@ -68,3 +68,26 @@ def test_each_file_has_its_header_and_latin1_is_decoded(tiny_splits, tmp_path):
         (tmp_path / f"p{i}.csv").write_bytes(f'k,v\n{i},"caf\u00e9\n{i}"\n'.encode("latin-1"))
     got = sorted(tuple(r) for r in read_csv(tiny_splits, str(tmp_path)).collect())
     assert got == [(i, f"café\n{i}") for i in range(3)]
+
+
+def test_states_of_a_batch_equal_line_by_line():
+    import numpy as np
+    from tabulens.sources.csv_split import _states
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 200):
+        for share in (0.0, 0.1, 0.9):
+            opens, stays = rng.random(n) < 0.5, rng.random(n) < 0.5
+            stays = np.where(rng.random(n) < share, opens, ~opens)          # from swaps and identities only to few of them
+            for state in (False, True):
+                got, at, want = _states(opens, stays, state), state, []
+                for o, s in zip(opens, stays):
+                    at = s if at else o
+                    want.append(at)
+                assert got.tolist() == [bool(w) for w in want]
+
+
+def test_records_are_put_together_once(tiny_splits, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("k,v\n" + "".join(f'{i},"a\n{i}"\n' for i in range(100)))
+    out = records(tiny_splits, str(path))
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 101
