@@ -176,9 +176,11 @@ def contexts(chosen: DataFrame, length: int, remembered: int = 1 << 17) -> DataF
                                    "syms array<long>, sizes array<int>")
 
 
-def stretch_symbols(stretches: DataFrame, reach: int) -> DataFrame:
+def stretch_symbols(stretches: DataFrame, reach: int, rows_a_frame: int = 1 << 14) -> DataFrame:
     """(seg, pos, sym, size, sid, head): the distinct stretches symbol by symbol, ``head`` the symbols of the secure part
-    (null where less than that is left)."""
+    (null where less than that is left).  A task holds about ``rows_a_frame`` symbols at once, however long its stretches.
+    """
+    columns = ["seg", "pos", "sym", "size", "sid", "head"]
 
     def run(frames):
         for frame in frames:
@@ -187,9 +189,13 @@ def stretch_symbols(stretches: DataFrame, reach: int) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(sizes)])
                 need = np.searchsorted(upto, upto[:-1] + reach)
                 raw = np.asarray(syms, dtype="<i8")
-                out += [(seg, pos, int(syms[pos]), int(sizes[pos]), sid, raw[pos:n].tobytes() if n < len(upto) else None)
-                        for pos, n in enumerate(need)]
-            yield pd.DataFrame(out, columns=["seg", "pos", "sym", "size", "sid", "head"])
+                for start in range(0, len(need), rows_a_frame):
+                    out += [(seg, pos, int(syms[pos]), int(sizes[pos]), sid, raw[pos:n].tobytes() if n < len(upto) else None)
+                            for pos, n in enumerate(need[start:start + rows_a_frame], start)]
+                    if len(out) >= rows_a_frame:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return stretches.mapInPandas(run, "seg long, pos int, sym long, size int, sid binary, head binary")
 

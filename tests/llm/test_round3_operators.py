@@ -237,3 +237,22 @@ def test_multiproof_of_some_leaves_and_of_changed_ones(spark):
     # the union is minimal: whole runs need nothing, one leaf of nine needs two nodes a level
     assert missing_nodes(np.arange(9), 9, 3) == [] and missing_nodes(np.array([4]), 9, 3) == [(0, 3), (0, 5), (1, 0), (1, 2)]
     assert missing_nodes(np.array([0, 1, 2, 9]), 10, 3) == [(1, 1), (1, 2)]
+
+
+def test_a_task_holds_few_symbols_at_once():
+    import pandas as pd
+    from tabulens.llm.repeats import stretch_symbols
+
+    class Kept:
+        def mapInPandas(self, run, schema):
+            return run
+
+    long = list(range(1, 501))
+    frame_ = pd.DataFrame({"seg": [7, 8], "sid": [b"a", b"b"], "syms": [long, [3, 4]], "sizes": [[40] * 500, [40, 40]]})
+    parts = list(stretch_symbols(Kept(), 74, rows_a_frame=20)(iter([frame_])))
+    assert max(map(len, parts)) <= 40
+    rows = pd.concat(parts)
+    assert rows["seg"].tolist() == [7] * 500 + [8] * 2 and rows["pos"].tolist() == [*range(500), 0, 1]
+    assert rows["sym"].tolist() == [*long, 3, 4]
+    heads = [np.array(long[i:i + 2], dtype="<i8").tobytes() if i + 2 <= 500 else None for i in range(500)]
+    assert rows["head"].tolist()[:500] == heads
