@@ -30,9 +30,10 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
                       centres: list[dict] | None = None) -> DataFrame:
     """Unordered pairs i < j: (i, j, feature1, feature2, n, r) with r unrounded.
 
-    The pairwise-complete Pearson coefficient from masked Gram matrices: a first pass gives the columns' means, a
-    second one adds up, per task, the products of the centred values over the rows where both are present, as arrays
-    over blocks of columns; tasks are merged by block pair.  Two scans and a plan of a few nodes, however many columns.
+    The pairwise-complete Pearson coefficient from masked Gram matrices: every task adds up the products of the
+    centred values over the rows where both are present, as arrays over blocks of columns; tasks are merged by block
+    pair.  A task centres on ``centres`` or, without them, on the means of the first rows it sees, and the merge moves
+    all sums to one centre: one scan, and a plan of a few nodes, however many columns.
     r is NULL where a column is constant over the pair's rows or has an infinite value there.
     """
     import numpy as np
@@ -43,19 +44,26 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
     schema = "i int, j int, feature1 string, feature2 string, n long, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    centres = column_centres(df, cols) if centres is None else centres
-    # a constant column is centred on its value exactly, so that nothing is left of it
-    centre = np.array([c["low"] if c["low"] == c["high"] else c["mean"] for c in centres], dtype=float)
-    centre = np.where(np.isfinite(centre), centre, 0.0)
+    given = None
+    if centres is not None:
+        # a constant column is centred on its value exactly, so that nothing is left of it
+        given = np.array([c["low"] if c["low"] == c["high"] else c["mean"] for c in centres], dtype=float)
+        given = np.where(np.isfinite(given), given, 0.0)
     starts = range(0, len(cols), BLOCK)
 
     def products(frames):
         from pyspark import TaskContext
         sums: dict = {}
+        centre = np.full(len(cols), np.nan) if given is None else given
         for frame in frames:
             x = frame.to_numpy(dtype=float)
             present, endless = ~np.isnan(x), np.isinf(x)
-            v = np.where(present & ~endless, x - centre, 0.0)
+            known = present & ~endless
+            for c in np.flatnonzero(np.isnan(centre) & known.any(0)):        # nothing is summed of it so far
+                own = x[known[:, c], c]
+                mean = own[0] if own.min() == own.max() else own.mean()
+                centre[c] = mean if np.isfinite(mean) else own[0]
+            v = np.where(known, x - centre, 0.0)
             present, endless = present.astype(float), endless.astype(float)
             for a in starts:
                 for b in starts:
@@ -65,24 +73,36 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
                                      endless[:, one].T @ present[:, two]])
                     sums[(a, b)] = sums[(a, b)] + grid if (a, b) in sums else grid
         part = TaskContext.get().partitionId()
-        rows = [(min(a, b), max(a, b), a > b, part, g.tobytes()) for (a, b), g in sums.items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "turned", "part", "grid"])
+        rows = [(min(a, b), max(a, b), a > b, part, centre[a:a + BLOCK].tobytes(), g.tobytes()) for (a, b), g in sums.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "turned", "part", "centre", "grid"])
 
     def coefficients(key, frame):
         a, b = key
         many, wide = min(BLOCK, len(cols) - a), min(BLOCK, len(cols) - b)
 
-        def total(rows, shape):
-            return sum(np.frombuffer(g) for g in rows.sort_values("part")["grid"]).reshape(5, *shape)
-
-        n, sx, sxx, sxy, bad = total(frame[~frame["turned"]], (many, wide))
-        _, sy, syy, _, worse = (n, sx, sxx, sxy, bad) if a == b else total(frame[frame["turned"]], (wide, many))
+        def tasks(rows, shape):
+            rows = rows.sort_values("part")
+            centre = np.stack([np.frombuffer(c) for c in rows["centre"]])
+            found = np.ma.masked_invalid(centre)
+            one = np.where(found.min(0) == found.max(0), found.min(0).filled(0.0), found.mean(0).filled(0.0))
+            # how far each task's centre lies from the common one; a column that a task has not seen has no sums there
+            return [np.frombuffer(g).reshape(5, *shape) for g in rows["grid"]], np.where(np.isnan(centre), 0.0, centre - one)
+
+        first, off_x = tasks(frame[~frame["turned"]], (many, wide))
+        second, off_y = (first, off_x) if a == b else tasks(frame[frame["turned"]], (wide, many))
+        n = sx = sy = sxx = syy = sxy = bad = worse = 0.0
+        for g, t, dx, dy in zip(first, second, off_x[:, :, None], off_y[:, None, :]):
+            tx, ty = g[1], t[1].T
+            n, bad, worse = n + g[0], bad + g[4], worse + t[4].T
+            sx, sy = sx + (tx + dx * g[0]), sy + (ty + dy * g[0])
+            sxx, syy = sxx + (g[2] + 2 * dx * tx + dx * dx * g[0]), syy + (t[2].T + 2 * dy * ty + dy * dy * g[0])
+            sxy = sxy + (g[3] + dx * ty + dy * tx + dx * dy * g[0])
         with np.errstate(divide="ignore", invalid="ignore"):
-            vx, vy = sxx - sx * sx / n, syy.T - sy.T * sy.T / n
-            vx, vy = np.where(vx <= SAME * sxx, 0.0, vx), np.where(vy <= SAME * syy.T, 0.0, vy)
-            r = (sxy - sx * sy.T / n) / (np.sqrt(vx) * np.sqrt(vy))
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            vx, vy = np.where(vx <= SAME * sxx, 0.0, vx), np.where(vy <= SAME * syy, 0.0, vy)
+            r = (sxy - sx * sy / n) / (np.sqrt(vx) * np.sqrt(vy))
         known = (n > 1) & (vx > 0) & (vy > 0)
-        endless = (bad + worse.T) > 0
+        endless = (bad + worse) > 0
         rows = [(a + i, b + j, cols[a + i], cols[b + j], int(n[i, j]),
                  float(np.clip(r[i, j], -1, 1)) if known[i, j] and not endless[i, j] else None)
                 for i in range(many) for j in range(wide) if a + i < b + j]
@@ -91,7 +111,7 @@ def pair_correlations(df: DataFrame, cols: list[str] | None = None, max_cols: in
         return out
 
     values = df.select(*[TY.num(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    return values.mapInPandas(products, "a int, b int, turned boolean, part int, grid binary").groupBy(
+    return values.mapInPandas(products, "a int, b int, turned boolean, part int, centre binary, grid binary").groupBy(
         "a", "b").applyInPandas(coefficients, schema)
 
 

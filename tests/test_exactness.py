@@ -213,3 +213,24 @@ def test_correlations_of_awkward_columns(spark, monkeypatch):
     assert C.pair_correlations(endless.select("p")).collect() == []
     assert {r.r for r in C.pair_correlations(endless.limit(0)).collect()} <= {None}
     assert C.correlation_matrix(endless.limit(0)).count() >= 3
+
+
+def test_pair_correlations_read_the_table_once(spark, monkeypatch):
+    """Tasks with far apart centres (sorted rows, late and constant columns) give NumPy's coefficients in one scan."""
+    import numpy as np
+    from tabulens.operators import correlation as C
+    monkeypatch.setattr(C, "column_centres", lambda *a: pytest.fail("a scan for the centres"))
+    x = np.arange(1000.0) + 1e6
+    rows = [(float(v), float(v * v % 97), float(v) if i >= 700 else None, 5.0, 1e9 + (i >= 500)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, late double, same double, step double").repartitionByRange(4, "a")
+    got = {(r["feature1"], r["feature2"]): (r["n"], r["r"]) for r in C.pair_correlations(df).collect()}
+    data = {n: np.array([np.nan if r[i] is None else r[i] for r in rows]) for i, n in enumerate(df.columns)}
+    assert len(got) == 10
+    for (one, two), (n, r) in got.items():
+        both = ~np.isnan(data[one]) & ~np.isnan(data[two])
+        u, v = data[one][both], data[two][both]
+        assert n == both.sum()
+        if u.min() == u.max() or v.min() == v.max():
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
