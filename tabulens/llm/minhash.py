@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import col, spare_name
+from tabulens.llm.common import batches, col, spare_name
 from tabulens.llm.components import connected_components
 from tabulens.session import written_table
 
@@ -124,7 +124,7 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
 
     def run(frames):
         tables = [borrow_table(n) for n in ATTEMPTS]
-        for frame in frames:
+        for frame in (part for whole in frames for part in batches(whole)):
             sizes, ids, bands, bits = [], [], [], []
             for text in frame["text"]:
                 s = shingle_set(text, width)
@@ -140,6 +140,14 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
         run, f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>, bits array<long>")
 
 
+def named_sets(frames, width: int):
+    """(cid, shingles) of every text, in frames of about 1 MB of text: a set is as large as its text or larger."""
+    for frame in (part for whole in frames for part in batches(whole)):
+        sets = [shingle_set(t, width) for t in frame["text"]]
+        yield pd.DataFrame({"cid": [set_id(s) if len(s) else None for s in sets],
+                            "shingles": [s.view(np.int64) for s in sets]})
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int,
                broadcast_rows: int) -> DataFrame:
     """(cid, shingles) of the wanted classes (cid, doc_id), one row each, from the texts of their first documents.
@@ -152,14 +160,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     rows = (docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
             .join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi"))
 
-    def run(frames):
-        for frame in frames:
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            yield pd.DataFrame({"cid": [set_id(s) if len(s) else None for s in sets],
-                                "shingles": [s.view(np.int64) for s in sets]})
-
     # a repeated id can bring in other texts: only the wanted classes stay, once each
-    found = rows.select("text").mapInPandas(run, "cid binary, shingles array<long>").where("cid is not null")
+    found = (rows.select("text").mapInPandas(lambda frames: named_sets(frames, width), "cid binary, shingles array<long>")
+             .where("cid is not null"))
     return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 

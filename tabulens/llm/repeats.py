@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import col, packed_table, parts_for
+from tabulens.llm.common import batches, col, packed_table, parts_for
 
 GRAM, SPAN = 8, 64
 HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -91,18 +91,6 @@ def anchors(texts: list[bytes], length: int):
     return out
 
 
-def batches(frame: pd.DataFrame, size: int = 1 << 20):
-    """Consecutive rows with about ``size`` bytes of text, or one longer text."""
-    start, held = 0, 0
-    for i, text in enumerate(frame["text"]):
-        held += len(text)
-        if held >= size:
-            yield frame.iloc[start:i + 1]
-            start, held = i + 1, 0
-    if start < len(frame):
-        yield frame.iloc[start:]
-
-
 def parse(corpus: DataFrame, length: int) -> DataFrame:
     """(rid, key, place, first, last, core): one row per text with arrays over its anchors; rid numbers the texts."""
 

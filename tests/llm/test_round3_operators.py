@@ -256,3 +256,15 @@ def test_a_task_holds_few_symbols_at_once():
     assert rows["sym"].tolist() == [*long, 3, 4]
     heads = [np.array(long[i:i + 2], dtype="<i8").tobytes() if i + 2 <= 500 else None for i in range(500)]
     assert rows["head"].tolist()[:500] == heads
+
+
+def test_sets_leave_a_task_in_small_frames():
+    import pandas as pd
+    from tabulens.llm.minhash import named_sets, set_id, shingle_set
+    texts = [None, "", *[" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(12)], "a b"]      # about 2 MB
+    parts = list(named_sets(iter([pd.DataFrame({"text": texts})]), 5))
+    assert len(parts) > 1 and max(map(len, parts)) < len(texts)
+    rows = pd.concat(parts)
+    sets = [shingle_set(t) for t in texts]
+    assert rows["cid"].tolist() == [set_id(s) if len(s) else None for s in sets]
+    assert all(np.array_equal(a.view(np.uint64), b) for a, b in zip(rows["shingles"], sets, strict=True))
