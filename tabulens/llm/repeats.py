@@ -18,6 +18,8 @@ distinct contexts are compared place by place.  Groups of very many contexts are
 windows instead of in one task; both ways are exact.  Texts that occur more than once as a whole are removed as a
 whole (if long enough) and take part once.
 
+Every step is written; its table and its shuffle files go as soon as the last step that reads them has ended.
+
 Defined cases: null and empty texts keep nothing and lose nothing; texts shorter than ``length`` are kept; ids may be
 null or repeat; extra columns take no part.
 """
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import batches, col, packed_table, parts_for
+from tabulens.llm.common import batches, col, drop_tables, packed_table, parts_for
 
 GRAM, SPAN = 8, 64
 HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -274,13 +276,15 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
         ranks = suffix_ranks(inner, reach).select(
             F.expr("seg div 2").alias("seg"), (F.col("pos") * 3 + F.col("seg") % 2 + 1).cast("int").alias("pos"),
             (F.col("rank") + 1).alias("r"))
-    known = whole.join(ranks, ["seg", "pos"], "left")
-    known = packed_table(known.select("seg", "pos", "s0", "s1", "r", next_ones("r", 1).cast("long").alias("r1"),
+    joined = whole.join(ranks, ["seg", "pos"], "left")
+    known = packed_table(joined.select("seg", "pos", "s0", "s1", "r", next_ones("r", 1).cast("long").alias("r1"),
                                        next_ones("r", 2).cast("long").alias("r2"),
                                        *[(F.col("pos") % 3 == c).cast("int").alias(f"c{c}") for c in range(3)]))
+    drop_tables(whole, named, ranks)
     first = smaller_counts(known.where("c2 = 0").select("seg", "pos", "s0", "r1", "r", "c0", "c1"), ["s0", "r1"], ["c0", "c1"])
     second = smaller_counts(known.where("c1 = 0").select("seg", "pos", "s0", "s1", "r2", "r", "c0", "c2"),
                             ["s0", "s1", "r2"], ["c0", "c2"])
+    drop_tables(known)
     zero = first.where("c0 = 1").select("seg", "pos", (F.col("less_c0") + F.col("less_c1")).alias("a")).join(
         second.where("c0 = 1").select("seg", "pos", "less_c2"), ["seg", "pos"]).select(
         "seg", "pos", (F.col("a") + F.col("less_c2")).alias("rank"))
@@ -369,7 +373,9 @@ def repeated_offsets(distinct: DataFrame, length: int, contexts_a_task: int, mos
         "grp", "h", "n", "k", F.unhex(F.md5(F.expr(f"substring(bytes, far - k + 1, {length})"))).alias("w"))
     often = windows.groupBy("grp", "k", "w").agg(F.sum("n").alias("n")).where("n > 1").select("grp", "k", "w")
     large = windows.join(often, ["grp", "k", "w"]).groupBy("h").agg(F.collect_list("k").alias("ks"))
-    return packed_table(small.union(large))
+    found = packed_table(small.union(large))
+    drop_tables(sized)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text",
@@ -390,22 +396,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     repeated = parsed.select("rid", F.posexplode("core").alias("i", "core")).join(hot, "core", "left_semi").groupBy(
         "rid").agg(F.sort_array(F.collect_list("i")).alias("repeated"))
     chosen = packed_table(parsed.drop("core").join(repeated, "rid"))
+    drop_tables(parsed, hot)
     anchored = packed_table(contexts(corpus.join(chosen, "key"), length))
 
     stretches = packed_table(anchored.where(F.col("syms").isNotNull()).groupBy("sid").agg(
         F.first("syms").alias("syms"), F.first("sizes").alias("sizes")).withColumn("seg", F.monotonically_increasing_id()))
     symbols = packed_table(stretch_symbols(stretches, secure(length)))
+    drop_tables(stretches)
     ranks = suffix_ranks(symbols.select("seg", "pos", "sym", "size"), secure(length))
     groups = adjacent_groups(symbols.where(F.col("head").isNotNull()).join(ranks, ["seg", "pos"]).select(
         "rank", "seg", "pos", "sid", "head")).select("sid", F.col("pos").alias("j"), "grp")
+    drop_tables(symbols, ranks)
     distinct = anchored.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.first("far").alias("far"), F.first("near").alias("near"),
         F.first("bytes", ignorenulls=True).alias("bytes"), F.min(F.struct("sid", "j")).alias("at"))
     distinct = packed_table(distinct.select("h", "n", "far", "near", "bytes", "at.sid", "at.j").join(
         groups, ["sid", "j"]).select("grp", "h", "n", "far", "near", "bytes"))
+    drop_tables(groups)
     found = repeated_offsets(distinct, length, contexts_a_task, most_contexts)
     hits = packed_table(anchored.select("h", "rid", "m").join(found, "h").groupBy("rid").agg(
-        F.collect_list(F.struct("m", "ks")).alias("hits")).join(parsed.select("rid", "key"), "rid").select("key", "hits"))
+        F.collect_list(F.struct("m", "ks")).alias("hits")).join(chosen.select("rid", "key"), "rid").select("key", "hits"))
+    drop_tables(chosen, anchored, distinct, found)
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary")
     def cut(text: pd.Series, hits: pd.Series) -> pd.DataFrame:

@@ -268,3 +268,36 @@ def test_sets_leave_a_task_in_small_frames():
     sets = [shingle_set(t) for t in texts]
     assert rows["cid"].tolist() == [set_id(s) if len(s) else None for s in sets]
     assert all(np.array_equal(a.view(np.uint64), b) for a, b in zip(rows["shingles"], sets, strict=True))
+
+
+def test_repeats_give_their_tables_and_shuffles_back(spark):
+    """Only the two tables that the result still reads stay on disk; a written table leaves no shuffle files."""
+    from pathlib import Path
+
+    from tabulens.llm.common import drop_tables, packed_table
+    from tabulens.llm.repeats import remove_repeats
+    from tabulens.session import checkpoint_dir
+    folder = Path(checkpoint_dir(spark).removeprefix("file:")) / "tables"
+    rng = np.random.default_rng(11)
+    passage = words(rng, 90)
+    texts = [words(rng, 60) + passage[k:k + 300] + words(rng, 50) for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = set(folder.glob("*"))
+    result = remove_repeats(df)
+    left = set(folder.glob("*")) - before
+    assert len(left) == 2 and {Path(f.removeprefix("file:")).parent for f in result.inputFiles()} == left
+    assert [tuple(r)[1:] for r in result.orderBy("doc_id").collect()] == plain_repeats(texts, 200)
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            manager.getAllFiles()))
+    spark.sparkContext._jvm.System.gc()
+    held = shuffle_files()
+    table_ = packed_table(spark.range(1000, numPartitions=4).repartition(5, "id"))
+    assert shuffle_files() <= held
+    given = folder.parent / "given"
+    table_.write.parquet(str(given))
+    drop_tables(spark.read.parquet(str(given)))                    # not a table that the library wrote
+    assert spark.read.parquet(str(given)).count() == table_.count() == 1000
