@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm.common import table
+from tabulens.llm.common import BATCH_BYTES, BATCH_SETTING, table
 from tabulens.llm.minhash import drop_near_duplicates
 from tabulens.llm.mixing import labelled_languages, resample
 from tabulens.llm.packing import pack_documents
@@ -23,11 +23,13 @@ from tabulens.session import checkpoint_dir
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)        # for good: the texts are scored when the result is written
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the quality rules."""
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     return filter_quality(docs)
 
 

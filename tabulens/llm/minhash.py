@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import batches, col, spare_name
+from tabulens.llm.common import batches, col, small_batches, spare_name
 from tabulens.llm.components import connected_components
 from tabulens.session import written_table
 
@@ -180,7 +180,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, cid, component_id) of every document; cid names the class of texts with an equal set."""
-    signed = written_table(sign_documents(docs, id_col, text_col, width))
+    with small_batches(docs.sparkSession):
+        signed = written_table(sign_documents(docs, id_col, text_col, width))
     classes = written_table(
         signed.where("cid is not null").groupBy("cid")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
@@ -189,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     bucket = written_table(member.join(shared, "key").select("key", "cid", "n"))
     wanted = written_table(classes.join(bucket.select("cid").distinct(), "cid", "left_semi"))
-    sets = written_table(class_sets(docs, wanted.select("cid", "doc_id"), id_col, text_col, width, broadcast_rows))
+    with small_batches(docs.sparkSession):
+        sets = written_table(class_sets(docs, wanted.select("cid", "doc_id"), id_col, text_col, width, broadcast_rows))
 
     # round 1: every class against the hub that it shares most buckets with
     hubs = bucket.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import col
+from tabulens.llm.common import col, small_batches
 from tabulens.session import written_table
 
 END_ID = 0
@@ -136,7 +136,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id"
     ``with_ids`` adds the piece's ids.  Sequences are numbered from 0.
     """
     spark = docs.sparkSession
-    pieces = written_table(tokenize_pieces(docs, id_col, text_col, capacity, vocabulary, with_ids))
+    with small_batches(spark):
+        pieces = written_table(tokenize_pieces(docs, id_col, text_col, capacity, vocabulary, with_ids))
     counted = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counted.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))

@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -375,9 +376,10 @@ def toxicity(text, grammar: Grammar):
     """Score column of a text column."""
     parts = (grammar.lexicon, grammar.weights)
 
-    def run(text: pd.Series) -> pd.Series:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Grammar(*parts)
-        return text.map(own.score, na_action=None).astype("float64")
+        for text in texts:
+            yield text.map(own.score, na_action=None).astype("float64")
 
     return F.pandas_udf(run, "double")(text)
 

@@ -301,3 +301,32 @@ def test_repeats_give_their_tables_and_shuffles_back(spark):
     table_.write.parquet(str(given))
     drop_tables(spark.read.parquet(str(given)))                    # not a table that the library wrote
     assert spark.read.parquet(str(given)).count() == table_.count() == 1000
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """2 MB of texts in one partition: several batches for the packing's tokens; the session's setting stays."""
+    from tabulens.llm import packing
+    from tabulens.llm.common import BATCH_SETTING, small_batches
+    before = spark.conf.get(BATCH_SETTING)
+    texts = [f"w{i} " * 700 for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def sizes(frames):
+        import pandas as pd
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(frame)]})
+    with small_batches(spark):
+        batches = [r.n for r in df.mapInPandas(sizes, "n long").collect()]
+    assert len(batches) > 1 and sum(batches) == 800
+    seen = []
+
+    def written(pieces):
+        seen.append(pieces.sparkSession.conf.get(BATCH_SETTING))
+        return plain(pieces)
+    plain, packing.written_table = packing.written_table, written
+    try:
+        packed = packing.pack_documents(df).collect()
+    finally:
+        packing.written_table = plain
+    assert seen == ["1m"] and spark.conf.get(BATCH_SETTING) == before
+    assert sorted({r.doc_id for r in packed}) == list(range(800))
